@@ -64,8 +64,12 @@ def round6(df: DataFrame, cols=None, digits: int = 6) -> DataFrame:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """``x`` printed with ``digits`` decimals (half away from zero)."""
-    return F.round(x, digits).cast(T.DecimalType(38, digits)).cast("string")
+    """``x`` printed with ``digits`` decimals, rounding the binary value half
+    up in magnitude (``floor(|x| * 10^d + 0.5)``), as printf-style formatting
+    of the stored double does rather than of its shortest decimal form."""
+    scale = float(10 ** digits)
+    mag = (F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast(T.DecimalType(38, digits))
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), mag.cast("string"))
 
 
 def signed_fixed(x: Column, digits: int) -> Column:

@@ -306,3 +306,7 @@ query("tier_names", O.sql(
     "WHEN 2 THEN 'THRIVED - Remained high-impact player, starter-quality into late 30s' "
     "ELSE 'Unknown' END AS adaptability_tier_description FROM t3_train"))(
     lambda spark, d: L.tier_names(train_t3(spark, d).select("name", T3.label_col), T3.label_col))
+
+
+# further registrations (they import the helpers above)
+from . import catalog_eval  # noqa: E402,F401

@@ -39,23 +39,23 @@ fx_base AS (
   JOIN {customer} c ON c.c_custkey = o.o_custkey
 ),
 panel AS (
-  SELECT entity, any_value(name) AS name, period,
+  SELECT entity, name, period,
          CAST(24 + entity % 7 + period AS INT) AS age,
-         any_value(pos) AS pos,
+         pos,
          CASE WHEN grouping(seg) = 1 THEN 'TOT' ELSE seg END AS seg,
          sum(q) AS mp,
          sum(q) / count(*) AS usg,
-         CAST(sum(td) AS DOUBLE) * 100 / count(*) AS ast,
-         CAST(sum(dd) AS DOUBLE) / count(*) AS par,
-         CAST(sum(pd * (1 - dd)) AS DOUBLE) / CAST(sum(pd) AS DOUBLE) AS ts,
-         CAST(sum(pd) AS DOUBLE) / sum(q) AS per,
-         CAST(sum(pd * dd) AS DOUBLE) / CAST(sum(pd) AS DOUBLE) - 0.05 AS bpm,
+         CAST(sum(tc) AS DOUBLE) / count(*) AS ast,
+         CAST(sum(dc) AS DOUBLE) / (100 * count(*)) AS par,
+         CAST(sum(pc * (100 - dc)) AS DOUBLE) / CAST(100 * sum(pc) AS DOUBLE) AS ts,
+         CAST(sum(pc) AS DOUBLE) / (100 * sum(q)) AS per,
+         CAST(sum(pc * dc) AS DOUBLE) / CAST(100 * sum(pc) AS DOUBLE) - 0.05 AS bpm,
          count(*) / sum(q) AS ws48,
          count(*) AS g
-  FROM (SELECT *, CAST(p AS DECIMAL(18, 2)) AS pd, CAST(d AS DECIMAL(6, 2)) AS dd,
-               CAST(t AS DECIMAL(6, 2)) AS td
+  FROM (SELECT *, CAST(round(p * 100) AS BIGINT) AS pc, CAST(round(d * 100) AS BIGINT) AS dc,
+               CAST(round(t * 100) AS BIGINT) AS tc
         FROM fx_base) x
-  GROUP BY GROUPING SETS ((entity, period), (entity, period, seg))
+  GROUP BY GROUPING SETS ((entity, name, pos, period), (entity, name, pos, period, seg))
 ),
 panel_gappy AS (
   SELECT * FROM panel WHERE NOT (seg = 'TOT' AND (entity + period) % 3 = 0)
