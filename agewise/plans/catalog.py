@@ -310,3 +310,5 @@ query("tier_names", O.sql(
 
 # further registrations (they import the helpers above)
 from . import catalog_eval  # noqa: E402,F401
+from . import catalog_ml  # noqa: E402,F401
+from . import catalog_stream  # noqa: E402,F401
