@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, round6
+from ..session import materialize
 from ..operators import explain as X
 from ..operators import features as FE
 from ..operators.prep import BalancedWeights, MedianImputer, PopulationScaler
@@ -52,7 +53,8 @@ def test_rows(spark, d) -> DataFrame:
 
 
 def split_t3(spark, d) -> DataFrame:
-    return stratified_split(train_t3(spark, d), LABEL, "name", 0.2, SEED)
+    # read by several later jobs (medians, scaling, folds, fits): checkpointed
+    return materialize(stratified_split(train_t3(spark, d), LABEL, "name", 0.2, SEED))
 
 
 def train_rows(spark, d) -> DataFrame:

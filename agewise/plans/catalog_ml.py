@@ -72,10 +72,11 @@ _STD = [f"_s{i}" for i in range(len(T3_FEATURES))]
 
 
 def _panel_vectors(spark, d):
-    tr = train_rows(spark, d)
+    sp = split_t3(spark, d)  # every cohort row, checkpointed, with its split
+    tr = sp.filter(F.col("split") == "train")
     imp = MedianImputer(inputCols=T3_FEATURES, outputCols=_IMP).fit(tr)
     sc = PopulationScaler(inputCols=_IMP, outputCols=_STD).fit(imp.transform(tr))
-    t = sc.transform(imp.transform(train_t3(spark, d)))
+    t = sc.transform(imp.transform(sp))
     return t.select("name", F.array(*_STD).alias("vec"), F.col(LABEL).alias("tier"))
 
 

@@ -75,7 +75,9 @@ def forest_pipeline(features: list[str], label: str, cfg: ForestConfig) -> Pipel
         cols = scaled
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=cfg.n_trees,
                                 maxDepth=_depth(cfg.max_depth), minInstancesPerNode=cfg.min_leaf,
-                                featureSubsetStrategy=cfg.max_features, seed=cfg.seed, maxBins=cfg.max_bins)
+                                featureSubsetStrategy=cfg.max_features, seed=cfg.seed, maxBins=cfg.max_bins,
+                                # larger node groups = fewer passes per tree level
+                                maxMemoryInMB=1024, cacheNodeIds=True)
     if cfg.balanced:
         stages.append(BalancedWeights(labelCol=label, weightCol="_weight"))
         rf.setWeightCol("_weight")
