@@ -45,7 +45,7 @@ def scored(spark, d) -> DataFrame:
 
 
 def scored_split(spark, d) -> DataFrame:
-    return stratified_split(scored(spark, d), "label", "name", 0.2, SEED)
+    return materialize(stratified_split(scored(spark, d), "label", "name", 0.2, SEED))
 
 
 def test_rows(spark, d) -> DataFrame:

@@ -240,11 +240,13 @@ query("score_binary")(_score_binary)
 
 
 def _longevity(spark, d):
-    model, _ = _binary_model(spark, d)
+    model, sp = _binary_model(spark, d)
     req = FE.request_features(fx.requests(spark, d), BN, keep=("name",))
     s = SC.score(model, req, "name", 2, keep=("par_delta_age29", "ast_delta_age29", "usg_delta_age29"))
+    # comparables: nearest training entities in the model's (imputed) feature space
+    comps = SC.comparables(model, req, sp.filter("split = 'train'"), "name", BN.label_col, k=2)
     return SC.longevity_response(s, "name", "p1", {"3PAr": "par_delta_age29", "AST%": "ast_delta_age29",
-                                                   "USG%": "usg_delta_age29"})
+                                                   "USG%": "usg_delta_age29"}, comps)
 
 
 query("longevity_response")(_longevity)
