@@ -9,11 +9,24 @@ from ..functions.columns import clean_name, to_number
 from ..spec import CohortPreset, PanelSpec
 
 
+ORDINAL = "_ordinal"
+
+
+def with_ordinal(df: DataFrame, name: str = ORDINAL) -> DataFrame:
+    """Ingest order as a column: increasing with partition and position, so for
+    a file scan it follows the file order ("first row" semantics)."""
+    return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
+
+
 def ensure_columns(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """An expected numeric column that is absent becomes an all-null column."""
+    """An expected numeric column that is absent becomes an all-null column; an
+    absent ingest-order tie-break column is created from the read order."""
     missing = [c for c in spec.numeric if c not in df.columns]
     for c in missing:
         df = df.withColumn(c, F.lit(None).cast("double"))
+    for c in spec.tiebreak:
+        if c not in df.columns and c == ORDINAL:
+            df = with_ordinal(df, c)
     return df
 
 

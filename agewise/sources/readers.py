@@ -15,10 +15,11 @@ def _drop_index(df: DataFrame) -> DataFrame:
 
 
 def load_panel(spark: SparkSession, path: str, fmt: str | None = None,
-               schema: str | None = None) -> DataFrame:
+               schema: str | None = None, ordinal: str | None = None) -> DataFrame:
     """Read a panel (CSV with a header row, or Parquet), dropping an unnamed
     index column.  CSV columns stay strings unless a schema is given; the
-    clean-up coerces the numeric ones, so a bad cell never fails the read."""
+    clean-up coerces the numeric ones, so a bad cell never fails the read.
+    ``ordinal`` names a column to stamp with the read order (file order)."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     reader = spark.read
     if schema:
@@ -27,7 +28,10 @@ def load_panel(spark: SparkSession, path: str, fmt: str | None = None,
         df = reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
     else:
         df = reader.format(fmt).load(path)
-    return _drop_index(df)
+    df = _drop_index(df)
+    if ordinal:
+        df = df.withColumn(ordinal, F.monotonically_increasing_id())
+    return df
 
 
 def load_panel_external(spark: SparkSession, path: str | None = None,
