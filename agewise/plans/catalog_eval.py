@@ -413,7 +413,8 @@ def _fx(x: str, d: int) -> str:
             f"AS DECIMAL(38, {d})) AS VARCHAR))")
 
 
-def _describe_sql() -> str:
+def describe_parts() -> tuple[str, str]:
+    """(sentence expression over ct + schema, schema VALUES list) for SQL twins."""
     sch = ", ".join(f"('{f.name}', '{f.category}', '{f.stat or ''}', {f.age})" for f in FE.features(T3))
     mag = "CASE WHEN abs(z) > 1.5 THEN 'significantly' WHEN abs(z) > 0.5 THEN 'moderately' ELSE 'slightly' END"
     dirn = "CASE WHEN z > 0 THEN 'above' ELSE 'below' END"
@@ -431,6 +432,11 @@ def _describe_sql() -> str:
         f"WHEN feature = '{T3.career_mean[1]}' THEN 'Career average ' || stat || ' before {b} was ' || "
         f"CASE WHEN value < 0 THEN '-' ELSE '+' END || {_fx('abs(value)', 1)} "
         f"ELSE feature || ': ' || {_fx('value', 2)} END")
+    return expr, sch
+
+
+def _describe_sql() -> str:
+    expr, sch = describe_parts()
     return csql(f"SELECT name, feature, {expr} AS description FROM ct c JOIN (VALUES {sch}) "
                 f"s(feature, category, stat, age) USING (feature)")
 

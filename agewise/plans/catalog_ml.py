@@ -29,7 +29,7 @@ from . import oracle as O
 from . import scoring as SC
 from . import training as TR
 from .catalog import T3_FEATURES, BN_FEATURES, query, train_bn, train_t3
-from .catalog_eval import (LABEL, _median_sql, contributions, esql, importance, isql, scored,
+from .catalog_eval import (IMP_CTE, CONTRIB_CTE, PROBS, _describe, describe_parts, LABEL, _median_sql, contributions, esql, importance, isql, scored,
                            split_t3, train_rows)
 
 K = 3
@@ -328,3 +328,70 @@ query("save_load_importances", isql(
     "round(sum(importance * 100) OVER (ORDER BY round(importance, 10) DESC, feature ROWS BETWEEN UNBOUNDED PRECEDING "
     "AND CURRENT ROW), 6) AS cumulative_pct, CAST(row_number() OVER (ORDER BY round(importance, 10) DESC, feature) "
     "AS INT) AS rank FROM imp"))(_importances_io)
+
+
+# ------------------------------------- ranking / interpretation, stand-in --
+def _ranking_scored(spark, d):
+    return SC.ranking_table(scored(spark, d), "name", "label", K)
+
+
+_TL = "CASE {c} WHEN 0 THEN 'FADED' WHEN 1 THEN 'SURVIVED' WHEN 2 THEN 'THRIVED' ELSE 'Unknown' END"
+_R3 = "floor({p} * 1000 + 0.5) / 1000"
+RANKING_SQL = esql(
+    "SELECT name, pred AS predicted_tier, " + _TL.format(c="pred") + " AS predicted_label, "
+    + ", ".join(f"{_R3.format(p=p)} AS prob_{i}" for i, p in enumerate(PROBS))
+    + ", CASE WHEN greatest(p0, p1, p2) >= 0.6 THEN 'HIGH' WHEN greatest(p0, p1, p2) >= 0.4 THEN 'MEDIUM' "
+    "ELSE 'LOW' END AS confidence, CAST(label AS INT) AS actual_tier, " + _TL.format(c="label")
+    + " AS actual_label, pred = label AS correct FROM sc2")
+query("ranking_table_scored", RANKING_SQL)(_ranking_scored)
+query("hit_rate_scored", esql(
+    "SELECT avg(CASE WHEN pred = label THEN 1 ELSE 0 END) AS hit_rate, count(*) AS n FROM sc2"))(
+    lambda spark, d: SC.hit_rate(_ranking_scored(spark, d)))
+
+
+def _interpretation_scored(spark, d):
+    from ..operators.labels import tier_label
+    s = scored(spark, d)
+    contrib = contributions(spark, d)
+    factors = X.top_factors(contrib, "name", 5)
+    comps = _comparables(spark, d).withColumn("neighbor_label", tier_label(F.col("neighbor_tier")))
+    rec = SC.prediction_records(s, factors, comps, "name", K, _describe(spark, d))
+    return rec.select("name", "interpretation")
+
+
+def _interpretation_sql() -> str:
+    expr, sch = describe_parts()
+    pct = ("(CASE WHEN greatest({a}) * 100 < 0 THEN '-' ELSE '' END || CAST(CAST(floor(abs(greatest({a}) * 100) "
+           "* CAST(1 AS DOUBLE) + 0.5) / CAST(1 AS DOUBLE) AS DECIMAL(38, 0)) AS VARCHAR)) || '%'").format(
+        a=", ".join(_R3.format(p=p) for p in PROBS))
+    ctes = [
+        IMP_CTE, CONTRIB_CTE,
+        f"ds AS (SELECT name, feature, {expr} AS description FROM ct c JOIN (VALUES {sch}) "
+        f"s(feature, category, stat, age) USING (feature))",
+        "tf AS (SELECT name, feature, sign, rank FROM (SELECT name, feature, CASE WHEN contribution > 0 THEN "
+        "'positive' ELSE 'negative' END AS sign, row_number() OVER (PARTITION BY name, contribution > 0 "
+        "ORDER BY round(abs(contribution), 10) DESC, feature) AS rank FROM ct WHERE contribution <> 0) x "
+        "WHERE rank = 1)",
+        "kn AS (SELECT name, neighbor, tier, rank FROM (SELECT q.name, c.name AS neighbor, c.tier, "
+        "row_number() OVER (PARTITION BY q.name ORDER BY round(list_distance(q.v, c.v), 10), c.name) AS rank "
+        "FROM vec q JOIN vec c ON true) x WHERE rank <= 3)",
+        "cm AS (SELECT name, string_agg(neighbor, ', ' ORDER BY rank) AS names, string_agg("
+        + _TL.format(c="tier") + ", ', ' ORDER BY rank) AS labels FROM kn GROUP BY name)",
+    ]
+    sel = (
+        "SELECT s.name, CASE WHEN s.pred = 2 THEN 'The model predicts ' || s.name || ' will THRIVE into their "
+        f"late 30s (' || {pct} || ' probability).' WHEN s.pred = 1 THEN 'The model predicts ' || s.name || "
+        f"' will SURVIVE as a valuable rotation player (' || {pct} || ' probability).' ELSE 'The model predicts ' "
+        f"|| s.name || ' will struggle to adapt (FADED tier, ' || {pct} || ' probability).' END "
+        "|| coalesce(' Key strength: ' || pd.description || '.', '') "
+        "|| coalesce(' Main concern: ' || nd.description || '.', '') "
+        "|| coalesce(' Similar to players like ' || cm.names || ' (outcomes: ' || cm.labels || ').', '') "
+        "AS interpretation FROM sc2 s "
+        "LEFT JOIN (SELECT t.name, d.description FROM tf t JOIN ds d ON d.name = t.name AND d.feature = t.feature "
+        "WHERE t.sign = 'positive') pd ON pd.name = s.name "
+        "LEFT JOIN (SELECT t.name, d.description FROM tf t JOIN ds d ON d.name = t.name AND d.feature = t.feature "
+        "WHERE t.sign = 'negative') nd ON nd.name = s.name LEFT JOIN cm ON cm.name = s.name")
+    return _vec_sql() + ",\n" + ",\n".join(ctes) + "\n" + sel
+
+
+query("interpretation_scored", _interpretation_sql())(_interpretation_scored)
