@@ -57,3 +57,16 @@ def test_exact_knn_blocks_match_brute_force(spark):
     for q in range(400):
         order = sorted((round(D[q, c], 10), c) for c in range(400) if c != q)[:4]
         assert [res[(q, k + 1)] for k in range(4)] == [c for _, c in order]
+
+
+def test_approx_knn_is_a_subset_with_high_recall(spark):
+    from agewise.operators.knn import approx_knn
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id long, vec array<double>")
+    exact = {(r.query_id, r.neighbor_id) for r in exact_knn(df, df, "id", "vec", 3).collect()}
+    approx = approx_knn(df, df, "id", "vec", 3, radius=3.0, bucket_length=4.0, tables=6).collect()
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    assert all(abs(r.distance - D[r.query_id, r.neighbor_id]) < 1e-9 for r in approx)
+    found = {(r.query_id, r.neighbor_id) for r in approx}
+    assert len(found & exact) / len(exact) > 0.8
