@@ -39,6 +39,30 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def scale_settings(input_bytes: int, target_partition_bytes: int = 128 << 20,
+                   min_partitions: int = 200, max_partitions: int = 200_000) -> dict:
+    """Partition sizing for a given input volume: scan splits and shuffle
+    partitions of about ``target_partition_bytes`` each, so that a task's
+    share fits in executor memory; AQE then coalesces or splits at run time
+    (skewed partitions of joins are split by the skew-join rule)."""
+    parts = min(max_partitions, max(min_partitions, -(-input_bytes // target_partition_bytes)))
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
+def apply_scale_settings(spark: SparkSession, input_bytes: int, **kw) -> dict:
+    """Set :func:`scale_settings` on a running session (all are runtime SQL settings)."""
+    conf = scale_settings(input_bytes, **kw)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
