@@ -18,6 +18,7 @@ from ..operators import explain as X
 from ..operators.knn import exact_knn, similarity
 from ..operators.labels import tier_label
 from ..operators.split import stratified_folds, stratified_split
+from ..spec import TIER_LABELS
 from . import evaluation as E
 from .training import (ForestConfig, config_dict, cv_scores, forest_pipeline, importances, model_path,
                        random_search, save_model)
@@ -109,7 +110,9 @@ def prediction_records(scored: DataFrame, factors: DataFrame, comps: DataFrame,
                             F.transform(F.coalesce("comps", F.array()), lambda c: c["neighbor_label"]))
     return s.select(
         entity, F.col("pred").alias("predicted_tier"), tier_label(F.col("pred")).alias("predicted_label"),
-        F.create_map(*[x for i, r in enumerate(rounded) for x in (F.lit(f"p{i}"), r)]).alias("probabilities"),
+        # keys as in the original record: "<LABEL> (<code>)"
+        F.create_map(*[x for i, r in enumerate(rounded)
+                       for x in (F.lit(f"{TIER_LABELS.get(i, str(i))} ({i})"), r)]).alias("probabilities"),
         confidence_band(*[F.col(p) for p in probs]).alias("confidence"),
         F.transform(F.coalesce("pos", F.array()), lambda x: F.struct(x["description"], x["contribution"])).alias("top_positive"),
         F.transform(F.coalesce("neg", F.array()), lambda x: F.struct(x["description"], x["contribution"])).alias("top_negative"),
