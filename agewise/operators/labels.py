@@ -63,3 +63,16 @@ def tier_description(code: Column) -> Column:
 def tier_names(df: DataFrame, code_col: str) -> DataFrame:
     return df.withColumns({f"{code_col}_label": tier_label(F.col(code_col)),
                            f"{code_col}_description": tier_description(F.col(code_col))})
+
+
+def with_observability(table: DataFrame, clean: DataFrame, preset: CohortPreset,
+                       baseline_period: str = "baseline_period") -> DataFrame:
+    """Flag ``observable``: whether the outcome age could have been reached
+    inside the panel (baseline period + years to the outcome age <= last
+    period seen).  The label itself is left as it is; recent cohorts are
+    right-censored, and this flag lets a user filter or weight them."""
+    spec = preset.panel
+    last = clean.agg(F.max(spec.period)).first()[0]  # one number
+    outcome = preset.tier_rule.outcome_age if preset.label == "tier" else preset.outcome_age
+    span = outcome - preset.baseline_age
+    return table.withColumn("observable", (F.col(baseline_period) + F.lit(span)) <= F.lit(last))

@@ -465,3 +465,22 @@ query("signal_direction", O.sql(
     + " FROM bn_train"))(
     lambda spark, d: X.with_signals(_bn_scored(spark, d), {s: f"{s}_delta_age29" for s in ("par", "ast", "usg")})
     .select("name", *[F.col("signals")[s].alias(f"signal_{s}") for s in ("par", "ast", "usg")]))
+
+
+# ------------------------------------------------- right-censoring flag --
+def _observable(spark, d):
+    from ..operators.cohort import eligible_cohort
+    from ..operators.labels import outcome_labels, with_observability
+    from .catalog import clean_bn
+    from ..operators import features as FE2
+    c = clean_bn(spark, d)
+    prof = FE2.entity_profile(c, BN).filter(F.col("_n_elig") > 0).select(
+        "name", F.col("_b").getField("period").alias("baseline_period"))
+    lab = outcome_labels(c, BN)
+    return with_observability(prof.join(lab, "name"), c, BN)
+
+
+query("outcome_observable", O.sql(
+    f"SELECT b.name, b.period AS baseline_period, o.{BN.label_col}, "
+    f"b.period + {BN.outcome_age - BN.baseline_age} <= (SELECT max(period) FROM bn_clean2) AS observable "
+    f"FROM bn_a{BN.baseline_age} b JOIN bn_elig e ON e.name = b.name JOIN bn_out o ON o.name = b.name"))(_observable)
