@@ -24,7 +24,7 @@ from ..spec import FIXTURE_TIER3 as T3
 from . import describe as D
 from . import evaluation as E
 from . import oracle as O
-from .catalog import AVG_COLS, T3_FEATURES, clean_t3, query, train_bn, train_t3
+from .catalog import T3_FEATURES, clean_t3, query, train_bn, train_t3
 
 K = 3
 LABEL = T3.label_col
@@ -469,7 +469,6 @@ query("signal_direction", O.sql(
 
 # ------------------------------------------------- right-censoring flag --
 def _observable(spark, d):
-    from ..operators.cohort import eligible_cohort
     from ..operators.labels import outcome_labels, with_observability
     from .catalog import clean_bn
     from ..operators import features as FE2

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round6

@@ -5,7 +5,6 @@ tuning -> test evaluation -> batch scores with explanations -> reports)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import explain as X
 from ..operators.clean import clean_panel
