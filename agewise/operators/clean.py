@@ -71,10 +71,13 @@ def _dedupe(df: DataFrame, spec: PanelSpec, order: list[Column]) -> DataFrame:
     # One row per (entity, period) as an aggregate: the smallest order key
     # wins.  Being an aggregate, it is combined map-side before the shuffle,
     # so a hot (entity, period) never reaches one task with all its rows.
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return (df.groupBy(spec.entity, spec.period)
-              .agg(F.min_by(row, F.struct(*order)).alias("_row"))
-              .select("_row.*"))
+    # The keys come out as grouping columns (not struct fields), so later
+    # filters on them (the period range) are pushed below the aggregation.
+    keys = [spec.entity, spec.period]
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest])
+    out = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("_row"))
+    return out.select(*[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def dedupe_total_else_max(df: DataFrame, spec: PanelSpec) -> DataFrame:
