@@ -381,10 +381,16 @@ def csql(select: str) -> str:
     return isql("").rstrip() + ",\n" + CONTRIB_CTE + "\n" + select
 
 
+def _contrib_query(spark, d):
+    c = contributions(spark, d)
+    # the one averaged feature depends on summation order: rounded like z
+    value = F.when(F.col("feature") == T3.career_mean[1], F.round("value", 6)).otherwise(F.col("value"))
+    return round6(c.select("name", "feature", value.alias("value"), "z", "contribution"), ["z", "contribution"])
+
+
 query("contributions", csql(
-    "SELECT name, feature, value, round(z, 6) AS z, round(contribution, 6) AS contribution FROM ct"))(
-    lambda spark, d: round6(contributions(spark, d).select("name", "feature", "value", "z", "contribution"),
-                            ["z", "contribution"]))
+    f"SELECT name, feature, CASE WHEN feature = '{T3.career_mean[1]}' THEN round(value, 6) ELSE value END AS value, "
+    "round(z, 6) AS z, round(contribution, 6) AS contribution FROM ct"))(_contrib_query)
 
 query("top_factors", csql(
     "SELECT name, sign, rank, feature, round(contribution, 6) AS contribution FROM (SELECT name, feature, "
