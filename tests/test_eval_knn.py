@@ -70,3 +70,27 @@ def test_approx_knn_is_a_subset_with_high_recall(spark):
     assert all(abs(r.distance - D[r.query_id, r.neighbor_id]) < 1e-9 for r in approx)
     found = {(r.query_id, r.neighbor_id) for r in approx}
     assert len(found & exact) / len(exact) > 0.8
+
+
+def test_auc_invariant_to_monotone_maps(spark):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 400)
+    s = rng.random(400).round(3)
+    df = spark.createDataFrame([(int(a), float(b), float(1 - b)) for a, b in zip(y, s)], "label int, p0 double, p1 double")
+    base = {r["class"]: r.auc for r in E.auc_ovr(df, "label", ["p0", "p1"]).collect()}
+    mapped = df.select("label", F.exp(F.col("p0") * 3).alias("p0"), (F.col("p1") ** 3).alias("p1"))
+    again = {r["class"]: r.auc for r in E.auc_ovr(mapped, "label", ["p0", "p1"]).collect()}
+    assert all(abs(base[c] - again[c]) < 1e-12 for c in base)
+
+
+def test_forest_probabilities_sum_to_one(spark, small_dir):
+    from agewise.operators.features import feature_names
+    from agewise.plans.catalog import train_t3
+    from agewise.plans.scoring import score
+    from agewise.plans.training import ForestConfig, forest_pipeline
+    from agewise.spec import FIXTURE_TIER3
+    t = train_t3(spark, small_dir)
+    m = forest_pipeline(feature_names(FIXTURE_TIER3), FIXTURE_TIER3.label_col, ForestConfig(n_trees=8)).fit(t)
+    s = score(m, t, "name", 3)
+    bad = s.filter(F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) > 1e-9).count()
+    assert bad == 0 and s.count() == t.count()
