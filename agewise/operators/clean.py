@@ -67,25 +67,31 @@ def _is_not_total(spec: PanelSpec) -> Column:
     return F.coalesce(F.col(spec.segment) != F.lit(spec.total_marker), F.lit(True))
 
 
-def _group_limit_on(spark) -> bool:
-    """Whether the optimizer turns ``row_number() = 1`` into a group limit that
-    is also applied before the shuffle (``WindowGroupLimit``, partial)."""
-    return int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) >= 1
+DEDUPE_SETTING = "agewise.dedupe"  # "aggregate" (default) or "window"
+
+
+def _use_window(spark) -> bool:
+    """The window form only when asked for and when the optimizer turns
+    ``row_number() = 1`` into a group limit also applied before the shuffle."""
+    wanted = spark.conf.get(DEDUPE_SETTING, "aggregate") == "window"
+    limit_on = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) >= 1
+    return wanted and limit_on
 
 
 def _dedupe(df: DataFrame, spec: PanelSpec, order: list[Column], agg_key: list[Column]) -> DataFrame:
     """One row per (entity, period): the first in ``order``.
 
-    Both forms reduce a hot (entity, period) map-side, before the shuffle, so
-    no task ever receives all of its rows.  With the optimizer's group limit
-    on, ``row_number() = 1`` is planned as a partial + final
-    ``WindowGroupLimit`` (measured about 25% faster than the aggregate on the
-    sf0.1 panel); otherwise ``min_by(struct(row), struct(key))`` is used, an
-    aggregate with a map-side combine.  The keys stay plain columns, so later
+    Default: ``min_by(struct(row), struct(key))``, an aggregate with a map-side
+    combine, so a hot (entity, period) never reaches one task with all its
+    rows, whatever the optimizer settings.  With ``agewise.dedupe=window``:
+    ``row_number() = 1``, planned as a partial + final ``WindowGroupLimit``
+    (the same map-side cut).  Measured on the sf0.1 panel: the window form is
+    faster for the de-duplication alone (0.33 s vs 0.44 s), end to end the two
+    are within noise.  The keys stay plain columns either way, so later
     filters on them (the period range) are pushed below the de-duplication.
     """
     keys = [spec.entity, spec.period]
-    if _group_limit_on(df.sparkSession):
+    if _use_window(df.sparkSession):
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     rest = [c for c in df.columns if c not in keys]

@@ -13,32 +13,27 @@ def _plan(df) -> str:
 def test_feature_chain_combines_before_every_shuffle(spark, small_dir):
     t = training_dataset(clean_panel(fx.panel(spark, small_dir, "panel_raw"), FIXTURE_TIER3), FIXTURE_TIER3)
     plan = _plan(t)
-    # every exchange on the way to the feature row is fed by a map-side reduction:
-    # the de-duplication's partial group limit and the profile's partial aggregate
+    # every exchange on the way to the feature row is fed by a partial aggregate
     assert plan.count("Exchange hashpartitioning") >= 2
-    assert "partial_max_by" in plan
-    assert "WindowGroupLimit" in plan and ", Partial" in plan
+    assert "partial_min_by" in plan and "partial_max_by" in plan
+    assert "Window" not in plan  # no window over a whole entity or (entity, period)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan  # no Python UDF
 
 
-def test_dedupe_aggregate_form_when_group_limit_is_off(spark, small_dir):
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "-1")
+def test_window_dedupe_same_rows_and_group_limit(spark, small_dir):
+    def build():
+        return training_dataset(clean_panel(fx.panel(spark, small_dir, "panel_raw"), FIXTURE_TIER3), FIXTURE_TIER3)
+    key = ["name", "age30_mp", "delta_mp_31", "adaptability_tier"]
+    a = sorted(map(tuple, build().select(*key).collect()), key=str)
+    spark.conf.set("agewise.dedupe", "window")
     try:
-        t = training_dataset(clean_panel(fx.panel(spark, small_dir, "panel_raw"), FIXTURE_TIER3), FIXTURE_TIER3)
+        t = build()
         plan = _plan(t)
-        assert "partial_min_by" in plan and "Window" not in plan
-        n = t.count()
+        assert "WindowGroupLimit" in plan and ", Partial" in plan
+        b = sorted(map(tuple, t.select(*key).collect()), key=str)
     finally:
-        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
-    again = training_dataset(clean_panel(fx.panel(spark, small_dir, "panel_raw"), FIXTURE_TIER3), FIXTURE_TIER3)
-    assert again.count() == n
-    key = ["name", "age30_mp", "adaptability_tier"]
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "-1")
-    try:
-        a = sorted(map(tuple, t.select(*key).collect()), key=str)
-    finally:
-        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
-    assert a == sorted(map(tuple, again.select(*key).collect()), key=str)
+        spark.conf.unset("agewise.dedupe")
+    assert a == b
 
 
 def test_scan_prunes_columns(spark, small_dir):
