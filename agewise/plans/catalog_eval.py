@@ -45,7 +45,7 @@ def scored(spark, d) -> DataFrame:
 
 
 def scored_split(spark, d) -> DataFrame:
-    return materialize(stratified_split(scored(spark, d), "label", "name", 0.2, SEED))
+    return materialize(stratified_split(materialize(scored(spark, d)), "label", "name", 0.2, SEED))
 
 
 def test_rows(spark, d) -> DataFrame:
@@ -53,8 +53,10 @@ def test_rows(spark, d) -> DataFrame:
 
 
 def split_t3(spark, d) -> DataFrame:
-    # read by several later jobs (medians, scaling, folds, fits): checkpointed
-    return materialize(stratified_split(train_t3(spark, d), LABEL, "name", 0.2, SEED))
+    # the cohort table is read by the selection passes and the split by several
+    # later jobs (medians, scaling, folds, fits): both are checkpointed, so the
+    # panel chain runs once
+    return materialize(stratified_split(materialize(train_t3(spark, d)), LABEL, "name", 0.2, SEED))
 
 
 def train_rows(spark, d) -> DataFrame:
