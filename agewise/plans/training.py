@@ -95,16 +95,22 @@ def evaluator(label: str, metric: str = "f1") -> MulticlassClassificationEvaluat
 
 
 def cv_scores(df: DataFrame, features: list[str], label: str, fold_col: str, cfg: ForestConfig,
-              k: int = 5) -> DataFrame:
+              k: int = 5, parallelism: int = 4) -> DataFrame:
     """M6: weighted F1 of every fold (fit on the other folds), with mean and
-    population std as extra rows ``fold = -1`` / ``-2``."""
+    population std as extra rows ``fold = -1`` / ``-2``.  The k fits are
+    independent Spark jobs and run concurrently (``parallelism`` at a time)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = df.sparkSession
     ev = evaluator(label)
-    scores = []
     df = df.persist()  # k fits read it
-    for f in range(k):
+
+    def one(f: int) -> float:
         fit = forest_pipeline(features, label, cfg).fit(df.filter(F.col(fold_col) != f))
-        scores.append(ev.evaluate(fit.transform(df.filter(F.col(fold_col) == f))))
+        return ev.evaluate(fit.transform(df.filter(F.col(fold_col) == f)))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        scores = list(pool.map(one, range(k)))
     df.unpersist()
     mean = sum(scores) / k
     std = (sum((s - mean) ** 2 for s in scores) / k) ** 0.5
@@ -121,7 +127,7 @@ def sample_grid(n_iter: int, seed: int = 42, grid: dict | None = None) -> list[d
 
 
 def random_search(df: DataFrame, features: list[str], label: str, fold_col: str, base: ForestConfig,
-                  n_iter: int = 30, seed: int = 42, k: int = 5, parallelism: int = 2):
+                  n_iter: int = 30, seed: int = 42, k: int = 5, parallelism: int = 4):
     """M7: cross-validated random search; returns (results DataFrame, best
     config, best PipelineModel refit on all rows)."""
     spark = df.sparkSession

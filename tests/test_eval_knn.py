@@ -94,3 +94,9 @@ def test_forest_probabilities_sum_to_one(spark, small_dir):
     s = score(m, t, "name", 3)
     bad = s.filter(F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) > 1e-9).count()
     assert bad == 0 and s.count() == t.count()
+
+
+def test_exact_knn_without_queries_is_empty(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 1.0])], "id long, vec array<double>")
+    out = exact_knn(df.filter("id > 5"), df, "id", "vec", 3)
+    assert out.count() == 0 and out.columns == ["query_id", "neighbor_id", "distance", "rank"]
