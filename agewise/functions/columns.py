@@ -64,12 +64,20 @@ def round6(df: DataFrame, cols=None, digits: int = 6) -> DataFrame:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """``x`` printed with ``digits`` decimals, rounding the binary value half
-    up in magnitude (``floor(|x| * 10^d + 0.5)``), as printf-style formatting
-    of the stored double does rather than of its shortest decimal form."""
+    """``x`` printed with ``digits`` decimals: ``floor(|x| * 10^d + 0.5)``, half
+    up on the value scaled in floating point.  Values within a rounding error
+    of a tie can differ in the last digit from C/Python printf, which rounds
+    the exact binary value (2.675 prints 2.68 here, 2.67 there); the SQL twin
+    uses the same expression, so both engines agree exactly."""
     scale = float(10 ** digits)
-    mag = (F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast(T.DecimalType(38, digits))
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), mag.cast("string"))
+    scaled = F.abs(x) * F.lit(scale)
+    # beyond 2^53 a double has no fraction left to round (and floor's long
+    # result would overflow)
+    rounded = F.when(scaled < F.lit(9.0e15), F.floor(scaled + F.lit(0.5)) / F.lit(scale)).otherwise(F.abs(x))
+    # beyond 38 digits the decimal form does not exist: fall back to printf
+    mag = F.coalesce(rounded.try_cast(T.DecimalType(38, digits)).cast("string"),
+                     F.format_string(f"%.{digits}f", rounded))
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), mag)
 
 
 def signed_fixed(x: Column, digits: int) -> Column:

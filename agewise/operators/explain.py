@@ -47,7 +47,7 @@ def correlation_importance(table: DataFrame, cols: list[str], label: str) -> Dat
     r = longf.groupBy("feature").agg(F.abs(F.corr("value", "_y")).alias("a"))
     r = r.withColumn("a", F.coalesce(F.col("a"), F.lit(0.0)))
     total = F.sum("a").over(Window.partitionBy(F.lit(1)))  # one row per feature
-    return r.select("feature", (F.col("a") / total).alias("importance"))
+    return r.select("feature", F.coalesce(F.try_divide(F.col("a"), total), F.lit(0.0)).alias("importance"))
 
 
 def feature_reference_stats(table: DataFrame, cols: list[str]) -> DataFrame:

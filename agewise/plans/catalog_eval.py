@@ -417,8 +417,8 @@ def _describe(spark, d):
 
 def _fx(x: str, d: int) -> str:
     sc = f"CAST({10 ** d} AS DOUBLE)"
-    return (f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(CAST(floor(abs({x}) * {sc} + 0.5) / {sc} "
-            f"AS DECIMAL(38, {d})) AS VARCHAR))")
+    r = f"(CASE WHEN abs({x}) * {sc} < 9.0e15 THEN floor(abs({x}) * {sc} + 0.5) / {sc} ELSE abs({x}) END)"
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(CAST({r} AS DECIMAL(38, {d})) AS VARCHAR))"
 
 
 def describe_parts() -> tuple[str, str]:

@@ -17,7 +17,7 @@ def panel_summary(clean: DataFrame, spec: PanelSpec, approx_distinct: bool = Fal
             F.min(spec.period).alias("period_min"), F.max(spec.period).alias("period_max"),
             F.min(spec.age).alias("age_min"), F.max(spec.age).alias("age_max"),
             F.avg(spec.weight).alias("avg_weight")]
-    aggs += [(F.count(s) / n * 100).alias(f"pct_{s}") for s in spec.stats]
+    aggs += [(F.try_divide(F.count(s), n) * 100).alias(f"pct_{s}") for s in spec.stats]
     return clean.agg(*aggs)
 
 

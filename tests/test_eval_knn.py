@@ -100,3 +100,19 @@ def test_exact_knn_without_queries_is_empty(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 1.0])], "id long, vec array<double>")
     out = exact_knn(df.filter("id > 5"), df, "id", "vec", 3)
     assert out.count() == 0 and out.columns == ["query_id", "neighbor_id", "distance", "rank"]
+
+
+def test_metrics_on_degenerate_inputs_do_not_fail(spark):
+    empty = spark.createDataFrame([], "label int, pred int, p0 double, p1 double")
+    assert E.f1_averages(empty, "label", "pred", 2).first().f1_weighted is None
+    one_class = spark.createDataFrame([(1, 1, 0.2, 0.8), (1, 1, 0.4, 0.6)], "label int, pred int, p0 double, p1 double")
+    auc = {r["class"]: r.auc for r in E.auc_ovr(one_class, "label", ["p0", "p1"]).collect()}
+    assert auc == {1: None}  # no negatives: undefined, not an error
+    roc = E.roc_points(one_class, "label", ["p0", "p1"]).collect()
+    assert all(r.fpr is None and r.tpr is not None for r in roc)
+    from agewise.functions.columns import fixed
+    big = spark.createDataFrame([(1e45,), (-2.675,), (0.125,), (-0.001,)], "x double").select(
+        fixed(F.col("x"), 2).alias("s")).collect()
+    # 2.675 * 100 is 267.5 in floating point: half up gives 2.68 (see fixed())
+    assert [r.s for r in big[1:]] == ["-2.68", "0.13", "-0.00"] and big[0].s.startswith("1000000000000000")
+    assert len(big[0].s.split(".")[0]) == 46
