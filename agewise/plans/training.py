@@ -45,6 +45,10 @@ class ForestConfig:
     scale: bool = True
     balanced: bool = True
     max_bins: int = 32
+    # histogram budget per task (Spark's default): every concurrent task may
+    # hold this much, so raise it only where executors have the heap for it
+    # (on sf0.1, 1024 instead of 256 fitted 500 trees in 19 s instead of 26 s)
+    max_memory_mb: int = 256
 
 
 # Fixed values of the original random search (min-split axis dropped):
@@ -76,8 +80,9 @@ def forest_pipeline(features: list[str], label: str, cfg: ForestConfig) -> Pipel
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=cfg.n_trees,
                                 maxDepth=_depth(cfg.max_depth), minInstancesPerNode=cfg.min_leaf,
                                 featureSubsetStrategy=cfg.max_features, seed=cfg.seed, maxBins=cfg.max_bins,
-                                # larger node groups = fewer passes per tree level
-                                maxMemoryInMB=1024, cacheNodeIds=True)
+                                maxMemoryInMB=cfg.max_memory_mb,
+                                # node ids cached between levels: no re-descent of the trees per pass
+                                cacheNodeIds=True)
     if cfg.balanced:
         stages.append(BalancedWeights(labelCol=label, weightCol="_weight"))
         rf.setWeightCol("_weight")
