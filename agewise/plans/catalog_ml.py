@@ -191,7 +191,10 @@ query("model_store")(_model_store)
 
 
 def _evaluation_run(spark, d):
-    model = _fit(spark, d)
+    # E12 as in the original: the evaluation starts from a stored model
+    path = TR.model_path(spark, "evaluation")
+    TR.save_model(_fit(spark, d), path, T3_FEATURES, {"note": "registered query"})
+    model, _ = TR.load_model(path)
     return SC.evaluation_run(model, train_t3(spark, d), LABEL, "name", K)["report"]
 
 
