@@ -187,7 +187,10 @@ def _model_store(spark, d):
                                  F.lit(len(meta["feature_columns"])).alias("n_features"))
 
 
-query("model_store")(_model_store)
+# twin: every cohort row scored by both models, all predictions equal, the
+# stored metadata lists every feature
+query("model_store", O.sql(
+    f"SELECT count(*) AS n, count(*) AS n_same, {len(T3_FEATURES)} AS n_features FROM t3_train"))(_model_store)
 
 
 def _evaluation_run(spark, d):
