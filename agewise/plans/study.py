@@ -18,7 +18,11 @@ from .training import ForestConfig, importances
 
 
 def run_study(raw: DataFrame, preset: CohortPreset, forest: ForestConfig | None = None, n_iter: int = 30,
-              folds: int = 5, seed: int = 42, neighbors: int = 5) -> dict:
+              folds: int = 5, seed: int = 42, neighbors: int = 5, explain: DataFrame | None = None) -> dict:
+    """``explain``: entities (one column named like the entity) whose nearest
+    comparables are wanted; by default every cohort entity.  Exact search is
+    queries x candidates work, so at large scale pass the entities of interest
+    (the candidates are always the whole cohort)."""
     spark = raw.sparkSession
     entity, label = preset.panel.entity, preset.label_col
     k = 3 if preset.label == "tier" else 2
@@ -40,7 +44,9 @@ def run_study(raw: DataFrame, preset: CohortPreset, forest: ForestConfig | None
         "panel_summary": D.panel_summary(clean, preset.panel),
         "feature_corr": D.feature_outcome_corr(table, feats, label),
         "missingness": D.missingness(table, feats),
-        "comparables": SC.comparables(model, table, table, entity, label, neighbors),
+        "comparables": SC.comparables(
+            model, table if explain is None else table.join(explain.select(entity).distinct(), entity, "left_semi"),
+            table, entity, label, neighbors),
     }
     if preset.label == "tier":
         baseline = [f for f in feats if f.startswith(f"age{preset.baseline_age}_")]

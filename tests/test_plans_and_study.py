@@ -53,3 +53,7 @@ def test_run_study_small(spark, small_dir):
     assert out["importances"].count() == 42
     assert abs(sum(r.importance for r in out["importances"].collect()) - 1.0) < 1e-9
     assert out["comparables"].groupBy("name").count().filter("count != 5").count() == 0
+    few = out["table"].select("name").limit(3)  # a sample of entities to explain, the candidates stay whole
+    out2 = run_study(fx.panel(spark, small_dir, "panel_raw"), FIXTURE_TIER3, ForestConfig(n_trees=5), n_iter=1,
+                     folds=3, explain=few)
+    assert out2["comparables"].select("name").distinct().count() == 3
