@@ -20,7 +20,9 @@ def with_ordinal(df: DataFrame, name: str = ORDINAL) -> DataFrame:
 
 def ensure_columns(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """An expected numeric column that is absent becomes an all-null column; an
-    absent ingest-order tie-break column is created from the read order."""
+    absent ingest-order tie-break column is created from the current row order
+    (stamp it at the scan with ``load_panel(..., ordinal=...)`` when earlier
+    steps may have shuffled the rows)."""
     missing = [c for c in spec.numeric if c not in df.columns]
     for c in missing:
         df = df.withColumn(c, F.lit(None).cast("double"))
