@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import fixed as FX
+
 # A string counts as a number when it looks like one; anything else becomes
 # null, as a "coerce" numeric conversion does.  (A plain cast would accept
 # Java literals such as '1d'.)
@@ -84,27 +86,29 @@ def signed_fixed(x: Column, digits: int) -> Column:
     return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("+")), fixed(F.abs(x), digits))
 
 
-# ---------------------------------------------------------------------------
-# Fixed values of the original application: band limits and their words.
-#   confidence: max probability >= 0.6 HIGH, >= 0.4 MEDIUM, else LOW
-#   risk: probability >= 0.7 Low, >= 0.4 Medium, else High
-#   signal of a change: missing or 0 "↔ stable", > 0 "↑ spacing increase",
-#                       < 0 "↓ efficient role shift"
-# ---------------------------------------------------------------------------
+def _bands(x: Column, bands, otherwise: str) -> Column:
+    expr = None
+    for limit, word in bands:
+        expr = F.when(x >= limit, word) if expr is None else expr.when(x >= limit, word)
+    return expr.otherwise(otherwise)
+
+
 def confidence_band(*probs: Column) -> Column:
-    top = F.greatest(*probs)
-    return (F.when(top >= 0.6, "HIGH").when(top >= 0.4, "MEDIUM").otherwise("LOW"))
+    """Band of the largest class probability (limits and words in agewise.fixed)."""
+    return _bands(F.greatest(*probs), FX.CONFIDENCE_BANDS, FX.CONFIDENCE_ELSE)
 
 
 def risk_band(p: Column) -> Column:
-    return F.when(p >= 0.7, "Low").when(p >= 0.4, "Medium").otherwise("High")
+    """Risk words from the probability of reaching the outcome."""
+    return _bands(p, FX.RISK_BANDS, FX.RISK_ELSE)
 
 
 def signal_direction(delta: Column) -> Column:
-    return (F.when(delta.isNull() | F.isnan(delta), "↔ stable")
-            .when(delta > 0, "↑ spacing increase")
-            .when(delta < 0, "↓ efficient role shift")
-            .otherwise("↔ stable"))
+    """Direction word of a change: missing or zero is flat."""
+    return (F.when(delta.isNull() | F.isnan(delta), FX.SIGNAL_FLAT)
+            .when(delta > 0, FX.SIGNAL_UP)
+            .when(delta < 0, FX.SIGNAL_DOWN)
+            .otherwise(FX.SIGNAL_FLAT))
 
 
 def lookup(mapping: dict, key: Column, default: str | None = None) -> Column:

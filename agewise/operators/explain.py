@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from ..functions.columns import confidence_band, fixed, risk_band, signal_direction, signed_fixed
+from ..functions.text import render
 from ..spec import TIER_LABELS
 
 
@@ -80,46 +82,35 @@ def top_factors(contrib: DataFrame, entity: str, n: int = 5) -> DataFrame:
     return signed.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-# ---------------------------------------------------------------------------
-# Fixed values of the original application: explanation sentences.
-#   magnitude: |z| > 1.5 "significantly", |z| > 0.5 "moderately", else "slightly"
-#   direction: z > 0 "above", else "below"; change: value > 0 "increased",
-#   else "decreased"
-#   baseline:  "{stat} at age {a} is {magnitude} {direction} average ({value:.2f} vs {mean:.2f})"
-#   delta:     "{stat} {change} by {|value|:.2f} from age {a} to {age}"
-#   total:     "Total {stat} {change} by {|value|:.3f} from {a}-{age}"
-#   velocity:  "Adaptation rate for {stat}: {value:.3f} per year"
-#   seasons:   "Had {int(value)} seasons of experience by age {a}"
-#   high:      "Career high {stat} was {value:.1f}%"
-#   mean:      "Career average {stat} before {a} was {value:+.1f}"
-#   other:     "{feature}: {value:.2f}"
-# ---------------------------------------------------------------------------
 def describe_factor(category: Column, feature: Column, stat: Column, age: Column, value: Column,
                     mean: Column, z: Column, base_age: int, high_name: str, mean_name: str,
                     seasons_name: str) -> Column:
-    """The templated sentence of one contribution."""
-    a = F.lit(str(base_age))
-    mag = F.when(F.abs(z) > 1.5, "significantly").when(F.abs(z) > 0.5, "moderately").otherwise("slightly")
-    direction = F.when(z > 0, "above").otherwise("below")
-    change = F.when(value > 0, "increased").otherwise("decreased")
-    age_s = age.cast("string")
-    return (
-        F.when(category == "baseline", F.concat(stat, F.lit(" at age "), a, F.lit(" is "), mag, F.lit(" "),
-                                                direction, F.lit(" average ("), fixed(value, 2), F.lit(" vs "),
-                                                fixed(mean, 2), F.lit(")")))
-        .when(category == "delta", F.concat(stat, F.lit(" "), change, F.lit(" by "), fixed(F.abs(value), 2),
-                                            F.lit(" from age "), a, F.lit(" to "), age_s))
-        .when(feature.startswith("total_"), F.concat(F.lit("Total "), stat, F.lit(" "), change, F.lit(" by "),
-                                                     fixed(F.abs(value), 3), F.lit(" from "), a, F.lit("-"), age_s))
-        .when(category == "trend", F.concat(F.lit("Adaptation rate for "), stat, F.lit(": "), fixed(value, 3),
-                                            F.lit(" per year")))
-        .when(feature == seasons_name, F.concat(F.lit("Had "), value.cast("bigint").cast("string"),
-                                                F.lit(" seasons of experience by age "), a))
-        .when(feature == high_name, F.concat(F.lit("Career high "), stat, F.lit(" was "), fixed(value, 1),
-                                             F.lit("%")))
-        .when(feature == mean_name, F.concat(F.lit("Career average "), stat, F.lit(" before "), a,
-                                             F.lit(" was "), signed_fixed(value, 1)))
-        .otherwise(F.concat(feature, F.lit(": "), fixed(value, 2))))
+    """The templated sentence of one contribution (templates, words and
+    limits in agewise.fixed)."""
+    mag = None
+    for limit, word in FX.MAGNITUDES:
+        mag = F.when(F.abs(z) > limit, word) if mag is None else mag.when(F.abs(z) > limit, word)
+    parts = {
+        "stat": stat, "base": F.lit(str(base_age)), "age": age.cast("string"), "feature": feature,
+        "magnitude": mag.otherwise(FX.MAGNITUDE_ELSE),
+        "direction": F.when(z > 0, FX.ABOVE).otherwise(FX.BELOW),
+        "change": F.when(value > 0, FX.INCREASED).otherwise(FX.DECREASED),
+        "value1": fixed(value, 1), "value2": fixed(value, 2), "value3": fixed(value, 3),
+        "abs2": fixed(F.abs(value), 2), "abs3": fixed(F.abs(value), 3), "mean2": fixed(mean, 2),
+        "int": value.cast("bigint").cast("string"), "signed1": signed_fixed(value, 1),
+    }
+    T = FX.TEMPLATES
+
+    def r(key):
+        return render(T[key], **parts)
+    return (F.when(category == "baseline", r("baseline"))
+            .when(category == "delta", r("delta"))
+            .when(feature.startswith("total_"), r("total"))
+            .when(category == "trend", r("velocity"))
+            .when(feature == seasons_name, r("seasons"))
+            .when(feature == high_name, r("high"))
+            .when(feature == mean_name, r("mean"))
+            .otherwise(r("other")))
 
 
 def with_confidence(scored: DataFrame, prob_cols: list[str]) -> DataFrame:
@@ -142,26 +133,18 @@ def with_signals(table: DataFrame, delta_cols: dict) -> DataFrame:
 
 def interpretation(label_word: Column, entity: Column, pct: Column, strength: Column, concern: Column,
                    comp_names: Column, comp_labels: Column) -> Column:
-    """Opening by class, strongest positive and negative factor, and the
-    first three comparables.  Fixed opening sentences of the application:
-      THRIVED:  "The model predicts {e} will THRIVE into their late 30s ({p} probability)."
-      SURVIVED: "The model predicts {e} will SURVIVE as a valuable rotation player ({p} probability)."
-      other:    "The model predicts {e} will struggle to adapt (FADED tier, {p} probability)."
-    then " Key strength: {s}." / " Main concern: {c}." /
-    " Similar to players like {names} (outcomes: {labels})." when present."""
-    opening = (F.when(label_word == TIER_LABELS[2],
-                      F.concat(F.lit("The model predicts "), entity, F.lit(" will THRIVE into their late 30s ("),
-                               pct, F.lit(" probability).")))
-               .when(label_word == TIER_LABELS[1],
-                     F.concat(F.lit("The model predicts "), entity,
-                              F.lit(" will SURVIVE as a valuable rotation player ("), pct, F.lit(" probability).")))
-               .otherwise(F.concat(F.lit("The model predicts "), entity,
-                                   F.lit(" will struggle to adapt (FADED tier, "), pct, F.lit(" probability)."))))
-    s = F.when(strength.isNotNull(), F.concat(F.lit(" Key strength: "), strength, F.lit("."))).otherwise(F.lit(""))
-    c = F.when(concern.isNotNull(), F.concat(F.lit(" Main concern: "), concern, F.lit("."))).otherwise(F.lit(""))
-    names = F.slice(comp_names, 1, 3)
-    labels = F.slice(comp_labels, 1, 3)
-    comp = F.when(F.size(names) > 0, F.concat(F.lit(" Similar to players like "), F.array_join(names, ", "),
-                                              F.lit(" (outcomes: "), F.array_join(labels, ", "), F.lit(")."))
-                  ).otherwise(F.lit(""))
+    """Opening by predicted class, strongest positive and negative factor,
+    and the first comparables (sentences in agewise.fixed)."""
+    opening = None
+    for code in (2, 1):
+        t = render(FX.OPENINGS[code], entity=entity, pct=pct)
+        cond = label_word == TIER_LABELS[code]
+        opening = F.when(cond, t) if opening is None else opening.when(cond, t)
+    opening = opening.otherwise(render(FX.OPENINGS[0], entity=entity, pct=pct))
+    s = F.when(strength.isNotNull(), render(FX.STRENGTH, text=strength)).otherwise(F.lit(""))
+    c = F.when(concern.isNotNull(), render(FX.CONCERN, text=concern)).otherwise(F.lit(""))
+    n = FX.COMPARABLES_IN_SENTENCE
+    names, labels = F.slice(comp_names, 1, n), F.slice(comp_labels, 1, n)
+    comp = F.when(F.size(names) > 0, render(FX.SIMILAR, names=F.array_join(names, ", "),
+                                            labels=F.array_join(labels, ", "))).otherwise(F.lit(""))
     return F.concat(opening, s, c, comp)

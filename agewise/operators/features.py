@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from ..functions.columns import position_code
 from ..spec import CohortPreset, clean_stat_name
 from .cohort import eligibility_condition
@@ -159,13 +160,10 @@ def training_dataset(clean: DataFrame, preset: CohortPreset, categories=None) ->
 # What-if rows and request rows
 # --------------------------------------------------------------------------
 
-# Fixed values of the original what-if form: the change entered for ages
-# 30->33 is spread as 1/3, 2/3 and 3/3 over the three delta ages; stats
-# without an input get a zero change; career mean impact = 0.8 x baseline
-# impact; position code 3.
-SCENARIO_SHARES = (1 / 3, 2 / 3, 1.0)
-SCENARIO_CAREER_MEAN_FACTOR = 0.8
-SCENARIO_POSITION = 3
+# What-if constants of the original form (agewise.fixed).
+SCENARIO_SHARES = FX.SCENARIO_SHARES
+SCENARIO_CAREER_MEAN_FACTOR = FX.SCENARIO_CAREER_MEAN_FACTOR
+SCENARIO_POSITION = FX.SCENARIO_POSITION
 
 
 def scenario_features(scenarios: DataFrame, preset: CohortPreset, changed_stats,

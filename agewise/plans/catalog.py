@@ -298,13 +298,8 @@ query("outcome_tier", O.sql("SELECT name, adaptability_tier FROM t3_tier"))(
 query("outcome_reached", O.sql("SELECT name, played_to_35 FROM bn_out"))(
     lambda spark, d: L.outcome_labels(clean_bn(spark, d), BN))
 query("tier_names", O.sql(
-    "SELECT name, adaptability_tier, CASE adaptability_tier WHEN 0 THEN 'FADED' WHEN 1 THEN 'SURVIVED' "
-    "WHEN 2 THEN 'THRIVED' ELSE 'Unknown' END AS adaptability_tier_label, "
-    "CASE adaptability_tier "
-    "WHEN 0 THEN 'FADED - Could not adapt to aging, out of league or minimal impact after 35' "
-    "WHEN 1 THEN 'SURVIVED - Adapted to reduced role, remained valuable rotation player after 35' "
-    "WHEN 2 THEN 'THRIVED - Remained high-impact player, starter-quality into late 30s' "
-    "ELSE 'Unknown' END AS adaptability_tier_description FROM t3_train"))(
+    f"SELECT name, adaptability_tier, {O.tier_label_sql('adaptability_tier')} AS adaptability_tier_label, "
+    f"{O.tier_description_sql('adaptability_tier')} AS adaptability_tier_description FROM t3_train"))(
     lambda spark, d: L.tier_names(train_t3(spark, d).select("name", T3.label_col), T3.label_col))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, round6
+from .. import fixed as FXV
 from ..session import materialize
 from ..operators import explain as X
 from ..operators import features as FE
@@ -247,7 +248,7 @@ query("correct_examples", esql(
     "WHERE rank <= 5"))(
     lambda spark, d: E.correct_examples(test_rows(spark, d), "label", "pred", "name", 5))
 
-_LABEL_SQL = "CASE {c} WHEN 0 THEN 'FADED' WHEN 1 THEN 'SURVIVED' WHEN 2 THEN 'THRIVED' ELSE 'Unknown' END"
+_LABEL_SQL = O.tier_label_sql("{c}")
 query("misclassified", esql(
     "SELECT name AS entity, CAST(label AS INT) AS actual, CAST(pred AS INT) AS predicted, "
     f"{_LABEL_SQL.format(c='label')} AS actual_label, {_LABEL_SQL.format(c='pred')} AS predicted_label "
@@ -359,8 +360,8 @@ query("importance_by_category", isql(
     lambda spark, d: round6(X.importance_by_category(importance(spark, d), FE.feature_schema(spark, T3))))
 
 query("confidence_band", esql(
-    "SELECT name, CASE WHEN greatest(p0, p1, p2) >= 0.6 THEN 'HIGH' WHEN greatest(p0, p1, p2) >= 0.4 "
-    "THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM sc2"))(
+    f"SELECT name, {O.bands_sql('greatest(p0, p1, p2)', FXV.CONFIDENCE_BANDS, FXV.CONFIDENCE_ELSE)} AS confidence "
+    "FROM sc2"))(
     lambda spark, d: X.with_confidence(scored(spark, d), PROBS).select("name", "confidence"))
 
 
@@ -422,24 +423,31 @@ def _fx(x: str, d: int) -> str:
 
 
 def describe_parts() -> tuple[str, str]:
-    """(sentence expression over ct + schema, schema VALUES list) for SQL twins."""
+    """(sentence expression over ct + schema, schema VALUES list) for SQL twins,
+    rendered from the same templates as the Spark operator."""
+    from .. import fixed as FX
+    from ..functions.text import render_sql
     sch = ", ".join(f"('{f.name}', '{f.category}', '{f.stat or ''}', {f.age})" for f in FE.features(T3))
-    mag = "CASE WHEN abs(z) > 1.5 THEN 'significantly' WHEN abs(z) > 0.5 THEN 'moderately' ELSE 'slightly' END"
-    dirn = "CASE WHEN z > 0 THEN 'above' ELSE 'below' END"
-    chg = "CASE WHEN value > 0 THEN 'increased' ELSE 'decreased' END"
+    mag = "CASE " + " ".join(f"WHEN abs(z) > {lim} THEN '{w}'" for lim, w in FX.MAGNITUDES) + \
+        f" ELSE '{FX.MAGNITUDE_ELSE}' END"
     b = T3.baseline_age
-    expr = (
-        f"CASE WHEN category = 'baseline' THEN stat || ' at age {b} is ' || {mag} || ' ' || {dirn} || ' average (' "
-        f"|| {_fx('value', 2)} || ' vs ' || {_fx('mean', 2)} || ')' "
-        f"WHEN category = 'delta' THEN stat || ' ' || {chg} || ' by ' || {_fx('abs(value)', 2)} || ' from age {b} to ' || CAST(age AS VARCHAR) "
-        f"WHEN starts_with(feature, 'total_') THEN 'Total ' || stat || ' ' || {chg} || ' by ' || {_fx('abs(value)', 3)} "
-        f"|| ' from {b}-' || CAST(age AS VARCHAR) "
-        f"WHEN category = 'trend' THEN 'Adaptation rate for ' || stat || ': ' || {_fx('value', 3)} || ' per year' "
-        f"WHEN feature = 'seasons_at_{b}' THEN 'Had ' || CAST(CAST(value AS BIGINT) AS VARCHAR) || ' seasons of experience by age {b}' "
-        f"WHEN feature = '{T3.career_high[1]}' THEN 'Career high ' || stat || ' was ' || {_fx('value', 1)} || '%' "
-        f"WHEN feature = '{T3.career_mean[1]}' THEN 'Career average ' || stat || ' before {b} was ' || "
-        f"CASE WHEN value < 0 THEN '-' ELSE '+' END || {_fx('abs(value)', 1)} "
-        f"ELSE feature || ': ' || {_fx('value', 2)} END")
+    parts = {
+        "stat": "stat", "base": f"'{b}'", "age": "CAST(age AS VARCHAR)", "feature": "feature", "magnitude": mag,
+        "direction": f"CASE WHEN z > 0 THEN '{FX.ABOVE}' ELSE '{FX.BELOW}' END",
+        "change": f"CASE WHEN value > 0 THEN '{FX.INCREASED}' ELSE '{FX.DECREASED}' END",
+        "value1": _fx("value", 1), "value2": _fx("value", 2), "value3": _fx("value", 3),
+        "abs2": _fx("abs(value)", 2), "abs3": _fx("abs(value)", 3), "mean2": _fx("mean", 2),
+        "int": "CAST(CAST(value AS BIGINT) AS VARCHAR)",
+        "signed1": "(CASE WHEN value < 0 THEN '-' ELSE '+' END || " + _fx("abs(value)", 1) + ")",
+    }
+
+    def r(key):
+        return render_sql(FX.TEMPLATES[key], **parts)
+    expr = (f"CASE WHEN category = 'baseline' THEN {r('baseline')} WHEN category = 'delta' THEN {r('delta')} "
+            f"WHEN starts_with(feature, 'total_') THEN {r('total')} WHEN category = 'trend' THEN {r('velocity')} "
+            f"WHEN feature = 'seasons_at_{b}' THEN {r('seasons')} "
+            f"WHEN feature = '{T3.career_high[1]}' THEN {r('high')} "
+            f"WHEN feature = '{T3.career_mean[1]}' THEN {r('mean')} ELSE {r('other')} END")
     return expr, sch
 
 
@@ -461,13 +469,11 @@ def _bn_scored(spark, d):
 
 query("risk_band", O.sql(
     "SELECT name, mp_age28 / (mp_age28 + 150) AS probability, mp_age28 / (mp_age28 + 150) >= 0.5 AS prediction, "
-    "CASE WHEN mp_age28 / (mp_age28 + 150) >= 0.7 THEN 'Low' WHEN mp_age28 / (mp_age28 + 150) >= 0.4 THEN 'Medium' "
-    "ELSE 'High' END AS risk_level FROM bn_train"))(
+    f"{O.bands_sql('mp_age28 / (mp_age28 + 150)', FXV.RISK_BANDS, FXV.RISK_ELSE)} AS risk_level FROM bn_train"))(
     lambda spark, d: X.with_risk(_bn_scored(spark, d), "probability").select(
         "name", "probability", "prediction", "risk_level"))
 
-_SIG = ("CASE WHEN {c} IS NULL OR isnan({c}) THEN '↔ stable' WHEN {c} > 0 THEN '↑ spacing increase' "
-        "WHEN {c} < 0 THEN '↓ efficient role shift' ELSE '↔ stable' END")
+_SIG = O.signal_sql("{c}")
 query("signal_direction", O.sql(
     "SELECT name, " + ", ".join(f"{_SIG.format(c=f'{s}_delta_age29')} AS signal_{s}" for s in ("par", "ast", "usg"))
     + " FROM bn_train"))(

@@ -19,6 +19,7 @@ from ..operators import features as FE
 from ..operators.knn import exact_knn, similarity
 from ..operators.prep import MedianImputer, PopulationScaler
 from ..operators.split import stratified_folds
+from .. import fixed as FXV
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import readers as R
@@ -340,13 +341,13 @@ def _ranking_scored(spark, d):
     return SC.ranking_table(scored(spark, d), "name", "label", K)
 
 
-_TL = "CASE {c} WHEN 0 THEN 'FADED' WHEN 1 THEN 'SURVIVED' WHEN 2 THEN 'THRIVED' ELSE 'Unknown' END"
+_TL = O.tier_label_sql("{c}")
 _R3 = "floor({p} * 1000 + 0.5) / 1000"
 RANKING_SQL = esql(
     "SELECT name, pred AS predicted_tier, " + _TL.format(c="pred") + " AS predicted_label, "
     + ", ".join(f"{_R3.format(p=p)} AS prob_{i}" for i, p in enumerate(PROBS))
-    + ", CASE WHEN greatest(p0, p1, p2) >= 0.6 THEN 'HIGH' WHEN greatest(p0, p1, p2) >= 0.4 THEN 'MEDIUM' "
-    "ELSE 'LOW' END AS confidence, CAST(label AS INT) AS actual_tier, " + _TL.format(c="label")
+    + ", " + O.bands_sql("greatest(p0, p1, p2)", FXV.CONFIDENCE_BANDS, FXV.CONFIDENCE_ELSE)
+    + " AS confidence, CAST(label AS INT) AS actual_tier, " + _TL.format(c="label")
     + " AS actual_label, pred = label AS correct FROM sc2")
 query("ranking_table_scored", RANKING_SQL)(_ranking_scored)
 query("hit_rate_scored", esql(
@@ -383,14 +384,14 @@ def _interpretation_sql() -> str:
         "cm AS (SELECT name, string_agg(neighbor, ', ' ORDER BY rank) AS names, string_agg("
         + _TL.format(c="tier") + ", ', ' ORDER BY rank) AS labels FROM kn GROUP BY name)",
     ]
+    from .. import fixed as FX
+    from ..functions.text import render_sql
+    op = {c: render_sql(FX.OPENINGS[c], entity="s.name", pct=pct) for c in (2, 1, 0)}
     sel = (
-        "SELECT s.name, CASE WHEN s.pred = 2 THEN 'The model predicts ' || s.name || ' will THRIVE into their "
-        f"late 30s (' || {pct} || ' probability).' WHEN s.pred = 1 THEN 'The model predicts ' || s.name || "
-        f"' will SURVIVE as a valuable rotation player (' || {pct} || ' probability).' ELSE 'The model predicts ' "
-        f"|| s.name || ' will struggle to adapt (FADED tier, ' || {pct} || ' probability).' END "
-        "|| coalesce(' Key strength: ' || pd.description || '.', '') "
-        "|| coalesce(' Main concern: ' || nd.description || '.', '') "
-        "|| coalesce(' Similar to players like ' || cm.names || ' (outcomes: ' || cm.labels || ').', '') "
+        f"SELECT s.name, CASE WHEN s.pred = 2 THEN {op[2]} WHEN s.pred = 1 THEN {op[1]} ELSE {op[0]} END "
+        f"|| coalesce({render_sql(FX.STRENGTH, text='pd.description')}, '') "
+        f"|| coalesce({render_sql(FX.CONCERN, text='nd.description')}, '') "
+        f"|| coalesce({render_sql(FX.SIMILAR, names='cm.names', labels='cm.labels')}, '') "
         "AS interpretation FROM sc2 s "
         "LEFT JOIN (SELECT t.name, d.description FROM tf t JOIN ds d ON d.name = t.name AND d.feature = t.feature "
         "WHERE t.sign = 'positive') pd ON pd.name = s.name "

@@ -23,8 +23,7 @@ def _stream_requests(spark, d):
     return spark.read.parquet(os.path.join(base, "out"))
 
 
-_SIG = ("CASE WHEN {c} IS NULL OR isnan({c}) THEN '↔ stable' WHEN {c} > 0 THEN '↑ spacing increase' "
-        "WHEN {c} < 0 THEN '↓ efficient role shift' ELSE '↔ stable' END")
+_SIG = O.signal_sql("{c}")
 
 
 def _sql() -> str:

@@ -176,3 +176,29 @@ AVG_FEATURES = {T3.career_mean[1]}
 def feature_cols(cols, prefix: str = "") -> str:
     """Feature columns, rounding only those that are averages of doubles."""
     return ", ".join(r6(f"{prefix}{c}", c) if c in AVG_FEATURES else f"{prefix}{c}" for c in cols)
+
+
+# --- SQL forms of the fixed words (agewise.fixed), for the twins -------------
+def _case_map(col: str, mapping: dict) -> str:
+    whens = " ".join(f"WHEN {k} THEN '{v}'" for k, v in mapping.items())
+    return f"CASE {col} {whens} ELSE 'Unknown' END"
+
+
+def tier_label_sql(col: str) -> str:
+    from .. import fixed as FX
+    return _case_map(col, FX.TIER_LABELS)
+
+
+def tier_description_sql(col: str) -> str:
+    from .. import fixed as FX
+    return _case_map(col, FX.TIER_DESCRIPTIONS)
+
+
+def bands_sql(x: str, bands, otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} >= {lim} THEN '{w}'" for lim, w in bands) + f" ELSE '{otherwise}' END"
+
+
+def signal_sql(c: str) -> str:
+    from .. import fixed as FX
+    return (f"CASE WHEN {c} IS NULL OR isnan({c}) THEN '{FX.SIGNAL_FLAT}' WHEN {c} > 0 THEN '{FX.SIGNAL_UP}' "
+            f"WHEN {c} < 0 THEN '{FX.SIGNAL_DOWN}' ELSE '{FX.SIGNAL_FLAT}' END")

@@ -18,6 +18,7 @@ from ..operators import explain as X
 from ..operators.knn import exact_knn, similarity
 from ..operators.labels import tier_label
 from ..operators.split import stratified_folds, stratified_split
+from .. import fixed as FX
 from ..spec import TIER_LABELS
 from . import evaluation as E
 from .training import (ForestConfig, config_dict, cv_scores, forest_pipeline, importances, model_path,
@@ -119,8 +120,7 @@ def prediction_records(scored: DataFrame, factors: DataFrame, comps: DataFrame,
         F.coalesce("comps", F.array()).alias("comparables"), text.alias("interpretation"))
 
 
-# Fixed value of the original binary response.
-GM_ADVICE = "Retain on short-term. Bench veteran or glue-guy role."
+GM_ADVICE = FX.GM_ADVICE  # the original binary response's constant advice
 
 
 def longevity_response(scored_p: DataFrame, entity: str, prob: str, signal_cols: dict,

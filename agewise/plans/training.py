@@ -26,6 +26,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from ..operators.prep import BalancedWeights, MedianImputer, PopulationScaler
 from ..session import checkpoint_dir
 
@@ -34,14 +35,13 @@ MAX_DEPTH_CAP = 30  # Spark's limit; stands in for "unlimited"
 
 @dataclass(frozen=True)
 class ForestConfig:
-    # Fixed values of the original three-tier model: 500 trees, depth 12,
-    # min leaf 10, sqrt features, balanced class weights, seed 42, impute +
-    # scale.  (Its min-split of 20 has no Spark counterpart.)
-    n_trees: int = 500
-    max_depth: int | None = 12
-    min_leaf: int = 10
-    max_features: str = "sqrt"
-    seed: int = 42
+    # defaults: the original three-tier model (agewise.fixed.FOREST), with
+    # balanced class weights and impute + scale
+    n_trees: int = FX.FOREST["n_trees"]
+    max_depth: int | None = FX.FOREST["max_depth"]
+    min_leaf: int = FX.FOREST["min_leaf"]
+    max_features: str = FX.FOREST["max_features"]
+    seed: int = FX.SEED
     scale: bool = True
     balanced: bool = True
     max_bins: int = 32
@@ -51,17 +51,9 @@ class ForestConfig:
     max_memory_mb: int = 256
 
 
-# Fixed values of the original random search (min-split axis dropped):
-TUNING_GRID = {
-    "n_trees": [200, 300, 500, 700],
-    "max_depth": [8, 10, 12, 15, None],
-    "min_leaf": [5, 8, 10, 15],
-    "max_features": ["sqrt", "log2"],
-}
-
-# The binary model of the original: impute only, 400 trees, unlimited depth,
-# balanced weights, seed 42, sqrt features.
-BINARY_FOREST = ForestConfig(n_trees=400, max_depth=None, min_leaf=1, scale=False)
+# the original random search grid (min-split axis dropped) and binary model
+TUNING_GRID = FX.TUNING_GRID
+BINARY_FOREST = ForestConfig(**FX.BINARY_FOREST, scale=False)
 
 
 def _depth(d):

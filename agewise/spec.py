@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from . import fixed as FX
+
 
 @dataclass(frozen=True)
 class PanelSpec:
@@ -53,18 +55,18 @@ class TierRule:
 
     rate_stat: str
     impact_stat: str
-    outcome_age: int = 35
-    top_min_rows: int = 3
-    top_rate: float = 0.100
-    top_impact: float = 1.5
-    top_weight: float = 1200.0
-    mid_min_rows: int = 2
-    mid_rate: float = 0.050
-    mid_impact: float = 0.0
-    mid_weight: float = 600.0
-    missing_rate: float = -999.0
-    missing_impact: float = -999.0
-    missing_weight: float = 0.0
+    outcome_age: int = FX.OUTCOME_AGE
+    top_min_rows: int = FX.TIER_RULE["top_min_rows"]
+    top_rate: float = FX.TIER_RULE["top_rate"]
+    top_impact: float = FX.TIER_RULE["top_impact"]
+    top_weight: float = FX.TIER_RULE["top_weight"]
+    mid_min_rows: int = FX.TIER_RULE["mid_min_rows"]
+    mid_rate: float = FX.TIER_RULE["mid_rate"]
+    mid_impact: float = FX.TIER_RULE["mid_impact"]
+    mid_weight: float = FX.TIER_RULE["mid_weight"]
+    missing_rate: float = FX.TIER_RULE["missing_rate"]
+    missing_impact: float = FX.TIER_RULE["missing_impact"]
+    missing_weight: float = FX.TIER_RULE["missing_weight"]
 
 
 @dataclass(frozen=True)
@@ -88,12 +90,12 @@ class CohortPreset:
     label: str  # "tier" | "reached"
     label_col: str
     tier_rule: TierRule | None = None
-    outcome_age: int = 35
+    outcome_age: int = FX.OUTCOME_AGE
     baseline_fmt: str = "age{age}_{stat}"
     delta_fmt: str = "delta_{stat}_{age}"
     with_context: bool = True
     position_rules: tuple[tuple[str, int], ...] = ()
-    position_default: int = 3
+    position_default: int = FX.POSITION_DEFAULT
     career_high: tuple[str, str] | None = None  # (stat, feature name)
     career_mean: tuple[str, str] | None = None
     seasons_name: str = "seasons_at_{age}"
@@ -112,30 +114,12 @@ def clean_stat_name(stat: str) -> str:
     return stat.replace("%", "pct").replace("/", "_")
 
 
-# ---------------------------------------------------------------------------
-# Fixed values of the original application (they define its results).
-# Stats of the three-tier study, in feature order:
-#   USG%, AST%, 3PAr, TS%, BPM, WS/48, MP, PER
-# Stats of the binary study, in feature order:
-#   3PAr, AST%, USG%, TS%, WS/48, BPM, MP
-# Weight limit 500 minutes; panel years 2005..2017; cohort: age 30 in
-# 2005..2012 (three-tier) or age 28 in 2005..2018 (binary); delta ages
-# 31, 32, 33 (three-tier) or 29, 30, 31 (binary); outcome age 35.
-# Tier rule: tier 2 = 3+ rows, (avg WS/48 >= 0.100 or avg BPM >= 1.5),
-# avg MP >= 1200; tier 1 = 2+ rows, (avg WS/48 >= 0.050 or avg BPM >= 0.0),
-# avg MP >= 600; missing averages count as -999 / -999 / 0.
-# Position rules, first hit wins: C -> 5, PF -> 4, SF -> 3, SG -> 2, PG -> 1,
-# anything else -> 3.
-# ---------------------------------------------------------------------------
-REFERENCE_TIER3_STATS = ("USG%", "AST%", "3PAr", "TS%", "BPM", "WS/48", "MP", "PER")
-REFERENCE_BINARY_STATS = ("3PAr", "AST%", "USG%", "TS%", "WS/48", "BPM", "MP")
-REFERENCE_POSITION_RULES = (("C", 5), ("PF", 4), ("SF", 3), ("SG", 2), ("PG", 1))
-TIER_LABELS = {0: "FADED", 1: "SURVIVED", 2: "THRIVED"}
-TIER_DESCRIPTIONS = {
-    0: "FADED - Could not adapt to aging, out of league or minimal impact after 35",
-    1: "SURVIVED - Adapted to reduced role, remained valuable rotation player after 35",
-    2: "THRIVED - Remained high-impact player, starter-quality into late 30s",
-}
+# The original's values live in agewise.fixed; these names are kept for imports.
+REFERENCE_TIER3_STATS = FX.TIER3_STATS
+REFERENCE_BINARY_STATS = FX.BINARY_STATS
+REFERENCE_POSITION_RULES = FX.POSITION_RULES
+TIER_LABELS = FX.TIER_LABELS
+TIER_DESCRIPTIONS = FX.TIER_DESCRIPTIONS
 
 REFERENCE_PANEL = PanelSpec(
     entity="Player", period="Year", age="Age", weight="MP",
@@ -145,14 +129,14 @@ REFERENCE_PANEL = PanelSpec(
 
 TIER3 = CohortPreset(
     name="tier3", panel=REFERENCE_PANEL, clean_names=True,
-    dedupe="total_else_max_weight", drop_null_keys=False, min_weight=500,
-    period_range=(2005, 2017), baseline_age=30, delta_ages=(31, 32, 33),
-    pick="latest", cohort_periods=(2005, 2012), distinct_entities=False,
+    dedupe="total_else_max_weight", drop_null_keys=False, min_weight=FX.MIN_WEIGHT,
+    period_range=FX.TIER3_PERIODS, baseline_age=FX.TIER3_BASELINE_AGE, delta_ages=FX.TIER3_DELTA_AGES,
+    pick="latest", cohort_periods=FX.TIER3_COHORT, distinct_entities=False,
     label="tier", label_col="adaptability_tier",
     tier_rule=TierRule(rate_stat="WS/48", impact_stat="BPM"),
-    position_rules=REFERENCE_POSITION_RULES, position_default=3,
+    position_rules=REFERENCE_POSITION_RULES, position_default=FX.POSITION_DEFAULT,
     career_high=("USG%", "career_high_USG"), career_mean=("BPM", "career_avg_BPM"),
-    trend_stats=("3PAr", "USG%", "TS%", "AST%"),
+    trend_stats=FX.TREND_STATS,
     velocity=(("USG%", "adaptation_velocity_USG"), ("3PAr", "adaptation_velocity_3PAr")),
 )
 
@@ -160,8 +144,8 @@ BINARY = CohortPreset(
     name="binary",
     panel=replace(REFERENCE_PANEL, stats=REFERENCE_BINARY_STATS),
     clean_names=False, dedupe="total_else_first", drop_null_keys=True,
-    min_weight=500, period_range=None, baseline_age=28, delta_ages=(29, 30, 31),
-    pick="earliest", cohort_periods=(2005, 2018), distinct_entities=True,
+    min_weight=FX.MIN_WEIGHT, period_range=None, baseline_age=FX.BINARY_BASELINE_AGE,
+    delta_ages=FX.BINARY_DELTA_AGES, pick="earliest", cohort_periods=FX.BINARY_COHORT, distinct_entities=True,
     label="reached", label_col="played_to_35",
     baseline_fmt="{raw}_age{age}", delta_fmt="{raw}_delta_age{age}",
     with_context=False,
