@@ -315,6 +315,13 @@ query("trajectory", O.sql(
         TRAJ_STATS, "(SELECT * FROM t3_clean WHERE age IN (30, 31, 32, 33))", ("name", "age"), "stat") + " u"))(
     lambda spark, d: D.trajectory(clean_t3(spark, d), S, (30, 31, 32, 33), TRAJ_STATS))
 
+query("trajectory_wide", O.sql(
+    "SELECT name, stat, " + ", ".join(f"arg_max_null(value, period) FILTER (WHERE age = {a}) AS age_{a}"
+                                      for a in (30, 31, 32, 33))
+    + " FROM " + _unpivot_nulls_sql(TRAJ_STATS, "(SELECT * FROM t3_clean WHERE age IN (30, 31, 32, 33))",
+                                    ("name", "age", "period"), "stat") + " u GROUP BY name, stat"))(
+    lambda spark, d: D.trajectory_wide(clean_t3(spark, d), S, (30, 31, 32, 33), TRAJ_STATS))
+
 CASE_NAMES = ["Customer#000000001", "Customer#000000011", "Customer#000000101", "Customer#000000211",
               "Customer#000001001"]
 query("case_table", esql(

@@ -61,6 +61,18 @@ def trajectory(clean: DataFrame, spec: PanelSpec, ages, stats) -> DataFrame:
         spec.entity, spec.age, F.col("feature").alias("stat"), "value")
 
 
+def trajectory_wide(clean: DataFrame, spec: PanelSpec, ages, stats) -> DataFrame:
+    """D6, wide form: one row per (entity, stat), one column per chosen age
+    (``age_<a>``); the age list is given, so the pivot needs no extra pass."""
+    rows = clean.filter(F.col(spec.age).isin(list(ages)))
+    longf = _long(rows.select(spec.entity, spec.age, spec.period, *stats), list(stats),
+                  ids=(spec.entity, spec.age, spec.period))
+    # two seasons at one age: the latest one, as the feature row does
+    return (longf.groupBy(spec.entity, F.col("feature").alias("stat")).pivot(spec.age, list(ages))
+                 .agg(F.max_by("value", spec.period))
+                 .select(spec.entity, "stat", *[F.col(str(a)).alias(f"age_{a}") for a in ages]))
+
+
 def case_table(scored: DataFrame, entity: str, names: list[str], cols: list[str]) -> DataFrame:
     """The named entities with the chosen columns (a small literal list,
     applied as a semi join the planner can broadcast)."""

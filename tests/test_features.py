@@ -69,3 +69,11 @@ def test_duplicate_eligible_pairs_repeat_rows(spark):
     bn = FE.training_dataset(clean_panel(panel(spark, rows), FIXTURE_BINARY.with_(baseline_age=30)),
                              FIXTURE_BINARY.with_(baseline_age=30))
     assert sorted(r.name for r in bn.collect()) == ["a", "b"]
+
+
+def test_trajectory_wide_takes_latest_season_at_an_age(spark):
+    from agewise.plans.describe import trajectory_wide
+    df = panel(spark, [("a", 1, 30, "C", 100.0, 1.0, 0.0), ("a", 2, 30, "C", 200.0, 2.0, 0.0),
+                       ("a", 3, 31, "C", 300.0, 3.0, 0.0)])
+    r = {x.stat: x for x in trajectory_wide(df, FIXTURE_TIER3.panel, (30, 31, 32), ["usg"]).collect()}
+    assert (r["usg"].age_30, r["usg"].age_31, r["usg"].age_32) == (2.0, 3.0, None)

@@ -57,3 +57,14 @@ def test_run_study_small(spark, small_dir):
     out2 = run_study(fx.panel(spark, small_dir, "panel_raw"), FIXTURE_TIER3, ForestConfig(n_trees=5), n_iter=1,
                      folds=3, explain=few)
     assert out2["comparables"].select("name").distinct().count() == 3
+
+
+def test_scale_settings_size_partitions():
+    from agewise.session import scale_settings
+    small = scale_settings(10 << 20)
+    assert small["spark.sql.shuffle.partitions"] == "200"  # floor
+    big = scale_settings(100 << 40)
+    assert big["spark.sql.shuffle.partitions"] == "200000"  # cap
+    mid = scale_settings(1 << 40)
+    assert int(mid["spark.sql.shuffle.partitions"]) == (1 << 40) // (128 << 20)
+    assert mid["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
