@@ -105,6 +105,18 @@ class CohortPreset:
     trend_age: int | None = None  # age of the "total change" (last delta age)
     names: dict = field(default_factory=dict)  # stat -> display name for features
 
+    def __post_init__(self):
+        if self.label not in ("tier", "reached"):
+            raise ValueError(f"label must be 'tier' or 'reached', not {self.label!r}")
+        if self.label == "tier" and self.tier_rule is None:
+            raise ValueError("a 'tier' label needs a tier_rule")
+        if self.dedupe not in ("total_else_max_weight", "total_else_first"):
+            raise ValueError(f"unknown de-duplication {self.dedupe!r}")
+        if self.pick not in ("latest", "earliest"):
+            raise ValueError(f"pick must be 'latest' or 'earliest', not {self.pick!r}")
+        if not self.delta_ages:
+            raise ValueError("at least one delta age is needed")
+
     def with_(self, **kw) -> "CohortPreset":
         return replace(self, **kw)
 

@@ -77,3 +77,20 @@ def test_trajectory_wide_takes_latest_season_at_an_age(spark):
                        ("a", 3, 31, "C", 300.0, 3.0, 0.0)])
     r = {x.stat: x for x in trajectory_wide(df, FIXTURE_TIER3.panel, (30, 31, 32), ["usg"]).collect()}
     assert (r["usg"].age_30, r["usg"].age_31, r["usg"].age_32) == (2.0, 3.0, None)
+
+
+def test_preset_validation():
+    import pytest
+    with pytest.raises(ValueError):
+        FIXTURE_TIER3.with_(tier_rule=None)
+    with pytest.raises(ValueError):
+        FIXTURE_TIER3.with_(pick="middle")
+
+
+def test_panel_summary_approximate_distinct(spark, small_dir):
+    from agewise.plans.catalog import clean_t3
+    from agewise.plans.describe import panel_summary
+    c = clean_t3(spark, small_dir)
+    exact = panel_summary(c, FIXTURE_TIER3.panel).first().unique_entities
+    approx = panel_summary(c, FIXTURE_TIER3.panel, approx_distinct=True).first().unique_entities
+    assert abs(approx - exact) <= max(2, 0.05 * exact)
