@@ -1,15 +1,19 @@
 """Substring de-duplication by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences of a document is fingerprinted (words, lower-case A-Z,
-whatever the white space between them); all runs meet corpus-wide; the sentences covered by a run
-that is not the first of its kind (least doc_id, then least position) are removed.
+Runs of consecutive sentences of a document are fingerprinted (words, lower-case A-Z, whatever the
+white space between them); all runs meet corpus-wide; the sentences covered by a run that is not the
+first of its kind (least doc_id, then least position) are removed.
 
-A sentence ends with a word that ends in ``.``, ``!`` or ``?``, at a line feed, or with the text.
+A sentence ends with a word that ends in ``.``, ``!`` or ``?``, at a line feed, or with the text.  Long
+sentences would hide a repeated passage that starts and ends inside them, so parts count as sentences
+of their own: one also ends with a word that ends in ``,``, ``;`` or ``:``, and with every word whose
+fingerprint is divisible by ``PART`` (a property of the word alone, so copies are divided alike).  The
+run from a sentence is the shortest one of at least ``span`` sentences and ``min_words`` words.
 
 Rows are streamed through partitions sorted by fingerprint (:mod:`agewise.llm.repeats`): a passage
 that a third of the corpus shares is never gathered, and the runs that a map task already knows to be
-repeats are dealt out evenly.  Defined results: a null text is empty; a text with fewer than ``span``
-sentences has no run and stays; repeated rows of a document agree; an empty table gives an empty result.
+repeats are dealt out evenly.  Defined results: a null text is empty; a text with too few sentences or
+words has no run and stays; repeated rows of a document agree; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agewise.llm.frames import bytes_and_offsets, keyed, original_id, slices
-from agewise.llm.hashing import PIECE, Fingerprints, signed, word_hashes
-from agewise.llm.repeats import PLACES_DDL, START_BITS, CODE_BITS, later_places, mark_repeats, pack, place_batch, tie_from
+from agewise.llm.hashing import PIECE, Fingerprints, U, signed, word_hashes
+from agewise.llm.repeats import PLACES_DDL, START_BITS, CODE_BITS, code_of, later_places, mark_repeats, pack, place_batch, start_of, tie_from
 
 SPAN = 3
+#: A run has so many words at least, and so at most as many sentences (6 bits hold their number).
+MIN_WORDS = 25
+PART = 16
 _STOPS = np.zeros(256, bool)
-_STOPS[[ord(c) for c in ".!?"]] = True
+_STOPS[[ord(c) for c in ".!?,;:"]] = True
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray):
@@ -35,39 +42,41 @@ def sentences(data: np.ndarray, offsets: np.ndarray):
         z = np.zeros(0, np.int64)
         return h, start, np.zeros(1, np.int64), z
     lines = np.concatenate(([0], np.cumsum(data == 10)))
-    last = _STOPS[data[end - 1]]
+    last = _STOPS[data[end - 1]] | (h % U(PART) == 0)
     last[:-1] |= (row[1:] != row[:-1]) | (lines[start[1:]] > lines[end[:-1]])
     last[-1] = True
     first = np.concatenate(([0], np.flatnonzero(last) + 1))
     return h, start, first, row[first[:-1]]
 
 
-def _runs(span: int):
+def _runs(span: int, min_words: int):
     def run(batches):
         for b in batches:
             data, off = bytes_and_offsets(b.column("text"))
             ids, ties = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie"))
             for a, z in slices(off, 8 * PIECE):
                 h, _, first, row = sentences(data[off[a]:off[z]], off[a:z + 1] - off[a])
-                n = len(row) - span + 1
-                if n < 1:
+                u = np.arange(len(row))
+                v = np.maximum(u + span, np.searchsorted(first, first[:-1] + min_words))
+                fits = np.flatnonzero((v <= len(row)) & (row[np.minimum(v, len(row)) - 1] == row)) if len(row) else u
+                if not len(fits):
                     continue
-                inside = row[:n] == row[span - 1:]
-                key = Fingerprints(h)(first[:n], first[span:])[inside]
-                number = np.arange(len(row)) - np.searchsorted(row, row)  # of the sentence in its document
-                at = row[:n][inside] + a
-                yield place_batch(*mark_repeats(signed(key), ids[at], pack(ties[at], number[:n][inside])))
+                key = Fingerprints(h)(first[fits], first[v[fits]])
+                number = fits - np.searchsorted(row, row[fits])  # of the sentence in its document
+                at = row[fits] + a
+                yield place_batch(*mark_repeats(signed(key), ids[at], pack(ties[at], number, v[fits] - fits)))
     return run
 
 
-def repeated_runs(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``(id, tie, sentence)``: the first sentence of every run that repeats an earlier one."""
-    later = later_places(keyed(docs).mapInArrow(_runs(span), PLACES_DDL))
-    return later.select("id", tie_from().alias("tie"),
-                        F.shiftright("pos", CODE_BITS).bitwiseAND((1 << START_BITS) - 1).alias("sentence"))
+def repeated_runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(id, tie, run)``: every run that repeats an earlier one, packed (first sentence and how many)."""
+    if not span <= min_words < 64:
+        raise ValueError("span <= min_words < 64 is needed")
+    later = later_places(keyed(docs).mapInArrow(_runs(span, min_words), PLACES_DDL))
+    return later.select("id", tie_from().alias("tie"), F.col("pos").bitwiseAND((1 << (START_BITS + CODE_BITS)) - 1).alias("run"))
 
 
-def _remove(span: int):
+def _remove():
     names = ["id", "tie", "n_sentences", "n_removed", "n_words_removed", "text"]
 
     def run(batches):
@@ -88,9 +97,10 @@ def _remove(span: int):
                         counts.append((e - s, 0, 0))
                         texts.append(text.tobytes().decode())
                         continue
-                    gone = np.zeros(e - s, bool)
-                    for j in range(span):
-                        gone[own + j] = True
+                    edge = np.zeros(e - s + 1, np.int64)
+                    np.add.at(edge, start_of(own), 1)
+                    np.add.at(edge, start_of(own) + code_of(own), -1)
+                    gone = np.cumsum(edge[:-1]) > 0
                     # a sentence's bytes reach to the next sentence's first word
                     begin = start[first[s:e]] + off[a] - off[r]
                     begin[0] = 0
@@ -103,12 +113,12 @@ def _remove(span: int):
     return run
 
 
-def remove_repeated_sentences(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def remove_repeated_sentences(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, tie, n_sentences, n_removed, n_words_removed, text)``: every row, its text without the repeats."""
-    runs = repeated_runs(docs, span).groupBy("id", "tie").agg(F.collect_list("sentence").alias("runs"))
+    runs = repeated_runs(docs, span, min_words).groupBy("id", "tie").agg(F.collect_list("run").alias("runs"))
     return (keyed(docs).join(runs, ["id", "tie"], "left")
             .withColumn("runs", F.coalesce("runs", F.array().cast("array<long>")))
-            .mapInArrow(_remove(span), "id long, tie long, n_sentences long, n_removed long, n_words_removed long, text string"))
+            .mapInArrow(_remove(), "id long, tie long, n_sentences long, n_removed long, n_words_removed long, text string"))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
