@@ -68,12 +68,14 @@ class Fingerprints:
         return mix(raw + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the row it is in; a word ends with its row at the latest."""
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the row it is in; a word ends with its row at the latest.
+
+    ``breaks``: of each byte, whether it stands between words."""
     if not len(data):
         e = np.zeros(0, np.int64)
         return e, e, e
-    black = ~WHITE[data]
+    black = ~breaks[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = black.copy()
@@ -100,7 +102,7 @@ def text_pieces(data: np.ndarray, a: int, b: int):
         a = c
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = WHITE):
     """Fingerprint, start, end and row of every word of the rows, in order."""
     values, parts = byte_values(lower), []
     if len(offsets) == 2:  # a row alone may be long
@@ -108,7 +110,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     else:
         ranges = [(int(offsets[0]), int(offsets[-1]), offsets - offsets[0])]
     for a, c, off in ranges:
-        s, e, row = words(data[a:c], off)
+        s, e, row = words(data[a:c], off, breaks)
         parts.append((Fingerprints(values[data[a:c]])(s, e), s + a, e + a, row))
     if not parts:
         z = np.zeros(0, np.int64)
