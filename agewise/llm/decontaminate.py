@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-Tokens are runs of letters, digits and non-ASCII bytes, A-Z in lower case.  Fixed masks lie over every
+Tokens are runs of letters, digits and non-ASCII characters, in lower case.  Fixed masks lie over every
 token position of the benchmark items and of the documents and ignore some positions, so a seed still
 hits when words there were exchanged.  Seeds are joined; around every hit the item is laid over the
 document and its best stretch of at least ``IDENTITY`` equal tokens is found, substitutions included.
@@ -166,15 +166,15 @@ def _verify(batches):
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id") -> DataFrame:
     """``(id, tie, item, item_tie, n_covered)`` of every document and item it contains."""
-    items = keyed(benchmark, item_id).dropDuplicates(["id", "tie"])
+    items, text = (keyed(x, c).withColumn("text", F.lower("text")) for x, c in ((benchmark, item_id), (docs, "doc_id")))
+    items = items.dropDuplicates(["id", "tie"])
     item_seeds = items.mapInArrow(_item_seeds, "seed long, item long, item_tie long, at long, length long")
     whole = tuple(sorted(r["length"] for r in item_seeds.where(F.col("length") < _SHORTEST).select("length").distinct().collect()))
-    found = keyed(docs).mapInArrow(_document_seeds(_bitmap(item_seeds), whole), "seed long, id long, tie long, pos long")
+    found = text.mapInArrow(_document_seeds(_bitmap(item_seeds), whole), "seed long, id long, tie long, pos long")
     diagonals = (found.join(item_seeds, "seed").select("id", "tie", "item", "item_tie", (F.col("pos") - F.col("at")).alias("d")).distinct()
                  .groupBy("id", "tie", "item", "item_tie").agg(F.collect_list("d").alias("diagonals")))
     hits = (diagonals.join(items.mapInArrow(_item_tokens, "item long, item_tie long, tokens binary"), ["item", "item_tie"])
             .groupBy("id", "tie").agg(F.collect_list(F.struct("item", "item_tie", "diagonals", "tokens")).alias("hits")))
-    text = keyed(docs)
     return text.join(hits, ["id", "tie"]).mapInArrow(_verify, _FOUND).distinct()
 
 
