@@ -11,9 +11,11 @@ documents it moves the probabilities along the one direction that changes neithe
 space of the two constraints) until one of them is 0 or 1, and goes on with the next document.
 
 On Spark the flight runs in blocks of about ``BLOCK`` documents of one source, each a stream of which
-three documents are held, large ones first so that the last ones are small; a block leaves at most two undecided, which meet in blocks of the next
-level.  When a source has one block left, its last undecided documents (two at most) land on the
-combination nearest to the targets.  Choices come from hashes of source and document, so reruns agree.
+three documents are held.  It leaves at most two undecided, and its last ``RESERVE`` documents untouched;
+both meet in blocks of the next level.  When a source has one block left, the same ``RESERVE + 2``
+documents or fewer are the landing problem: of all their combinations the one is taken whose words,
+then documents, come nearest to what is expected.  Choices come from hashes of source and document and
+the order from their ids, so reruns agree.
 
 Defined results: a null text has size 0; documents of size 0 take 0 words; a source without words has
 target 0; repeated rows are documents of their own; an empty table gives an empty result.
@@ -22,7 +24,6 @@ target 0; repeated rows are documents of their own; an empty table gives an empt
 from __future__ import annotations
 
 import math
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from agewise.llm.frames import cut, id_column, original_id, partitions, tie_colu
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 BLOCK = 1024
+RESERVE = 14
 _EPS = 1e-9
 
 
@@ -95,10 +97,10 @@ def flight(units, draw):
 
 def landing(undecided: list, words: float, documents: float) -> list[int]:
     """0 or 1 for each of the last ``(size, probability)``: totals nearest to those expected."""
-    scale = max([1.0, *(s for s, _ in undecided)])
-    return list(min(product((0, 1), repeat=len(undecided)), key=lambda take: (
-        abs(sum(t * s for t, (s, _) in zip(take, undecided, strict=True)) - words) / scale,
-        abs(sum(take) - documents), take)))
+    n = len(undecided)
+    take = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    off = np.abs(take @ np.array([s for s, _ in undecided], float) - words)
+    return take[np.lexsort((np.abs(take.sum(axis=1) - documents), np.round(off, 6)))[0]].tolist()
 
 
 _UNIT = "source string, block long, mix_key long, id long, tie long, size long, p double"
@@ -144,8 +146,8 @@ def _fly(last: bool):
 
         for rows in blocks(units()):
             draw = _draws(rows[0][2] * 31 + rows[0][1] * 0x2545F4914F6CDD1D + len(rows))
-            undecided = []
-            for r, p in flight(((r, r[5], r[6]) for r in rows), draw):
+            undecided = [(r, r[6]) for r in rows[-RESERVE:]]
+            for r, p in flight(((r, r[5], r[6]) for r in rows[:-RESERVE]), draw):
                 if p in (0.0, 1.0):
                     out.append((*r[:6], p))
                 else:
@@ -180,7 +182,7 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP) -> DataFrame:
     levels = max(1, math.ceil(math.log(max(2, targets.agg(F.max(F.ceil(F.col("n_docs") / BLOCK))).first()[0] or 1), BLOCK // 2)) + 1)
     decided = whole
     for level in range(levels):
-        flown = cut(going.repartition(p, "source", "block").sortWithinPartitions("source", "block", F.desc("size"), "mix_key", "id", "tie", "p")
+        flown = cut(going.repartition(p, "source", "block").sortWithinPartitions("source", "block", "mix_key", "id", "tie", "size", "p")
                     .mapInArrow(_fly(level == levels - 1), _UNIT))
         decided = decided.unionByName(flown.where("p in (0.0, 1.0)").select("id", "tie", "source", "size", F.col("p").alias("extra")))
         going = (flown.where("p not in (0.0, 1.0)")
