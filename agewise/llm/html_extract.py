@@ -1,6 +1,6 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a tree (closed as browsers would, enough for scoring).  Parts that are never
+A page becomes a tree (tags closed as browsers would, enough for scoring).  Parts that are never
 article text go first: by tag, by role, when hidden, or by a word of their class or id.  Every block with
 text of its own is a paragraph: one point, one for each comma, one for each 100 characters up to three.
 It passes its points to its parent, half to the grandparent, a third, a fourth to the next two; a
