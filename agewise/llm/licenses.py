@@ -54,8 +54,7 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
 )
-COMMON = tuple("a an and any are as at be by except for form forms free in is it may no not of on only or s so terms that the this to use v "
-               "with without work you 0 1 2 3 4".split())
+COMMON = tuple("a an and any are as at be by for in is it no not of on or so that the this to use with you".split())
 _TERM = r"[\p{L}\p{N}]+"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([-._][^/]*)?$"
 
@@ -85,13 +84,13 @@ def common_share(rows: list[tuple]) -> float:
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
-    """``(path, license, similarity, line)`` of the best line of each file that has one; line -1: the whole text."""
+    """``(path, license, similarity, line)`` of the best line of each file that has one; line 0: the whole text."""
     spark = files.sparkSession
     rows, idf, unseen = template_table()
     telling = sorted({r[2] for r in rows} - set(COMMON))
     is_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content"))
-    whole = files.where(is_file).select("path", F.lit(-1).alias("line"), F.coalesce("text", F.lit("")).alias("content"))
+    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content")).withColumn("line", F.col("line") + 1)
+    whole = files.where(is_file).select("path", F.lit(0).alias("line"), F.coalesce("text", F.lit("")).alias("content"))
     words = lines.unionByName(whole).select(
         F.coalesce("path", F.lit("")).alias("path"), "line", F.expr(rf"regexp_extract_all(lower(content), '{_TERM}', 0)".replace("\\", "\\\\")).alias("words"))
     some = words.where(F.exists("words", lambda w: w.isin(telling)))
@@ -127,7 +126,7 @@ def inherited(files: DataFrame, own: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """For every row of ``files(path, text)``: ``path``, ``license`` (null if none), ``how`` (own, inherited, none),
-    ``similarity`` and ``line`` of the own one, ``from_path`` of an inherited one, and the columns in ``carry``."""
+    ``similarity`` and ``line`` of the own one (0 and -1 without), ``from_path`` of an inherited one, and the columns in ``carry``."""
     own = own_licenses(files)
     heirs = inherited(files, own)
     rows = files.select("path", *carry, F.coalesce("path", F.lit("")).alias("_path"), directory(F.col("path")).alias("_dir"))
@@ -136,12 +135,15 @@ def scan(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     has = F.col("_own").isNotNull()
     return out.select(*carry, "path", F.coalesce("_own", "from_license").alias("license"),
                       F.when(has, "own").when(F.col("from_license").isNotNull(), "inherited").otherwise("none").alias("how"),
-                      "similarity", "line", F.when(~has, F.col("from_path")).alias("from_path"))
+                      F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("line", F.lit(-1)).alias("line"), F.when(~has, F.col("from_path")).alias("from_path"))
 
 
-#: The stand-in's paths: documents as files of source/lang/hundred, every fiftieth named as a licence file.
-STAND_IN_PATH = ("concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', cast(floor(doc_id / 100) as bigint), '/', "
-                 "case when doc_id % 50 = 0 then 'LICENSE-' else 'file-' end, doc_id)")
+#: The stand-in's paths: documents as files of source/lang/hundred; some are named as licence files of the
+#: source or of the language (by id, whatever their text).
+STAND_IN_PATH = (
+    "concat(coalesce(source, 'none'), '/', case when doc_id % 50 = 0 then '' when doc_id % 50 = 25 then concat(coalesce(lang, 'none'), '/') "
+    "else concat(coalesce(lang, 'none'), '/', cast(floor(doc_id / 100) as bigint), '/') end, "
+    "case when doc_id % 25 = 0 then 'LICENSE-' else 'file-' end, doc_id)")
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -154,19 +156,19 @@ def oracle() -> str:
     """The same in DuckDB SQL."""
     rows, idf, unseen = template_table()
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    templates = ", ".join(f"({i}, {quoted(n)}, {quoted(t)}, {w!r})" for i, n, t, w in rows)
-    known = ", ".join(f"({quoted(t)}, {v!r})" for t, v in sorted(idf.items()))
+    templates = ", ".join(f"({i}, {quoted(n)}, {quoted(t)}, {w!r}e0)" for i, n, t, w in rows)
+    known = ", ".join(f"({quoted(t)}, {v!r}e0)" for t, v in sorted(idf.items()))
     return f"""
 WITH templates(template, license, term, weight) AS (VALUES {templates}),
 known(term, idf) AS (VALUES {known}),
 files AS (SELECT doc_id, coalesce(text, '') AS text, {STAND_IN_PATH} AS path FROM documents),
 lines AS (
-  SELECT path, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS content FROM (SELECT path, string_split(text, chr(10)) AS l FROM files)
-  UNION ALL SELECT path, -1, text FROM files WHERE regexp_matches(path, '{LICENCE_FILE}')),
+  SELECT path, generate_subscripts(l, 1) AS line, unnest(l) AS content FROM (SELECT path, string_split(text, chr(10)) AS l FROM files)
+  UNION ALL SELECT path, 0, text FROM files WHERE regexp_matches(path, '{LICENCE_FILE}')),
 terms AS (
   SELECT path, line, term, count(*) AS tf
   FROM (SELECT path, line, unnest(regexp_extract_all(lower(content), '{_TERM}')) AS term FROM lines) GROUP BY ALL),
-weighed AS (SELECT path, line, t.term, tf * coalesce(idf, {unseen!r}) AS w FROM terms t LEFT JOIN known USING (term)),
+weighed AS (SELECT path, line, t.term, tf * coalesce(idf, {unseen!r}e0) AS w FROM terms t LEFT JOIN known USING (term)),
 norms AS (SELECT path, line, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
 found AS (
   SELECT path, line, template, license, round(dot / norm, 6) AS similarity
@@ -183,5 +185,5 @@ heirs AS (
   QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(h.dir) DESC) = 1)
 SELECT doc_id, f.path, coalesce(o.license, h.license) AS license,
   CASE WHEN o.license IS NOT NULL THEN 'own' WHEN h.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
-  o.similarity, CAST(o.line AS BIGINT) AS line, CASE WHEN o.license IS NULL THEN h.from_path END AS from_path
+  coalesce(o.similarity, 0) AS similarity, CAST(coalesce(o.line, -1) AS BIGINT) AS line, CASE WHEN o.license IS NULL THEN h.from_path END AS from_path
 FROM files f LEFT JOIN own o USING (path) LEFT JOIN heirs h USING (path)"""
