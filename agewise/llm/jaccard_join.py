@@ -112,13 +112,15 @@ def _count_buckets(k: int):
 
 
 def _levels(text: DataFrame, k: int) -> np.ndarray:
-    """How common each bucket's elements are: 0 up to four times the mean, one more for each doubling."""
+    """How common each bucket's elements are: 0 up to 1.2 times the mean, then one more for each fourth of a doubling.
+
+    Bucket counts of rare elements stay near the mean, the nearer the larger the corpus."""
     rows = text.mapInArrow(_count_buckets(k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(ORDER_BUCKETS)
     for r in rows:  # at most ORDER_BUCKETS rows
         counts[r["bucket"]] = r["n"]
     mean = max(1.0, counts.sum() / ORDER_BUCKETS)
-    return np.clip(np.floor(np.log2(np.maximum(counts / mean, 1))) - 1, 0, 40).astype(np.uint8)
+    return np.clip(np.ceil(4 * np.log2(np.maximum(counts / mean, 1) / 1.2)), 0, 200).astype(np.uint8)
 
 
 def prefix_length(n: int, percent: int) -> int:
