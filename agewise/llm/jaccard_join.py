@@ -238,8 +238,8 @@ def _tiles(percent: int):
 
 
 def bitmap_width(n: int) -> int:
-    """Bits of the signature of a set of ``n`` elements: the power of two from 4 n to 8 n, 64 at least."""
-    return max(64, 1 << (4 * n - 1).bit_length())
+    """Bits of the signature of a set of ``n`` elements: the power of two from n to 2 n, 64 at least."""
+    return max(64, 1 << (n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -257,16 +257,35 @@ def folded(words: np.ndarray, to: int) -> np.ndarray:
     return words
 
 
+def _signatures(k: int):
+    """Of every document: key, node, size and signature."""
+    schema = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            ids, ties = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie"))
+            rows: list = []
+            for r, s in _each_set(b, k):
+                if len(s):
+                    rows.append((ids[r], ties[r], node_of(s), len(s), bitmap(s).tobytes()))
+                if len(rows) >= 1000:
+                    yield _arrays(schema, zip(*rows, strict=True))
+                    rows = []
+            if rows:
+                yield _arrays(schema, zip(*rows, strict=True))
+    return run
+
+
 def _sets(k: int):
-    """Of the documents that stand for nodes: node, size, signature and sorted set."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("items", pa.binary())])
+    """Node and sorted set of documents that stand for nodes."""
+    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
     def run(batches):
         for b in batches:
             rows: list = []
             for _, s in _each_set(b, k):
-                rows.append((node_of(s), len(s), bitmap(s).tobytes(), s.tobytes()))
-                if len(rows) >= 1000:
+                rows.append((node_of(s), s.tobytes()))
+                if len(rows) >= 500:
                     yield _arrays(schema, zip(*rows, strict=True))
                     rows = []
             if rows:
@@ -373,7 +392,11 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, text: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
+    """``(a, b, common, linked)`` of candidate pairs; only their nodes' sets are spelled out and joined."""
+    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+              .join(nodes, "node").select("rep.id", "rep.tie"))
+    sets = cut(text.join(wanted, ["id", "tie"]).select("text").mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]))
     one = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     return (pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -393,19 +416,20 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     by_token = prefixes.withColumn("t", F.shiftright("token", _SIZE_BITS)).repartition(p, "t").drop("t")
     tiles = cut(by_token.sortWithinPartitions("token", "node").mapInArrow(_tiles(percent), "tile long, node long").distinct())
     wanted = tiles.select("node").distinct().join(nodes, "node").select("rep.id", "rep.tie")
-    sets = cut(text.join(wanted, ["id", "tie"]).dropDuplicates(["id", "tie"]).select("text")
-               .mapInArrow(_sets(k), "node long, n long, bits binary, items binary"))
-    members = tiles.join(sets.select("node", "n", "bits"), "node")
+    signatures = (text.mapInArrow(_signatures(k), "id long, tie long, node long, n long, bits binary")
+                  .join(wanted, ["id", "tie"]).select("node", "n", "bits").dropDuplicates(["node"]))
+    members = cut(tiles.join(signatures, "node"))
 
     def candidates(rows: DataFrame, second: bool) -> DataFrame:
         return (rows.repartition(p, "tile").sortWithinPartitions("tile", "n", "node")
                 .mapInArrow(_candidates(percent, second), "a long, b long").distinct())
 
-    first = cut(_verified(candidates(members, False), sets, percent))
+    first = cut(_verified(cut(candidates(members, False)), text, nodes, percent, k))
     of = components(first.where("linked"))
-    again = candidates(members.join(of.withColumnRenamed("component", "comp"), "node", "left")
+    again = cut(candidates(members.join(of.withColumnRenamed("component", "comp"), "node", "left")
                        .withColumn("comp", F.coalesce("comp", "node")), True)
-    more = _verified(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
+                .join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    more = _verified(again, text, nodes, percent, k)
     links = first.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b"))
     names = nodes.select("node", F.col("rep.id").alias("least"), "n_copies")
     edges = (links.join(names.select(F.col("node").alias("a"), F.col("least").alias("x")), "a")
