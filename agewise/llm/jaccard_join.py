@@ -11,13 +11,15 @@ Documents with equal sets are one node.  Two nodes link when 100 * intersection
    tiles are kept once.
 2. *Signatures.*  A node's bitmap has a bit for each hash value, toggled by every element; its width
    goes with the set's size.  Differing bits of two bitmaps never outnumber the differing elements,
-   so their count bounds the overlap from above.  Within a tile a node is compared with the tile's
-   leaders, by size band; it becomes a candidate with the first whose bound allows a link, or else a
-   leader itself.
-3. *Verification* of candidates by intersecting the sorted arrays.
-4. Links found give components; the tiles are gone through once more for all pairs whose bound
-   allows a link, across components and not refuted yet.  No link between two components is missed,
-   and a group of thousands of near copies costs about one candidate a member and tile.
+   so their count bounds the overlap from above.  Narrow bitmaps (about a bit an element) leave in each
+   tile only the members whose bound allows a link with another one; these get wide ones, whose bound
+   is almost the overlap itself.
+3. *Candidates.*  A tile's members are taken by size; each becomes a candidate with one earlier member
+   of every group of members joined so far that its bound allows: a spanning forest, at most one
+   candidate fewer than members, however many copies a tile holds.
+4. *Verification* of candidates by intersecting the sorted arrays.
+5. Links found give components; where a candidate failed, the tiles are gone through once more for all
+   pairs whose bound allows a link, across components.  So no link between two components is missed.
 
 The result is exact but for collisions of 64-bit fingerprints.  Defined results: null or empty texts
 have the empty set and no links; rows that repeat a document agree; a null doc_id counts as the
@@ -156,14 +158,15 @@ def _fits(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
     return (100 * small >= percent * large) | (large >= (1 << _SIZE_BITS) - 1)
 
 
+def _members(nodes: np.ndarray) -> int:
+    """A tile's fingerprint, from its members."""
+    return int(mix(np.array([mix(nodes.view(U)).sum(dtype=U) + U(len(nodes))], U)).view(np.int64)[0])
+
+
 def _tiles(percent: int):
     """From rows sorted by token, size and node: the tiles, a row (tile, node) for each member."""
     schema = pa.schema([("tile", pa.int64()), ("node", pa.int64())])
 
-    def members(nodes: np.ndarray) -> int:
-        h = mix(nodes.view(U))
-        return int(mix(np.array([h.sum(dtype=U) + U(len(h))], U)).view(np.int64)[0])
-
     def of_run(size: np.ndarray, node: np.ndarray, out: list) -> None:
         # a chain of sizes that can link with the next one is worked on alone
         for part in np.split(np.arange(len(node)), np.flatnonzero(~_fits(size[:-1], size[1:], percent)) + 1):
@@ -175,7 +178,7 @@ def _tiles(percent: int):
                     if y is not None and not _fits(size[x[-1]], size[y[0]], percent):
                         break
                     both = np.sort(node[x] if y is None else node[np.concatenate((x, y))])
-                    out.append((np.full(len(both), members(both)), both))
+                    out.append((np.full(len(both), _members(both)), both))
 
     def flush(out: list, seen: set):
         keep = []
@@ -237,14 +240,13 @@ def _tiles(percent: int):
     return run
 
 
-def bitmap_width(n: int) -> int:
-    """Bits of the signature of a set of ``n`` elements: the power of two from n to 2 n, 64 at least."""
-    return max(64, 1 << (n - 1).bit_length())
+#: Bits an element of the two signatures, up to the next power of two.
+NARROW, WIDE = 1, 8
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
+def bitmap(s: np.ndarray, per_element: int) -> np.ndarray:
     """The signature as 64-bit words: bit ``hash mod width`` is toggled by each element."""
-    width = bitmap_width(len(s))
+    width = max(64, 1 << (per_element * len(s) - 1).bit_length())
     bits = np.bincount((s & U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(U)
 
@@ -258,7 +260,7 @@ def folded(words: np.ndarray, to: int) -> np.ndarray:
 
 
 def _signatures(k: int):
-    """Of every document: key, node, size and signature."""
+    """Of every document: key, node, size and narrow signature."""
     schema = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
     def run(batches):
@@ -267,7 +269,7 @@ def _signatures(k: int):
             rows: list = []
             for r, s in _each_set(b, k):
                 if len(s):
-                    rows.append((ids[r], ties[r], node_of(s), len(s), bitmap(s).tobytes()))
+                    rows.append((ids[r], ties[r], node_of(s), len(s), bitmap(s, NARROW).tobytes()))
                 if len(rows) >= 1000:
                     yield _arrays(schema, zip(*rows, strict=True))
                     rows = []
@@ -277,14 +279,14 @@ def _signatures(k: int):
 
 
 def _sets(k: int):
-    """Node and sorted set of documents that stand for nodes."""
-    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
+    """Node, size, wide signature and sorted set of documents that stand for nodes."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("items", pa.binary())])
 
     def run(batches):
         for b in batches:
             rows: list = []
             for _, s in _each_set(b, k):
-                rows.append((node_of(s), s.tobytes()))
+                rows.append((node_of(s), len(s), bitmap(s, WIDE).tobytes(), s.tobytes()))
                 if len(rows) >= 500:
                     yield _arrays(schema, zip(*rows, strict=True))
                     rows = []
@@ -302,78 +304,107 @@ def _bound_allows(n: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarra
     return (100 * (n + sizes - differ) >= percent * (n + sizes + differ)) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
 
 
-def _candidates(percent: int, second: bool):
-    """From tile members sorted by (tile, n, node): pairs (a, b), a < b, whose bound allows a link.
+class _Tile:
+    """The members of one tile by size, their signatures grouped by width."""
+
+    def __init__(self, n: np.ndarray, raw: list):
+        self.n = n
+        words = [len(x) // 8 for x in raw]
+        self.width = np.array(words)
+        self.bands = {w: np.flatnonzero(self.width == w) for w in sorted(set(words))}
+        self.bits = {w: np.frombuffer(b"".join(raw[i] for i in at), U).reshape(len(at), w) for w, at in self.bands.items()}
+
+    def partners(self, i: int, percent: int) -> np.ndarray:
+        """The earlier members with which the bound allows a link."""
+        own = int(self.width[i])
+        bits = self.bits[own][np.searchsorted(self.bands[own], i)]
+        found = []
+        for w, at in self.bands.items():
+            if own // 4 <= w <= own:  # smaller sets: widths at or below its own
+                at = at[:np.searchsorted(at, i)]
+                at = at[np.searchsorted(100 * self.n[at], percent * self.n[i]):]  # by size, so the large ones come last
+                if len(at):
+                    first = int(np.searchsorted(self.bands[w], at[0]))
+                    ok = _bound_allows(self.n[i], bits, self.n[at], self.bits[w][first:first + len(at)], percent)
+                    found.append(at[ok])
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _each_tile(batches):
+    """(tile's node, n, bits, comp or None) from rows sorted by (tile, n, node); repeated rows once."""
+    rest = None
+    for b in batches:
+        b = pa.Table.from_batches([b])
+        rest = b if rest is None else pa.concat_tables([rest, b])
+        tile = rest.column("tile").to_numpy()
+        cutoff = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if len(tile) and (tile != tile[-1]).any() else 0
+        if cutoff:
+            yield from _tiles_of(rest.slice(0, cutoff).combine_chunks())
+            rest = rest.slice(cutoff)
+    if rest is not None and rest.num_rows:
+        yield from _tiles_of(rest.combine_chunks())
+
+
+def _tiles_of(t: pa.Table):
+    tile, node, n = (t.column(c).to_numpy() for c in ("tile", "node", "n"))
+    comp = t.column("comp").to_numpy() if "comp" in t.column_names else node
+    raw = t.column("bits").to_pylist()
+    starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+    for s, e in zip(starts, np.append(starts[1:], len(tile)), strict=True):
+        yield node[s:e], n[s:e], raw[s:e], comp[s:e]
+
+
+def _narrowed(percent: int):
+    """Tiles without the members whose bound allows no link with another member."""
+    schema = pa.schema([("tile", pa.int64()), ("node", pa.int64())])
 
-    First pass: a node with its first fitting leader.  Second pass: all pairs across components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def run(batches):
+        out: list = []
+        held = 0
+        for node, n, raw, _ in _each_tile(batches):
+            t, some = _Tile(n, raw), np.zeros(len(node), bool)
+            for i in range(1, len(node)):
+                j = t.partners(i, percent)
+                some[j] = True
+                some[i] |= len(j) > 0
+            if some.any():
+                left = np.sort(node[some])
+                out.append((np.full(len(left), _members(left)), left))
+                held += len(left)
+            if held > 50_000:
+                yield _arrays(schema, [np.concatenate(x) for x in zip(*out, strict=True)])
+                out, held = [], 0
+        if out:
+            yield _arrays(schema, [np.concatenate(x) for x in zip(*out, strict=True)])
+    return run
 
-    def pairs_of(node, n, comp, words, out):
-        leaders: dict[int, list] = {}  # by band (signature width): member numbers and their signatures
-        store: dict[int, np.ndarray] = {}
-        for i in range(len(node)):
-            w, met = len(words[i]), False
-            for band in (w, w // 2, w // 4):
-                at = leaders.get(band)
-                if not at:
-                    continue
-                j = np.asarray(at)
-                if second:
-                    j = j[comp[j] != comp[i]]
-                    if not len(j):
-                        continue
-                    ok = _bound_allows(n[i], words[i], n[j], np.stack([words[x] for x in j]), percent)
-                else:
-                    ok = _bound_allows(n[i], words[i], n[j], store[band][:len(at)], percent)
-                hits = j[ok]
-                if len(hits):
-                    met = True
-                    for x in hits if second else hits[:1]:
-                        out.append((min(node[i], node[x]), max(node[i], node[x])))
-                    if not second:
-                        break
-            if second or not met:
-                at = leaders.setdefault(w, [])
-                if not second:
-                    if w not in store:
-                        store[w] = np.empty((16, w), U)
-                    elif len(at) == len(store[w]):
-                        store[w] = np.concatenate([store[w], np.empty_like(store[w])])
-                    store[w][len(at)] = words[i]
-                at.append(i)
+
+def _candidates(percent: int, across: bool):
+    """Pairs (a, b), a < b, of tile members: a spanning forest of those whose bound allows a link, or
+    (``across``) all of those that are in different components."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        rest = None
-        out: list = []
-        for b in batches:
-            b = pa.Table.from_batches([b])
-            rest = b if rest is None else pa.concat_tables([rest, b])
-            tile = rest.column("tile").to_numpy()
-            cutoff = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if len(tile) and (tile != tile[-1]).any() else 0
-            if cutoff:
-                yield from of_rows(rest.slice(0, cutoff).combine_chunks(), out)
-                rest = rest.slice(cutoff)
-        if rest is not None and rest.num_rows:
-            yield from of_rows(rest.combine_chunks(), out)
-
-    def of_rows(t, out):
-        tile, node, n = (t.column(c).to_numpy() for c in ("tile", "node", "n"))
-        comp = t.column("comp").to_numpy() if second else node
-        raw = t.column("bits").to_pylist()
-        starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
-        done: set = set()
-        for s, e in zip(starts, np.append(starts[1:], len(tile)), strict=True):
-            if second and (comp[s:e] == comp[s]).all():
+        out: set = set()
+        for node, n, raw, comp in _each_tile(batches):
+            if across and (comp == comp[0]).all():
                 continue
-            words = [np.frombuffer(x, U) for x in raw[s:e]]
-            pairs_of(node[s:e], n[s:e], comp[s:e], words, out)
+            t, group = _Tile(n, raw), np.arange(len(node))
+            for i in range(1, len(node)):
+                j = t.partners(i, percent)
+                if across:
+                    j = j[comp[j] != comp[i]]
+                elif len(j):
+                    groups, first = np.unique(group[j], return_index=True)
+                    j = j[first]  # the smallest member of each group, so that tiles agree on it
+                    group[np.isin(group, groups)] = i
+                    group[i] = i
+                out.update((min(node[i], x), max(node[i], x)) for x in node[j])
             if len(out) > 20_000:
-                done = set(out)
-                yield _arrays(schema, zip(*done, strict=True))
-                out.clear()
+                yield _arrays(schema, zip(*out, strict=True))
+                out = set()
         if out:
-            yield _arrays(schema, zip(*set(out), strict=True))
-            out.clear()
+            yield _arrays(schema, zip(*out, strict=True))
     return run
 
 
@@ -392,11 +423,8 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, text: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """``(a, b, common, linked)`` of candidate pairs; only their nodes' sets are spelled out and joined."""
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-              .join(nodes, "node").select("rep.id", "rep.tie"))
-    sets = cut(text.join(wanted, ["id", "tie"]).select("text").mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, common, linked)`` of candidate pairs."""
     one = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     return (pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -415,21 +443,25 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     prefixes = text.mapInArrow(_prefixes(k, percent, levels), "token long, node long")
     by_token = prefixes.withColumn("t", F.shiftright("token", _SIZE_BITS)).repartition(p, "t").drop("t")
     tiles = cut(by_token.sortWithinPartitions("token", "node").mapInArrow(_tiles(percent), "tile long, node long").distinct())
-    wanted = tiles.select("node").distinct().join(nodes, "node").select("rep.id", "rep.tie")
-    signatures = (text.mapInArrow(_signatures(k), "id long, tie long, node long, n long, bits binary")
-                  .join(wanted, ["id", "tie"]).select("node", "n", "bits").dropDuplicates(["node"]))
-    members = cut(tiles.join(signatures, "node"))
-
-    def candidates(rows: DataFrame, second: bool) -> DataFrame:
-        return (rows.repartition(p, "tile").sortWithinPartitions("tile", "n", "node")
-                .mapInArrow(_candidates(percent, second), "a long, b long").distinct())
-
-    first = cut(_verified(cut(candidates(members, False)), text, nodes, percent, k))
-    of = components(first.where("linked"))
-    again = cut(candidates(members.join(of.withColumnRenamed("component", "comp"), "node", "left")
-                       .withColumn("comp", F.coalesce("comp", "node")), True)
-                .join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _verified(again, text, nodes, percent, k)
+
+    def representatives(members: DataFrame) -> DataFrame:
+        return members.select("node").distinct().join(nodes, "node").select("rep.id", "rep.tie")
+
+    def by_tile(members: DataFrame) -> DataFrame:
+        return members.repartition(p, "tile").sortWithinPartitions("tile", "n", "node")
+
+    narrow = (text.mapInArrow(_signatures(k), "id long, tie long, node long, n long, bits binary")
+              .join(representatives(tiles), ["id", "tie"]).select("node", "n", "bits").dropDuplicates(["node"]))
+    tiles = cut(by_tile(tiles.join(narrow, "node")).mapInArrow(_narrowed(percent), "tile long, node long").distinct())
+    sets = cut(text.join(representatives(tiles), ["id", "tie"]).select("text")
+               .mapInArrow(_sets(k), "node long, n long, bits binary, items binary").dropDuplicates(["node"]))
+    members = tiles.join(sets.select("node", "n", "bits"), "node")
+    first = cut(_verified(by_tile(members).mapInArrow(_candidates(percent, False), "a long, b long").distinct(), sets, percent))
+    of = components(first.where("linked")).withColumnRenamed("component", "comp")
+    placed = members.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    again = (by_tile(placed).mapInArrow(_candidates(percent, True), "a long, b long").distinct()
+             .join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    more = _verified(again, sets, percent)
     links = first.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b"))
     names = nodes.select("node", F.col("rep.id").alias("least"), "n_copies")
     edges = (links.join(names.select(F.col("node").alias("a"), F.col("least").alias("x")), "a")
