@@ -49,6 +49,7 @@ UNLIKELY = frozenset(
     "replies reply respond rss share sharing shares shoutbox sidebar sidebars signup skyscraper social sponsor sponsored subscribe "
     "subscription tags toc toolbar topbar trending widget widgets".split())
 _PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption".split())
+_BOXES = frozenset("ul ol dl div section table details".split())
 _KEPT = frozenset("html body article main".split())
 _WORDS = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -188,23 +189,27 @@ def blocks(node: Node, out: list[str] | None = None, own: list | None = None) ->
     return out
 
 
-def _drop_link_lists(node: Node) -> tuple[int, int, int]:
-    """Removes lists and boxes that are mostly links; returns characters, linked characters and links left."""
-    chars = linked = links = 0
-    kept = []
-    for c in node.children:
-        if isinstance(c, str):
-            n = len("".join(c.split()))
-            chars, linked = chars + n, linked + (n if node.link else 0)
-        else:
-            n, k, m = _drop_link_lists(c)
-            m += c.tag == "a"
-            if c.tag in ("ul", "ol", "dl", "div", "section", "table", "details") and m > 1 and k > 0.6 * n:
-                continue
-            chars, linked, links = chars + n, linked + k, links + m
-        kept.append(c)
-    node.children = kept
-    return chars, linked, links
+def _drop_link_lists(top: Node) -> None:
+    """Removes lists and boxes under a node that are mostly links (several of them)."""
+    order, counts = [top], {}
+    for node in order:  # parents before children
+        order.extend(c for c in node.children if not isinstance(c, str))
+    for node in reversed(order):
+        chars = linked = links = 0
+        kept = []
+        for c in node.children:
+            if isinstance(c, str):
+                n = len("".join(c.split()))
+                chars, linked = chars + n, linked + n * node.link
+            else:
+                n, k, m = counts[id(c)]
+                m += c.tag == "a"
+                if c.tag in _BOXES and m > 1 and k > 0.6 * n:
+                    continue
+                chars, linked, links = chars + n, linked + k, links + m
+            kept.append(c)
+        node.children = kept
+        counts[id(node)] = (chars, linked, links)
 
 
 def main_text(page: str | None) -> str:
