@@ -4,9 +4,9 @@ Words are runs of anything but space and tab to carriage return.  Base rules fai
 words or with too many words inside 5-word windows that occur twice.  Of the rest a document is kept
 if its n-grams speak for the trusted target rather than for the raw corpus:
 
-* n-grams: each word's shape (its last character if that is neither letter nor digit, and whether the
-  word has small letters), the word itself in lower case, and pairs of neighbouring words, where equal
-  neighbours are one n-gram of their own; each is hashed into one of ``BUCKETS`` buckets;
+* n-grams: each word's last character (letters and non-ASCII characters count as one), each word,
+  and pairs of neighbouring words, where equal neighbours are one n-gram of their own; each is hashed
+  into one of ``BUCKETS`` buckets;
 * two multinomials over buckets, add-one smoothed: of the target (documents of the labels with quality
   1 and not toxic) and of the raw corpus, both counted over all their documents;
 * a document's score is the mean over its n-grams of ``ln(target / raw)``, in millionths so that sums are exact
@@ -40,35 +40,42 @@ def words_column(text: str = "text"):
 
 
 def base_rules(rows: DataFrame) -> DataFrame:
-    """Adds the counts and ``base_failed`` to rows with ``text`` and ``words``."""
+    """Adds the counts and ``base_failed`` to rows with ``text``, ``words`` and ``hashes``."""
     lines = "filter(split(coalesce(text, ''), '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
-    # 5-word windows by fingerprint and place; sorted, equal windows are neighbours
-    windows = f"""if(size(words) < {WINDOW}, cast(array() as array<struct<h:bigint,i:int>>),
-        array_sort(transform(sequence(0, size(words) - {WINDOW}), i -> struct(
-            xxhash64({', '.join(f'get(words, i + {j})' for j in range(WINDOW))}) as h, i as i))))"""
+    # 5-word windows by the fingerprints of their words; only texts with equal ones look for their places
+    windows = f"""if(size(hashes) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {WINDOW}),
+        i -> xxhash64({', '.join(f'get(hashes, i + {j})' for j in range(WINDOW))})))"""
+    placed = """if(size(prints) = size(array_distinct(prints)), cast(array() as array<struct<h:bigint,i:int>>),
+        array_sort(transform(prints, (h, i) -> struct(h as h, i as i))))"""
     repeated = """array_sort(transform(filter(sequence(0, size(windows) - 1), k ->
         windows[k].h <=> get(windows, k - 1).h or windows[k].h <=> get(windows, k + 1).h), k -> windows[k].i))"""
     covered = f"""if(size(at) = 0, 0L, aggregate(sequence(0, size(at) - 1), 0L,
         (n, k) -> n + least({WINDOW}, coalesce(get(at, k + 1) - at[k], {WINDOW}))))"""
     return (rows.withColumn("n_words", F.size("words").cast("long"))
-            .withColumn("word_chars", F.expr("aggregate(words, 0L, (n, w) -> n + char_length(w))"))
+            .withColumn("word_chars", F.char_length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")).cast("long"))
             .withColumn("n_symbols", F.expr("cast(char_length(coalesce(text, '')) - char_length(translate(coalesce(text, ''), '#*$%&|<>', '')) as bigint)"))
             .withColumn("lines", F.expr(lines))
             .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-            .withColumn("windows", F.expr(windows))
+            .withColumn("prints", F.expr(windows)).withColumn("windows", F.expr(placed))
             .withColumn("at", F.expr(f"if(size(windows) < 2, cast(array() as array<int>), {repeated})"))
-            .withColumn("n_repeat_words", F.expr(covered)).drop("lines", "windows", "at")
+            .withColumn("n_repeat_words", F.expr(covered)).drop("lines", "prints", "windows", "at")
             .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))))
 
 
-def ngrams(words: str = "words"):
-    """The n-grams of an array of words, as buckets."""
-    shape = "concat(if(right(w, 1) rlike '[^\\\\p{L}\\\\p{N}]', right(w, 1), 'a'), if(w rlike '\\\\p{Ll}', 'l', 'U'))"
+def hashes_column(words: str = "words"):
+    """The fingerprint of each word; windows and n-grams are made of these."""
+    return F.expr(f"transform({words}, w -> xxhash64(w))")
+
+
+def ngrams(words: str = "words", hashes: str = "hashes"):
+    """The n-grams of a text, as buckets: of each word its last character's mark and itself, and the pairs."""
+    last = "ascii(right(w, 1))"
+    mark = f"if({last} between 97 and 122 or {last} >= 128 or {last} between 65 and 90, 0, {last})"
     return F.expr(f"""if(size({words}) = 0, cast(array() as array<bigint>), concat(
-        transform({words}, w -> pmod(xxhash64(1, {shape}), {BUCKETS})),
-        transform({words}, w -> pmod(xxhash64(2, lower(w)), {BUCKETS})),
-        transform(slice({words}, 2, size({words}) - 1), (w, i) -> pmod(
-            if(w = {words}[i], xxhash64(3, ''), xxhash64(4, lower({words}[i]), lower(w))), {BUCKETS}))))""")
+        transform({words}, w -> pmod(xxhash64({mark}), {BUCKETS})),
+        transform({hashes}, h -> pmod(h, {BUCKETS})),
+        zip_with(slice({hashes}, 1, size({words}) - 1), slice({hashes}, 2, size({words}) - 1),
+            (g, h) -> pmod(if(g = h, 3L, xxhash64(g, h)), {BUCKETS}))))""")
 
 
 def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -76,9 +83,7 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = (labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id"))
                .distinct().withColumn("trusted", F.lit(1)))
     flagged = docs.select(id_column().alias("id"), "text").join(trusted, "id", "left")
-    counts = (flagged.select("trusted", F.explode(ngrams()).alias("bucket")) if "words" in flagged.columns else
-              flagged.select("trusted", words_column().alias("words")).select("trusted", F.explode(ngrams()).alias("bucket")))
-    counts = counts.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    counts = flagged.select("trusted", words_column().alias("words")).withColumn("hashes", hashes_column()).select("trusted", F.explode(ngrams()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
     every = every.select("bucket", (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), (F.coalesce("target", F.lit(0)) + 1).alias("target"))
     total = every.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
@@ -90,16 +95,15 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """Counts, score and decisions for every row: ``id``, the base columns, ``score``, ``kept``."""
     table = weights(docs, labels).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("table"))
     table = table.select(F.expr("transform(table, x -> x.weight)").alias("weights"))
-    rows = base_rules(docs.select(id_column().alias("id"), "text").withColumn("words", words_column()))
+    rows = base_rules(docs.select(id_column().alias("id"), "text").withColumn("words", words_column()).withColumn("hashes", hashes_column()))
     # one row of BUCKETS numbers beside every document
     scored = rows.join(F.broadcast(table)).withColumn(
-        "total", F.expr("aggregate(grams, 0L, (s, g) -> s + weights[g])") if "grams" in rows.columns else
-        F.aggregate(ngrams(), F.lit(0).cast("long"), lambda s, g: s + F.get("weights", g.cast("int"))))
+        "total", F.aggregate(ngrams(), F.lit(0).cast("long"), lambda s, g: s + F.get("weights", g.cast("int"))))
     grams = F.greatest(3 * F.col("n_words") - 1, F.lit(1))
     score = F.when(F.col("n_words") > 0, F.col("total") / grams / _UNIT).otherwise(0.0)
     return (scored.withColumn("score", score)
             .withColumn("kept", ~F.col("base_failed") & (F.col("total") >= F.lit(round(threshold * _UNIT)) * grams))
-            .drop("text", "words", "weights", "total"))
+            .drop("text", "words", "hashes", "weights", "total"))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
