@@ -8,6 +8,8 @@ counts as the smallest id.  A null text counts as empty.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,8 +57,14 @@ def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``."""
-    return materialize(df)
+    """Cut the lineage: a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+
+    The shuffle files behind it are of no use any more; Spark deletes them once the driver has
+    collected its garbage, so that is asked for here and not left to chance."""
+    out = materialize(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def partitions(df: DataFrame) -> int:
