@@ -26,7 +26,7 @@ def to_number(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dtype, T.StringType):
-        num = F.when(c.rlike(NUMERIC_PATTERN), F.trim(c).try_cast("double"))
+        return F.when(c.rlike(NUMERIC_PATTERN), F.trim(c).try_cast("double"))  # the pattern admits no NaN
     elif isinstance(dtype, T.IntegralType):
         return c  # already a number, cannot hold NaN
     else:
@@ -35,8 +35,28 @@ def to_number(df: DataFrame, name: str) -> Column:
 
 
 def clean_name(c: Column) -> Column:
-    """Remove every '*' and strip surrounding whitespace (tabs included)."""
-    return F.regexp_replace(F.regexp_replace(c, r"\*", ""), r"^\s+|\s+$", "")
+    """Remove every '*' and strip surrounding whitespace (tabs and non-breaking spaces included)."""
+    return F.regexp_replace(F.regexp_replace(c, r"\*", ""), r"(?U)^\s+|\s+$", "")
+
+
+def nearest_even(c: Column, digits: int) -> Column:
+    """``c`` scaled, rounded half to even and scaled back, as NumPy's ``round`` does."""
+    scale = float(10 ** digits)
+    return F.rint(c * scale) / scale
+
+
+def exact_round(c: Column, digits: int) -> Column:
+    """``c`` rounded by its exact binary value, exact ties to even, as Python's ``round`` does.
+
+    Where the scaled value looks like a tie, the sign of what the multiplication rounded away decides:
+    that error is exact, as the upper 26 bits of ``c`` times the scale need no rounding."""
+    scale = float(10 ** digits)
+    y = c * scale
+    upper = c * 134217729.0 - (c * 134217729.0 - c)
+    error = (upper * scale - y) + (c - upper) * scale
+    tie = y - F.floor(y) == 0.5
+    whole = F.when(tie & (error > 0), F.ceil(y).cast("double")).when(tie & (error < 0), F.floor(y).cast("double")).otherwise(F.rint(y))
+    return whole / scale
 
 
 def position_code(pos: Column, rules: Iterable[tuple[str, int]], default: int) -> Column:

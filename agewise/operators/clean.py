@@ -105,8 +105,11 @@ def _dedupe(df: DataFrame, spec: PanelSpec, order: list[Column], agg_key: list[C
 def dedupe_total_else_max(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Per (entity, period) the total row, else the row of highest weight.
 
-    Missing weight sorts last; remaining ties go to the tie-break columns.
+    Missing weight sorts last; remaining ties go to the tie-break columns.  A
+    panel without the segment column is returned as it is.
     """
+    if spec.segment is not None and spec.segment not in df.columns:
+        return df  # no segments, so nothing is told apart as a total or a part
     w = F.col(spec.weight)
     tie = [F.col(c) for c in spec.tiebreak]
     order = [_is_not_total(spec).asc(), w.desc_nulls_last(), *[t.asc() for t in tie]]
@@ -118,6 +121,8 @@ def dedupe_total_else_first(df: DataFrame, spec: PanelSpec, drop_null_keys: bool
 
     Rows with a null entity or period are dropped, as a group-by drops them.
     """
+    if spec.segment is not None and spec.segment not in df.columns:
+        return df
     if drop_null_keys:
         df = df.filter(F.col(spec.entity).isNotNull() & F.col(spec.period).isNotNull())
     tie = [F.col(c) for c in spec.tiebreak]

@@ -62,7 +62,7 @@ def _knn_embeddings(spark, d):
 _DIST = "list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
 query("comparables_embeddings", (
     "SELECT query_id, rank, neighbor_id, round(distance, 6) AS distance, "
-    "floor((1 / (1 + distance)) * 100 + 0.5) / 100 AS similarity, neighbor_label FROM ("
+    "round_even((1 / (1 + distance)) * 100, 0) / 100 AS similarity, neighbor_label FROM ("
     f"SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, c.label AS neighbor_label, {_DIST} AS distance, "
     f"CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DIST}, 10), c.vec_id) AS INT) AS rank "
     "FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id) x WHERE rank <= 5"))(_knn_embeddings)
@@ -110,7 +110,7 @@ def _vec_sql() -> str:
 _PD = "list_distance(q.v, c.v)"
 COMPARABLES_SQL = _vec_sql() + (
     "\nSELECT name, rank, neighbor, round(distance, 6) AS distance, "
-    "floor((1 / (1 + distance)) * 100 + 0.5) / 100 AS similarity, neighbor_tier FROM ("
+    "round_even((1 / (1 + distance)) * 100, 0) / 100 AS similarity, neighbor_tier FROM ("
     f"SELECT q.name, c.name AS neighbor, c.tier AS neighbor_tier, {_PD} AS distance, "
     f"CAST(row_number() OVER (PARTITION BY q.name ORDER BY round({_PD}, 10), c.name) AS INT) AS rank "
     "FROM vec q JOIN vec c ON true) x WHERE rank <= 5")
@@ -227,7 +227,8 @@ def _records(spark, d):
     c = contrib.join(F.broadcast(sch), "feature")
     descr = c.select("name", "feature", X.describe_factor(
         F.col("category"), F.col("feature"), F.col("stat"), F.col("age"), F.col("value"), F.col("mean"),
-        F.col("z"), T3.baseline_age, T3.career_high[1], T3.career_mean[1], "seasons_at_30").alias("description"))
+        F.col("z"), T3.baseline_age, T3.career_high[1], T3.career_mean[1],
+        T3.seasons_name.format(age=T3.baseline_age)).alias("description"))
     comps = SC.comparables(model, t, t, "name", LABEL, 5)
     return SC.prediction_records(s, factors, comps, "name", K, descr)
 
@@ -342,7 +343,7 @@ def _ranking_scored(spark, d):
 
 
 _TL = O.tier_label_sql("{c}")
-_R3 = "floor({p} * 1000 + 0.5) / 1000"
+_R3 = "round_even({p} * 1000, 0) / 1000"
 RANKING_SQL = esql(
     "SELECT name, pred AS predicted_tier, " + _TL.format(c="pred") + " AS predicted_label, "
     + ", ".join(f"{_R3.format(p=p)} AS prob_{i}" for i, p in enumerate(PROBS))
@@ -367,8 +368,7 @@ def _interpretation_scored(spark, d):
 
 def _interpretation_sql() -> str:
     expr, sch = describe_parts()
-    pct = ("(CASE WHEN greatest({a}) * 100 < 0 THEN '-' ELSE '' END || CAST(CAST(floor(abs(greatest({a}) * 100) "
-           "* CAST(1 AS DOUBLE) + 0.5) / CAST(1 AS DOUBLE) AS DECIMAL(38, 0)) AS VARCHAR)) || '%'").format(
+    pct = "(CAST(CAST(round_even(greatest({a}) * 100, 0) AS BIGINT) AS VARCHAR) || '%')".format(
         a=", ".join(_R3.format(p=p) for p in PROBS))
     ctes = [
         IMP_CTE, CONTRIB_CTE,

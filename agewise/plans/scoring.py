@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import confidence_band, fixed, risk_band, signal_direction
+from ..functions.columns import confidence_band, exact_round, nearest_even, risk_band, signal_direction
 from ..operators import explain as X
 from ..operators.knn import exact_knn, similarity
 from ..operators.labels import tier_label
@@ -44,8 +44,8 @@ def score(model: PipelineModel, table: DataFrame, entity: str, k: int, keep=())
 
 
 def round3(c):
-    """Probability printed to 3 decimals (half up on the stored value)."""
-    return F.floor(c * 1000 + 0.5) / 1000
+    """Probability to 3 decimals (scaled, half to even)."""
+    return nearest_even(c, 3)
 
 
 def ranking_table(scored: DataFrame, entity: str, label: str, k: int) -> DataFrame:
@@ -104,7 +104,7 @@ def prediction_records(scored: DataFrame, factors: DataFrame, comps: DataFrame,
         F.struct("rank", "neighbor", "similarity", "neighbor_tier", "neighbor_label"))).alias("comps"))
     s = scored.join(fa, entity, "left").join(ca, entity, "left")
     rounded = [round3(F.col(p)) for p in probs]
-    pct = F.concat(fixed(F.greatest(*rounded) * 100, 0), F.lit("%"))
+    pct = F.concat(F.rint(F.greatest(*rounded) * 100).cast("long").cast("string"), F.lit("%"))
     text = X.interpretation(tier_label(F.col("pred")), F.col(entity).cast("string"), pct,
                             F.col("pos")[0]["description"], F.col("neg")[0]["description"],
                             F.transform(F.coalesce("comps", F.array()), lambda c: c["neighbor"].cast("string")),
@@ -136,7 +136,7 @@ def longevity_response(scored_p: DataFrame, entity: str, prob: str, signal_cols:
     else:
         names = F.array().cast("array<string>")
     doc = F.struct((F.col(prob) >= 0.5).alias("Prediction"),
-                   (F.floor(F.col(prob) * 100 + 0.5) / 100).alias("Probability"),
+                   exact_round(F.col(prob), 2).alias("Probability"),
                    risk_band(F.col(prob)).alias("Risk_Level"), sig.alias("Key_Adaptability_Signals"),
                    F.lit(GM_ADVICE).alias("GM_Advice"), names.alias("Comparables"))
     return base.select(entity, F.to_json(doc).alias("response"))
@@ -153,9 +153,8 @@ def training_run(table: DataFrame, features: list[str], label: str, entity: str,
     train = stratified_folds(split.filter(F.col("split") == "train"), label, entity, folds, seed).persist()
     test = split.filter(F.col("split") == "test")
     base_cv = cv_scores(train, features, label, "fold", cfg, folds).collect()  # k + 2 rows
-    search, best_cfg, _ = random_search(train, features, label, "fold", cfg, n_iter, seed, folds)
-    model = forest_pipeline(features, label, best_cfg).fit(train)
-    scored = score(model, test, entity, k, keep=(label,))
+    search, best_cfg, model = random_search(train, features, label, "fold", cfg, n_iter, seed, folds)
+    scored = score(model, test, entity, k, keep=(label,))  # the search's best, refitted on all training rows
     per = E.per_class_metrics(scored, label, "pred", k).collect()  # k rows
     f1s = E.f1_averages(scored, label, "pred", k).first()
     acc = E.accuracy(scored, label, "pred").first()[0]

@@ -66,12 +66,15 @@ def apply_scale_settings(spark: SparkSession, input_bytes: int, **kw) -> dict:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local runs, tests) a scratch
-    folder is created and registered.
+    A cluster names it; only when it is unset on a local master (local runs,
+    tests) a scratch folder is created and registered.  On any other master
+    that would be a folder of the driver alone, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="agewise-ckpt-", dir=os.environ.get("AGEWISE_SCRATCH", "/tmp"))
     if not sc.getCheckpointDir():
