@@ -229,7 +229,7 @@ roc AS (SELECT l.class, l.score, l.pos, l.neg, t.P, t.N,
 
 query("roc_points", esql("").rstrip() + ",\n" + ROC_CTE + "\nSELECT CAST(class AS INT) AS class, score AS threshold, "
       "cum_neg / N AS fpr, cum_pos / P AS tpr FROM roc UNION ALL "
-      "SELECT CAST(class AS INT), CAST('Infinity' AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM tot")(
+      "SELECT CAST(class AS INT), CAST('Infinity' AS DOUBLE), 0 / N, 0 / P FROM tot")(
     lambda spark, d: E.roc_points(test_rows(spark, d), "label", PROBS))
 
 query("auc_ovr", esql("").rstrip() + ",\n" + ROC_CTE + "\nSELECT CAST(class AS INT) AS class, "
