@@ -13,11 +13,13 @@ text is handled once a phrase and not once a byte.  Here, as Spark jobs:
 2. *Order of the parse.*  The rows are sorted by (parse fingerprint, phrase fingerprint, doc, position).
    Equal phrases come together: all but the first are repeats in full.  A phrase whose parse
    fingerprint belongs to no other phrase is settled.  The rest (where repeats begin or end) go on.
-3. *Order of the dictionary.*  Each remaining distinct phrase is spelled out, once, from its first
-   occurrence; its suffixes, cut at ``length`` bytes, are sorted (a suffix array of the phrases at
-   hand), neighbours with ``length`` bytes in common merge, and the survivors meet corpus-wide by
-   fingerprint in corpus order, where all but the first are repeats.
-4. The repeated ranges join their documents, which lose those bytes.
+3. *Finer parse.*  Each remaining distinct phrase is divided, once, at its first occurrence: starts
+   whose distances from the trigger lie in one group of ``GROUP`` become a phrase of their own, with a
+   parse fingerprint of the ``length - GROUP + 1`` bytes they all contain, and step 2 is done again.
+4. *Order of the dictionary.*  What is left is spelled out; the suffixes, cut at ``length`` bytes, are
+   sorted (a suffix array of the phrases at hand), neighbours with ``length`` bytes in common merge,
+   and the survivors meet corpus-wide by fingerprint in corpus order, where all but the first are repeats.
+5. The repeated ranges join their documents, which lose those bytes.
 
 Rows are streamed through sorted partitions; no phrase, group or document list is held whole, and a
 map task sends at most one row of each distinct phrase in a batch for comparison.
@@ -43,6 +45,8 @@ from agewise.llm.repeats import (KNOWN, PLACES_DDL, START_BITS, CODE_BITS, code_
 LENGTH = 100
 #: Strings that share a trigger start at most so many bytes before it; 6 bits hold the count less one.
 REACH = 64
+#: Starts that the finer parse keeps together; their common bytes are nearly a whole string.
+GROUP = 8
 _ROLL = 8
 
 
@@ -72,7 +76,7 @@ def triggers(data: np.ndarray, length: int, reach: int) -> np.ndarray:
 def phrases(data: np.ndarray, length: int = LENGTH, reach: int = REACH):
     """Of one text: parse fingerprint, phrase fingerprint, first start and number of starts of each phrase.
 
-    Long texts are parsed in pieces; a phrase cut there has its own fingerprint and is settled in step 3."""
+    Long texts are parsed in pieces; a phrase cut there has its own fingerprint and is settled in step 3 or 4."""
     out = []
     for a in range(0, len(data) - length + 1, PIECE):
         piece = data[a:min(a + PIECE + length - 1, len(data))]
@@ -90,7 +94,7 @@ def phrases(data: np.ndarray, length: int = LENGTH, reach: int = REACH):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_OCCURRENCES = "key long, phrase long, id long, pos long"
+_OCCURRENCES_DDL = "key long, phrase long, id long, pos long"
 
 
 def _parse(length: int, reach: int):
@@ -107,22 +111,26 @@ def _parse(length: int, reach: int):
                     rows.append((signed(parse), signed(phrase), np.full(len(lo), ids[i]), pos))
                     held += len(lo)
                 if held > 200_000 or i == b.num_rows - 1 and rows:
-                    parse, phrase, ident, pos = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    yield _occurrences(rows)
                     rows, held = [], 0
-                    order = np.lexsort((pos, ident, phrase, parse))
-                    parse, phrase, ident, pos = (x[order] for x in (parse, phrase, ident, pos))
-                    same = np.zeros(len(pos), bool)
-                    same[1:] = (parse[1:] == parse[:-1]) & (phrase[1:] == phrase[:-1])
-                    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(pos))))
-                    known = same & ((ident != ident[first]) | (pos != pos[first]))
-                    spread = signed(mix(pos.view(U) + ident.view(U) * U(0x9E3779B97F4A7C15)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (np.where(known, spread, parse), phrase, ident,
-                                               np.where(known, pos | np.int64(KNOWN), pos))],
-                        names=["key", "phrase", "id", "pos"])
     return run
 
 
+def _occurrences(rows: list) -> pa.RecordBatch:
+    """Occurrences of phrases; those that repeat a phrase of the same batch are marked and dealt out evenly."""
+    parse, phrase, ident, pos = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((pos, ident, phrase, parse))
+    parse, phrase, ident, pos = (x[order] for x in (parse, phrase, ident, pos))
+    same = np.zeros(len(pos), bool)
+    same[1:] = (parse[1:] == parse[:-1]) & (phrase[1:] == phrase[:-1])
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(pos))))
+    known = same & ((ident != ident[first]) | (pos != pos[first]))
+    spread = signed(mix(pos.view(U) + ident.view(U) * U(0x9E3779B97F4A7C15)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (np.where(known, spread, parse), phrase, ident, np.where(known, pos | np.int64(KNOWN), pos))],
+        names=["key", "phrase", "id", "pos"])
+
+
 #: What step 2 finds: a phrase that is a repeat in full, or one whose strings must be compared.
 _REPEAT, _COMPARE = 0, 1
 
@@ -161,26 +169,79 @@ def _order_of_parse(batches):
                                              names=["id", "pos", "kind"])
 
 
+def _places(batch: pa.RecordBatch):
+    """(id, text, sorted distinct places) of every row of a batch."""
+    data, off = _text(batch)
+    ids = batch.column("id").to_numpy(zero_copy_only=False)
+    lists = batch.column("places")
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    for r in range(batch.num_rows):
+        yield ids[r], data[off[r]:off[r + 1]], np.unique(values[ends[r]:ends[r + 1]])
+
+
+def divided(text: np.ndarray, lo: np.ndarray, count: np.ndarray, length: int, reach: int, group: int):
+    """Of phrases of one text: parse and phrase fingerprint, first start, number of starts and phrase number of each group."""
+    # every phrase's bytes side by side; past the end of the text the last byte fills up, which no fingerprint covers
+    at = np.minimum(lo[:, None] + np.arange(reach + length - 1), len(text) - 1)
+    window = text[at]
+    near = reach + _ROLL - 1
+    roll = _rolling(np.concatenate((window[:, :near].ravel(), np.zeros(_ROLL - 1, np.uint8)))).reshape(len(lo), near)
+    trigger = roll[:, :reach].argmin(axis=1)  # the leftmost of equal hashes, counted from the first start
+    low, high = trigger - count + 1, trigger  # distances of the starts from the trigger
+    parts = high // group - low // group + 1
+    of = np.repeat(np.arange(len(lo)), parts)
+    which = (low // group)[of] + np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    bottom, top = np.maximum(low[of], which * group), np.minimum(high[of], which * group + group - 1)
+    f = Fingerprints(byte_values(False)[window.ravel()])
+    head = of * window.shape[1]
+    core = head + trigger[of] - which * group
+    parse = mix(f(core, core + length - group + 1) + which.astype(U))
+    start, n = trigger[of] - top, top - bottom + 1
+    phrase = mix(f(head + start, head + start + n + length - 1) + top.astype(U))
+    return parse, phrase, lo[of] + start, n, of
+
+
+def _divide(length: int, reach: int, group: int):
+    """The finer parse of the phrases to compare."""
+    def run(batches):
+        for b in batches:
+            rows: list = []
+            held = 0
+            for ident, text, places in _places(b):
+                for a in range(0, len(places), 4096):
+                    pos = places[a:a + 4096]
+                    parse, phrase, lo, n, of = divided(text, start_of(pos), code_of(pos) + 1, length, reach, group)
+                    tie = (pos >> np.int64(START_BITS + CODE_BITS))[of]
+                    rows.append((signed(parse), signed(phrase), np.full(len(lo), ident), pack(tie, lo, n - 1)))
+                    held += len(lo)
+                    if held > 200_000:
+                        yield _occurrences(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _occurrences(rows)
+    return run
+
+
 def _spell_out(length: int):
-    """Strings of the phrases to compare: sorted suffixes of the batch's phrases, equal neighbours merged."""
+    """Strings of the phrases to compare: sorted suffixes of the batch's phrases, equal neighbours merged.
+
+    Places that are marked as repeats are passed on as they are."""
     def run(batches):
         for b in batches:
-            data, off = _text(b)
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            lists = b.column("places")
-            values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
-            ends = ends - ends[0]
             rows: list = []
             held = 0
-            for r in range(b.num_rows):
-                pos = np.unique(values[ends[r]:ends[r + 1]])
-                text = data[off[r]:off[r + 1]]
+            for ident, text, pos in _places(b):
+                known, pos = pos[pos < 0], pos[pos >= 0]
+                if len(known):
+                    spread = signed(mix(known.view(U) + np.full(len(known), ident).view(U) * U(0x9E3779B97F4A7C15)))
+                    yield place_batch(spread, np.full(len(known), ident), known)
                 lo, count = start_of(pos), code_of(pos) + 1
-                start = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+                start = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                 tie = np.repeat(pos >> np.int64(START_BITS + CODE_BITS), count)
                 for a in range(0, len(start), 50_000):
                     s = start[a:a + 50_000]
-                    rows.append((text[s[:, None] + np.arange(length)], np.full(len(s), ids[r]), pack(tie[a:a + 50_000], s)))
+                    rows.append((text[s[:, None] + np.arange(length)], np.full(len(s), ident), pack(tie[a:a + 50_000], s)))
                     held += len(s)
                     if held >= 50_000:
                         yield _suffix_order(rows, length)
@@ -217,7 +278,7 @@ def _ranks(strings: np.ndarray) -> np.ndarray:
 def _carrying(docs: DataFrame, carry: bool, text: str = "text") -> DataFrame:
     """``(id, tie, row)``: the row as a struct, of all columns or of the text alone.
 
-    The text is only read inside tasks, from the struct, so that both joins below shuffle the same
+    The text is only read inside tasks, from the struct, so that all joins below shuffle the same
     projection of the documents and Spark does it once."""
     return packed(docs if carry else docs.select("doc_id", text)).withColumn("row", F.col("row") if carry else F.struct(f"row.{text}"))
 
@@ -226,14 +287,25 @@ def _text(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return bytes_and_offsets(batch.column("row").field("text"))
 
 
+def _ordered(occurrences: DataFrame) -> DataFrame:
+    return (occurrences.repartition(partitions(occurrences), "key").sortWithinPartitions("key", "phrase", "id", "pos")
+            .mapInArrow(_order_of_parse, "id long, pos long, kind int"))
+
+
+def _at_texts(rows: DataFrame, found: DataFrame, pos) -> DataFrame:
+    """The places found in each document beside its row."""
+    places = found.groupBy("id", tie_from().alias("tie")).agg(F.collect_list(pos).alias("places"))
+    return rows.join(places, ["id", "tie"])
+
+
 def _ranges(rows: DataFrame, length: int, reach: int) -> DataFrame:
-    n = partitions(rows)
-    occurrences = rows.select("id", "tie", F.col("row.text").alias("text")).mapInArrow(_parse(length, reach), _OCCURRENCES)
-    found = cut(occurrences.repartition(n, "key").sortWithinPartitions("key", "phrase", "id", "pos")
-                .mapInArrow(_order_of_parse, "id long, pos long, kind int"))
-    compare = (found.where(F.col("kind") == _COMPARE)
-               .groupBy("id", tie_from().alias("tie")).agg(F.collect_list("pos").alias("places")))
-    strings = rows.join(compare, ["id", "tie"]).mapInArrow(_spell_out(length), PLACES_DDL)
+    texts = rows.select("id", "tie", F.col("row.text").alias("text"))
+    found = cut(_ordered(texts.mapInArrow(_parse(length, reach), _OCCURRENCES_DDL)))
+    finer = _ordered(_at_texts(rows, found.where(F.col("kind") == _COMPARE), F.col("pos"))
+                     .mapInArrow(_divide(length, reach, min(GROUP, reach)), _OCCURRENCES_DDL))
+    # repeats and phrases still to compare go on together, so that the finer parse is read once
+    marked = F.when(F.col("kind") == _REPEAT, F.col("pos").bitwiseOR(F.lit(KNOWN))).otherwise(F.col("pos"))
+    strings = _at_texts(rows, finer, marked).mapInArrow(_spell_out(length), PLACES_DDL)
     later = found.where(F.col("kind") == _REPEAT).select("id", "pos").unionByName(later_places(strings))
     start = F.shiftright("pos", CODE_BITS).bitwiseAND((1 << START_BITS) - 1)
     stop = start + F.col("pos").bitwiseAND((1 << CODE_BITS) - 1) + length
