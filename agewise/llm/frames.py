@@ -9,6 +9,7 @@ counts as the smallest id.  A null text counts as empty.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from agewise.session import materialize
 
 NULL_ID = -(1 << 63)
 TIE_BITS = 26
+_PAUSE_S = 0.3
 
 
 def id_column(name: str = "doc_id"):
@@ -59,11 +61,17 @@ def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    The shuffle files behind it are of no use any more; Spark deletes them once the driver has
-    collected its garbage, so that is asked for here and not left to chance."""
+    The shuffle files behind it are of no use any more; Spark deletes them once the driver's JVM finds
+    that nothing holds the plan, so the plan is let go here and garbage is collected.  Handles that
+    Python drops reach the JVM a little later, hence two rounds with a pause.  Callers should not keep
+    ``df`` either."""
+    spark = df.sparkSession
     out = materialize(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df
+    for _ in range(2):
+        gc.collect()
+        time.sleep(_PAUSE_S)
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
