@@ -64,6 +64,20 @@ def test_suffix_array_dedup_in_pieces(odd_documents, monkeypatch):
     assert set(map(int, whole[0])) == set(map(int, parts[0]))
 
 
+@pytest.mark.parametrize("length,reach,group", [(100, 64, 8), (40, 16, 8), (40, 16, 16), (40, 16, 1)])
+def test_suffix_dedup_finer_parse(odd_documents, length, reach, group):
+    """Every start is in one group; equal strings share its key, whatever phrase they are in."""
+    text = np.frombuffer(odd_documents.where("doc_id = 0").first().text.encode() * 2 + b"same " * 60, np.uint8)
+    _, _, lo, count = suffix_dedup.phrases(text, length, reach)
+    parse, _, start, n, of = suffix_dedup.divided(text, lo, count, length, reach, group)
+    starts = np.repeat(start, n) + np.concatenate([np.arange(k) for k in n])
+    assert sorted(starts) == list(range(len(text) - length + 1)) and n.max() <= group
+    assert ((start >= lo[of]) & (start + n <= lo[of] + count[of])).all()
+    keys = {}
+    for s, key in zip(starts, np.repeat(parse, n), strict=True):
+        assert keys.setdefault(text[s:s + length].tobytes(), key) == key
+
+
 def test_suffix_dedup_stage_keeps_columns_and_clean_rows(odd_documents, no_documents):
     out = suffix_dedup.without_repeats(odd_documents)
     assert out.columns == odd_documents.columns and out.count() == odd_documents.count()
