@@ -5,7 +5,7 @@ article text go first: by tag, by role, when hidden, or by a word of their class
 text of its own is a paragraph: one point, one for each comma, one for each 100 characters up to three.
 It passes its points to its parent, half to the grandparent, a third, a fourth to the next two; a
 container's points are discounted by its link density.  The best container is kept, with its siblings
-that score a fifth of it or are plain paragraphs; if it lies in an ``article`` (else a ``main``) element,
+that score a fifth of it or are text, headings, lists or tables with few links; if it lies in an ``article`` (else a ``main``) element,
 that element is the article.  Link lists inside go.  Each block's white space becomes one space;
 blocks join in page order by one space; character references are decoded.
 
@@ -50,16 +50,20 @@ UNLIKELY = frozenset(
     "subscription tags toc toolbar topbar trending widget widgets".split())
 _PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption".split())
 _BOXES = frozenset("ul ol dl div section table details".split())
+#: Beside the best container these stay whatever their score, unless they are mostly links.
+_CONTENT = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table".split())
 _KEPT = frozenset("html body article main".split())
+#: Start tags that don't end an open head.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _WORDS = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "link", "points")
+    __slots__ = ("tag", "parent", "children", "link", "points", "unwanted")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.points = tag, parent, [], 0.0
+    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False):
+        self.tag, self.parent, self.children, self.points, self.unwanted = tag, parent, [], 0.0, unwanted
         self.link = tag == "a" or parent is not None and parent.link
 
 
@@ -81,59 +85,58 @@ def _unwanted(tag: str, attrs: str) -> bool:
     return False
 
 
+def _end_of(now: Node, root: Node, tag: str) -> Node | None:
+    """The open element that an end tag closes; nothing outside its container, but for unwanted elements."""
+    node, inside = now, True
+    while node is not root:
+        if node.tag == tag and (inside or node.unwanted):
+            return node
+        inside &= tag in _SCOPE or node.tag not in _SCOPE
+        node = node.parent
+    return None
+
+
 def tree(page: str) -> Node:
-    """The page's tree, without unwanted parts."""
+    """The page's tree.  Unwanted elements are opened and closed as others, but no parent lists them."""
     root = Node("html", None)
-    now, skip, at = root, None, 0  # skip: depth count of an unwanted element, its tag
-    depth = 0
+    now, at = root, 0
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         if m["text"] is not None or m["cdata"] is not None:
-            if skip is None:
-                now.children.append(html.unescape(m["text"]) if m["text"] is not None else m["cdata"])
+            text = html.unescape(m["text"]) if m["text"] is not None else m["cdata"]
+            if now.tag == "head" and not text.isspace():
+                now = now.parent
+            now.children.append(text)
             continue
         tag = m["tag"] or m["tag2"]
         if tag is None:
             continue
         tag, closing, attrs = tag.lower(), m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
         if closing:
-            if skip is not None:
-                if tag == skip:
-                    depth -= 1
-                    if not depth:
-                        skip = None
-                continue
-            node = now
-            while node is not root and node.tag != tag:
-                if tag not in _SCOPE and node.tag in _SCOPE:  # an end tag closes nothing outside its container
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
+            node = _end_of(now, root, tag)
+            if node is not None:
                 now = node.parent
             continue
         if tag in RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if skip is not None:
-            depth += tag == skip and tag not in VOID and not attrs.rstrip().endswith("/")
-            continue
+        if now.tag == "head" and tag not in _HEAD:
+            now = now.parent
         if tag in ("html", "body"):
             continue
         if tag in BLOCKS and tag != "br":
-            node = now  # a block ends an open paragraph or heading of the same container
+            node = now  # a block ends open paragraphs and headings of the same container
             while node is not root and node.tag not in _SCOPE:
                 if node.tag == "p" or tag in ENDS and node.tag in ENDS[tag]:
                     now = node.parent
-                    break
                 node = node.parent
         elif tag in ENDS and now.tag in ENDS[tag]:
             now = now.parent
         if tag not in VOID and _unwanted(tag, attrs):
             if not attrs.rstrip().endswith("/"):
-                skip, depth = tag, 1
+                now = Node(tag, now, True)
             continue
         child = Node(tag, now)
         now.children.append(child)
@@ -212,6 +215,27 @@ def _drop_link_lists(top: Node) -> None:
         counts[id(node)] = (chars, linked, links)
 
 
+def _with_runs(parent: Node) -> list[Node]:
+    """A node's children; text and inline elements that stand together are one node without a tag."""
+    out: list[Node] = []
+    for c in parent.children:
+        if isinstance(c, str) or c.tag not in BLOCKS and not c.points:
+            if not out or out[-1].tag:
+                out.append(Node("", None))
+                out[-1].link = parent.link
+            out[-1].children.append(c)
+        else:
+            out.append(c)
+    return out
+
+
+def _characters(node: Node) -> tuple[int, int]:
+    """Characters of a node's text, and how many of them are linked."""
+    own: list = []
+    blocks(node, own=own)
+    return sum(len(text) for _, text, _ in own), sum(linked for _, _, linked in own)
+
+
 def main_text(page: str | None) -> str:
     """The article's text."""
     if not page:
@@ -251,16 +275,10 @@ def main_text(page: str | None) -> str:
         _drop_link_lists(best)
         return " ".join(blocks(best))
     parts = []
-    for sibling in best.parent.children:
-        if sibling is best:
-            keep = True
-        elif isinstance(sibling, str):
-            keep = False
-        else:
-            t = total.get(id(sibling), [0, 0])
-            keep = sibling.points >= max(10, 0.2 * best.points) or sibling.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and (
-                t[0] > 0 and t[1] < 0.25 * t[0])
-        if keep:
+    for sibling in _with_runs(best.parent):
+        t = total.get(id(sibling)) or _characters(sibling)
+        if sibling is best or sibling.points >= max(10, 0.2 * best.points) or (
+                (sibling.tag in _CONTENT or not sibling.tag) and t[0] > 0 and t[1] < 0.25 * t[0]):
             _drop_link_lists(sibling)
             parts += blocks(sibling)
     return " ".join(parts)
