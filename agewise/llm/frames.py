@@ -58,6 +58,15 @@ def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return unpacked(packed(docs).join(kept.select("id", "tie").distinct(), ["id", "tie"], "left_semi"))
 
 
+def one_row_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """As :func:`keep_documents`, but one row a document: the least by its other columns (as JSON).
+
+    Repeated rows meet in the map tasks already, so a document that fills the table is not gathered."""
+    others = F.to_json(F.struct(*[F.col("row").getField(c) for c in docs.columns if c != "text"]))
+    once = packed(docs).groupBy("id", "tie").agg(F.min_by("row", F.struct(F.col("row.text").isNull(), others)).alias("row"))
+    return unpacked(once.join(kept.select("id", "tie").distinct(), ["id", "tie"], "left_semi"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agewise.llm.frames import bytes_and_offsets, cut, keep_documents, keyed, original_id, partitions, slices
+from agewise.llm.frames import bytes_and_offsets, cut, keyed, one_row_each, original_id, partitions, slices
 from agewise.llm.graph import components
 from agewise.llm.hashing import PIECE, U, mix, signed, word_hashes
 
@@ -487,4 +487,4 @@ def one_of_each_class(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Da
     least = (jaccard_classes(docs, percent, k).groupBy("component", (F.col("n") > 0).alias("has"),
                                                        F.when(F.col("n") == 0, F.col("id")).alias("own"))
              .agg(F.min(F.struct("id", "tie")).alias("rep")).select("rep.id", "rep.tie"))
-    return keep_documents(docs, least)
+    return one_row_each(docs, least)

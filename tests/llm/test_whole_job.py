@@ -1,6 +1,8 @@
 """Places where an operator once did less than the whole job."""
 
-from agewise.llm import html_extract
+from collections import Counter
+
+from agewise.llm import html_extract, jaccard_join
 
 
 def test_unwanted_elements_end_as_others_do():
@@ -20,3 +22,14 @@ def test_text_lists_and_tables_beside_the_best_container():
     out = html_extract.main_text(f"<div>Bare <b>text</b> first{body}<h4>Sub</h4><ul><li>one<li>two</ul><table><tr><td>cell</table>"
                                  "<ul><li><a href=x>link</a><li><a href=y>other</a></ul><a href=z>gone</a></div>")
     assert out.startswith("Bare text first Paragraph 0, ") and out.endswith(" here. Sub one two cell")
+
+
+def test_one_of_each_class_keeps_repeated_rows_once(spark, odd_documents):
+    out = Counter(r.doc_id for r in jaccard_join.one_of_each_class(odd_documents).select("doc_id").collect())
+    texts = Counter((r.doc_id, r.text) for r in odd_documents.select("doc_id", "text").collect())
+    assert texts[None, odd_documents.where("doc_id is null").first().text] == 2 and out[None] == 1
+    assert out[5] == 1 and out[6] <= 2 and all(n == 1 for i, n in out.items() if i != 6)
+    rows = [(1, "a b c d e f", s) for s in "zyxzyx"] + [(2, None, "z"), (2, None, "y")]
+    got = [(r.doc_id, r.text, r.source) for r in jaccard_join.one_of_each_class(
+        spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()]
+    assert sorted(got, key=str) == [(1, "a b c d e f", "x"), (2, None, "y")]
