@@ -21,6 +21,9 @@ Documents with equal sets are one node.  Two nodes link when 100 * intersection
 5. Links found give components; where a candidate failed, the tiles are gone through once more for all
    pairs whose bound allows a link, across components.  So no link between two components is missed.
 
+Where the links themselves are wanted (``links``), step 3 takes every pair whose bound allows a link
+instead and there is no second pass; documents with equal sets stay one node and count with their copies.
+
 The result is exact but for collisions of 64-bit fingerprints.  Defined results: null or empty texts
 have the empty set and no links; rows that repeat a document agree; a null doc_id counts as the
 smallest id (component_id null where that is the smallest); an empty table gives an empty result.
@@ -379,9 +382,9 @@ def _narrowed(percent: int):
     return run
 
 
-def _candidates(percent: int, across: bool):
+def _candidates(percent: int, across: bool, every: bool = False):
     """Pairs (a, b), a < b, of tile members: a spanning forest of those whose bound allows a link, or
-    (``across``) all of those that are in different components."""
+    (``across``) all of those that are in different components, or (``every``) all of them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -394,15 +397,15 @@ def _candidates(percent: int, across: bool):
                 j = t.partners(i, percent)
                 if across:
                     j = j[comp[j] != comp[i]]
-                elif len(j):
+                elif len(j) and not every:
                     groups, first = np.unique(group[j], return_index=True)
                     j = j[first]  # the smallest member of each group, so that tiles agree on it
                     group[np.isin(group, groups)] = i
                     group[i] = i
                 out.update((min(node[i], x), max(node[i], x)) for x in node[j])
-            if len(out) > 20_000:
-                yield _arrays(schema, zip(*out, strict=True))
-                out = set()
+                if len(out) > 20_000:
+                    yield _arrays(schema, zip(*out, strict=True))
+                    out = set()
         if out:
             yield _arrays(schema, zip(*out, strict=True))
     return run
@@ -431,10 +434,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(_verify(percent), "a long, b long, common long, linked boolean"))
 
 
-def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = K, links: bool = False) -> DataFrame:
     """``(id, tie, n, n_copies, component)`` of every document; component: least id reachable by links.
 
-    ``n_copies``: rows of the table with the same set, itself included (0 for the empty set)."""
+    ``n_copies``: rows of the table with the same set, itself included (0 for the empty set).
+    ``links`` adds ``n_links``: the other rows of the table that a row links with, equal sets among them."""
     text, p = keyed(docs), partitions(docs)
     described = cut(text.mapInArrow(_describe(k), "id long, tie long, n long, node long"))
     nodes = (described.where("n > 0").groupBy("node")
@@ -456,28 +460,35 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     sets = cut(text.join(representatives(tiles), ["id", "tie"]).select("text")
                .mapInArrow(_sets(k), "node long, n long, bits binary, items binary").dropDuplicates(["node"]))
     members = tiles.join(sets.select("node", "n", "bits"), "node")
-    first = cut(_verified(by_tile(members).mapInArrow(_candidates(percent, False), "a long, b long").distinct(), sets, percent))
-    of = components(first.where("linked")).withColumnRenamed("component", "comp")
-    placed = members.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    again = (by_tile(placed).mapInArrow(_candidates(percent, True), "a long, b long").distinct()
-             .join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _verified(again, sets, percent)
-    links = first.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b"))
+    first = cut(_verified(by_tile(members).mapInArrow(_candidates(percent, False, links), "a long, b long").distinct(), sets, percent))
+    linked = first.where("linked").select("a", "b")
+    if not links:
+        of = components(linked).withColumnRenamed("component", "comp")
+        placed = members.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        again = (by_tile(placed).mapInArrow(_candidates(percent, True), "a long, b long").distinct()
+                 .join(first.select("a", "b"), ["a", "b"], "left_anti"))
+        linked = linked.unionByName(_verified(again, sets, percent).where("linked").select("a", "b"))
     names = nodes.select("node", F.col("rep.id").alias("least"), "n_copies")
-    edges = (links.join(names.select(F.col("node").alias("a"), F.col("least").alias("x")), "a")
-             .join(names.select(F.col("node").alias("b"), F.col("least").alias("y")), "b"))
+    edges = (linked.join(names.select(F.col("node").alias("a"), F.col("least").alias("x"), F.col("n_copies").alias("n_x")), "a")
+             .join(names.select(F.col("node").alias("b"), F.col("least").alias("y"), F.col("n_copies").alias("n_y")), "b"))
     of = components(edges.select("x", "y"), "x", "y")
     classes = names.join(of, names.least == of.node, "left").select(
         names.node, "n_copies", F.coalesce("component", "least").alias("component"))
+    if links:
+        others = (edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("n_y").alias("n")),
+                                                 F.struct(F.col("b").alias("node"), F.col("n_x").alias("n")))).alias("end"))
+                  .groupBy("end.node").agg(F.sum("end.n").alias("others")))
+        classes = classes.join(others, "node", "left").withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("others", F.lit(0)))
     return described.join(classes, "node", "left").select(
-        "id", "tie", "n", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("component", "id").alias("component"))
+        "id", "tie", "n", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("component", "id").alias("component"),
+        *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * links)
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """The classes of every row of ``documents``."""
-    out = jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The class of every row of ``documents`` and with how many other rows it links (each link counts at both)."""
+    out = jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True)
     return out.select(original_id().alias("doc_id"), F.col("n").alias("n_shingles"),
-                      original_id("component").alias("component_id"), "n_copies")
+                      original_id("component").alias("component_id"), "n_copies", "n_links")
 
 
 def one_of_each_class(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:

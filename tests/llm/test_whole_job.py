@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from test_dedup import shingles
 from agewise.llm import html_extract, jaccard_join
 
 
@@ -33,3 +34,15 @@ def test_one_of_each_class_keeps_repeated_rows_once(spark, odd_documents):
     got = [(r.doc_id, r.text, r.source) for r in jaccard_join.one_of_each_class(
         spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()]
     assert sorted(got, key=str) == [(1, "a b c d e f", "x"), (2, None, "y")]
+
+
+def test_jaccard_links_are_counted(spark, monkeypatch):
+    """Every pair of rows that links, not only those that connect a component."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:20 + i % 9], f"own{i // 2}", *words[20 + i % 9:50 + i % 4]])) for i in range(40)]
+    rows += [(100 + i, rows[3][1].upper()) for i in range(3)] + [(3, rows[3][1]), (200, None), (201, ""), (202, "alone"), (None, "ALONE")]
+    sets = [(i, shingles(t or "")) for i, t in rows]
+    want = sorted((-1 if i is None else i, sum(100 * len(a & b) >= 80 * len(a | b) for j, (_, b) in enumerate(sets) if j != k and a))
+                  for k, (i, a) in enumerate(sets))
+    out = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
+    assert sorted((max(-1, r.id), r.n_links) for r in out) == want and max(n for _, n in want) > 5
