@@ -3,12 +3,11 @@
 Tokens are runs of letters, digits and non-ASCII characters, in lower case.  Fixed masks lie over every
 token position of the benchmark items and of the documents and ignore some positions, so a seed still
 hits when words there were exchanged.  Seeds are joined; around every hit the item is laid over the
-document and its best stretch of at least ``IDENTITY`` equal tokens is found, substitutions included.
-A document is contaminated by an item when such stretches of ``MIN_STRETCH`` tokens or more (an item's
-tokens, if it has fewer) cover ``MIN_COVER`` of its tokens, 13 at least, or all if it has fewer.
+document and its stretches of at least ``IDENTITY`` equal tokens are found, substitutions included.
+A document is contaminated by an item when such stretches of ``MIN_STRETCH`` tokens or more cover
+``MIN_TOKENS`` of its tokens, or all if it has fewer, however long the item is.
 
-Items shorter than a mask are sought whole; items of fewer than ``MIN_STRETCH`` tokens are too short
-to be evidence and contaminate nothing.  Documents send on only seeds that pass a bitmap of the
+Items shorter than a mask are sought whole.  Documents send on only seeds that pass a bitmap of the
 benchmark's seeds (2 MB whatever the benchmark's size); the seeds themselves are joined, not broadcast.
 Defined results: null or empty texts and items contaminate or contain nothing; repeated items or
 documents agree; empty tables give no contamination; see :mod:`agewise.llm.frames` for ids.
@@ -28,7 +27,6 @@ from agewise.llm.hashing import PIECE, U, mix, signed, word_hashes
 MASKS = ("1101100111", "1110010111", "1011011011", "11111111")
 IDENTITY = 0.8
 MIN_STRETCH = 8
-MIN_COVER = 0.5
 MIN_TOKENS = 13
 _FILTER_BITS = 24
 _MULTIPLIERS = mix(np.arange(201, 201 + 16, dtype=U)) | U(1)
@@ -71,7 +69,7 @@ def _item_seeds(batches):
         h, row = tokens(data, off)
         first = np.searchsorted(row, np.arange(b.num_rows + 1))
         length = np.diff(first)
-        for r in np.flatnonzero(length >= MIN_STRETCH):
+        for r in np.flatnonzero(length):
             own = h[first[r]:first[r + 1]]
             m = len(own)
             for s, at in seeds(own, np.zeros(m, np.int64), (m,) if m < _SHORTEST else ()):
@@ -128,20 +126,34 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return (int(np.argmin(score[:end + 1])), end) if end else (0, 0)
 
 
+def stretches(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The best-scoring stretch, then the best ones of what is left on either side, of ``least`` tokens or more."""
+    out, left = [], [(0, len(equal))]
+    while left:
+        a, z = left.pop()
+        if z - a < least:
+            continue
+        s, e = best_stretch(equal[a:z])
+        if e > s:
+            if e - s >= least:
+                out.append((a + s, a + e))
+            left += [(a, a + s), (a + e, z)]
+    return out
+
+
 def needed(m: int) -> int:
     """Tokens of an item of ``m`` tokens that must be covered."""
-    return max(min(m, MIN_TOKENS), int(np.ceil(MIN_COVER * m)))
+    return min(m, MIN_TOKENS)
 
 
 def covered(document: np.ndarray, item: np.ndarray, diagonals) -> int:
     """Tokens of the item that stretches found on these diagonals (document less item position) cover."""
     got = np.zeros(len(item), bool)
+    least = min(MIN_STRETCH, len(item))
     for d in diagonals:
         lo, hi = max(0, -d), min(len(item), len(document) - d)
-        if hi - lo >= MIN_STRETCH:
-            s, e = best_stretch(document[lo + d:hi + d] == item[lo:hi])
-            if e - s >= MIN_STRETCH:
-                got[lo + s:lo + e] = True
+        for s, e in stretches(document[lo + d:hi + d] == item[lo:hi], least):
+            got[lo + s:lo + e] = True
     return int(got.sum())
 
 

@@ -3,7 +3,7 @@
 from collections import Counter
 
 from test_dedup import shingles
-from agewise.llm import html_extract, jaccard_join
+from agewise.llm import decontaminate, html_extract, jaccard_join
 
 
 def test_unwanted_elements_end_as_others_do():
@@ -46,3 +46,14 @@ def test_jaccard_links_are_counted(spark, monkeypatch):
                   for k, (i, a) in enumerate(sets))
     out = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
     assert sorted((max(-1, r.id), r.n_links) for r in out) == want and max(n for _, n in want) > 5
+
+
+def test_excerpts_and_short_items_contaminate(spark):
+    words = [f"w{i}" for i in range(500)]
+    middle = [*words[:10], *(f"x{i}" for i in range(30)), *words[40:50]]
+    docs = [(1, "before " + " ".join(words[100:129]) + " after"), (2, " ".join(["a", *middle, "z"])), (3, "say two words here"),
+            (4, " ".join(words[200:212])), (5, "two of the words"), (6, " ".join(words[:249]))]
+    items = [(10, " ".join(words[:60])), (11, " ".join(words)), (12, "Two words"), (13, "")]
+    got = {(r.id, r.item) for r in decontaminate.contaminations(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 11), (2, 10), (2, 11), (3, 12), (6, 10), (6, 11)}
