@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from agewise.llm import licenses
+from agewise.llm.conversation_audit import op11_conversation_repair
 from agewise.llm.decontaminate import op4_benchmark_decontamination
 from agewise.llm.html_extract import op7_html_extraction
 from agewise.llm.jaccard_join import op10_ngram_jaccard_join
@@ -16,6 +17,7 @@ from agewise.llm.token_counts import op5_token_counts
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts,
-    op6_quality_classifier, op7_html_extraction, op8_quality_rules, op9_mixing_sources, op10_ngram_jaccard_join)}
+    op6_quality_classifier, op7_html_extraction, op8_quality_rules, op9_mixing_sources, op10_ngram_jaccard_join,
+    op11_conversation_repair)}
 
 ORACLE = {"op2_license_scan": licenses.oracle()}
