@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agewise.llm.frames import cut
+from agewise.session import materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     """``(node, component)`` of every node of an edge table of longs; component: its least node.
 
     Self-loops and repeated or null edges are fine; a node with only a self-loop is not listed."""
-    e = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    e = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
             .where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("a <> b").distinct())
     seen = None
     for _ in range(rounds):
@@ -39,5 +39,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         if seen == now or now[0] == 0:
             return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
                 e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-        seen, e = now, cut(_small_star(_large_star(e)))
+        seen, e = now, materialize(_small_star(_large_star(e)))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

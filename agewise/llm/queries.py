@@ -11,6 +11,7 @@ from agewise.llm.licenses import op2_license_scan
 from agewise.llm.mixing import op9_mixing_sources
 from agewise.llm.quality_model import op6_quality_classifier
 from agewise.llm.quality_rules import op8_quality_rules
+from agewise.llm.simhash_index import op12_simhash_dedup
 from agewise.llm.substring_dedup import op1_substring_dedup
 from agewise.llm.suffix_dedup import op3_suffix_array_dedup
 from agewise.llm.token_counts import op5_token_counts
@@ -18,6 +19,6 @@ from agewise.llm.token_counts import op5_token_counts
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts,
     op6_quality_classifier, op7_html_extraction, op8_quality_rules, op9_mixing_sources, op10_ngram_jaccard_join,
-    op11_conversation_repair)}
+    op11_conversation_repair, op12_simhash_dedup)}
 
 ORACLE = {"op2_license_scan": licenses.oracle()}
