@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from agewise.llm import licenses
+from agewise.llm import collocations, licenses
+from agewise.llm.collocations import op13_phrase_collocations
 from agewise.llm.conversation_audit import op11_conversation_repair
 from agewise.llm.decontaminate import op4_benchmark_decontamination
 from agewise.llm.html_extract import op7_html_extraction
@@ -19,6 +20,6 @@ from agewise.llm.token_counts import op5_token_counts
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts,
     op6_quality_classifier, op7_html_extraction, op8_quality_rules, op9_mixing_sources, op10_ngram_jaccard_join,
-    op11_conversation_repair, op12_simhash_dedup)}
+    op11_conversation_repair, op12_simhash_dedup, op13_phrase_collocations)}
 
-ORACLE = {"op2_license_scan": licenses.oracle()}
+ORACLE = {"op2_license_scan": licenses.oracle(), "op13_phrase_collocations": collocations.oracle()}
