@@ -8,8 +8,8 @@ candidate that a three-word candidate contains goes if ``100 f(longer) >= 50 a``
 
 Method, best-first branch and bound:
 
-1. One scan counts words and pairs of words.  They give every pair's exact score, and bounds for what
-   grows from it: as ``a`` never exceeds the count of a part, no phrase that begins with ``x y`` scores
+1. A scan counts words, another one pairs of words found 10 times or more (no other can grow to a
+   candidate).  They give every pair's exact score, and bounds for what grows from it: as ``a`` never exceeds the count of a part, no phrase that begins with ``x y`` scores
    above ``1000000 f(x y) / f(x)``, and none that ends with ``y z`` above ``1000000 f(y z) / f(z)``.
 2. Each language gets a bar: the score of its ``WIDTH``-th best pair.  The frontier is what may matter at or
    above it: triples whose two bounds reach the bar, and triples that contain a pair at or above the bar
@@ -18,9 +18,10 @@ Method, best-first branch and bound:
    last one apart, are below.  The bar of the others goes down (``GROW`` times as many pairs, in the end to
    zero, where the frontier is everything) and step 2 is repeated for them alone.
 
-Scans send partial counts by 64-bit word fingerprints, equal keys merged first.  The frontier reaches the
-tasks as four bitmaps of a fixed size (``BITS``); what they let through in error is counted like the rest
-and does no harm.  Words are spelled out with the counts of single words, where two words of a language with
+Scans merge equal keys, 64-bit word fingerprints that include the language, and send the partial counts
+packed, a row for each of ``BUCKETS`` buckets a shuffle partition; a task adds up the counts of one bucket
+after the other.  What is counted reaches the tasks as bitmaps of a fixed size (``BITS``); what these let
+through in error is counted like the rest and does no harm.  Words go with their counts, so two words with
 one fingerprint show: the scan is then repeated with other fingerprints (two that only ever met in the same
 batch would not show, with a chance of 2**-63 a pair).  Products are decimals of up to 37 digits, divided
 as integers.
@@ -34,13 +35,15 @@ from __future__ import annotations
 import hashlib
 import zlib
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agewise.llm.frames import bytes_and_offsets, slices
+from agewise.llm.frames import bytes_and_offsets, partitions, slices
 from agewise.llm.hashing import PIECE, U, mix, signed, word_hashes
 from agewise.session import materialize
 
@@ -49,8 +52,10 @@ LEAST, TOP, SCALE = 10, 2000, 1000000
 WIDTH, GROW = 2, 8
 #: Bits of each of the frontier's bitmaps (2 MB).
 BITS = 1 << 24
-#: Different keys that a task holds before it sends their counts.
-HELD = 1 << 20
+#: Different keys (words: with their texts) that a task holds before it sends their counts.
+HELD, HELD_WORDS = 1 << 19, 1 << 17
+#: Buckets of keys for each shuffle partition.
+BUCKETS = 16
 _HARD = np.zeros(256, bool)
 _HARD[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _BREAKS = _HARD.copy()
@@ -70,16 +75,20 @@ def words_of(data: np.ndarray, offsets: np.ndarray, salt: int):
     return h, start, end, row, follows
 
 
-def merged(columns, counts: np.ndarray):
-    """Keys with summed counts and the place of each in ``columns``: equal keys are one row, but for a pair of keys
-    with one mixed value, whose rows may stay apart (the aggregation behind adds them up)."""
-    key = np.zeros(len(counts), U)
+def mixed(columns) -> np.ndarray:
+    key = np.zeros(len(columns[0]), U)
     for c, m in zip(columns, _M, strict=False):
         key = mix(key + c * m)
-    order = np.argsort(key, kind="stable")
+    return key
+
+
+def merged(columns, counts: np.ndarray):
+    """Keys with summed counts, in the order of their mixed values, and the place of each in ``columns``: equal keys
+    are one row, but for two keys with one mixed value, whose rows may stay apart (a later merge adds them up)."""
+    order = np.argsort(mixed(columns))
     columns = [c[order] for c in columns]
-    new = np.ones(len(key), bool)
-    if len(key):
+    new = np.ones(len(order), bool)
+    if len(order):
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     first = np.flatnonzero(new)
     return [c[first] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts[:0], order[first]
@@ -88,21 +97,21 @@ def merged(columns, counts: np.ndarray):
 class _Sums:
     """Counts by keys of several columns, merged as they come."""
 
-    def __init__(self, width: int):
-        self.width, self.parts, self.n = width, [], 0
+    def __init__(self, width: int, held: int):
+        self.width, self.held, self.parts, self.n = width, held, [], 0
 
-    def add(self, *columns: np.ndarray) -> np.ndarray:
-        keys, counts, at = merged(columns, np.ones(len(columns[0]), np.int64))
+    def add(self, columns, counts: np.ndarray | None = None) -> np.ndarray:
+        keys, counts, at = merged(columns, np.ones(len(columns[0]), np.int64) if counts is None else counts)
         self.parts.append((keys, counts))
         self.n += len(counts)
         return at
 
     def full(self) -> bool:
         """Whether there are too many keys to hold, also after another merge."""
-        if self.n >= HELD:
+        if self.n >= self.held:
             self.parts = [self.take()]
             self.n = len(self.parts[0][1])
-        return 2 * self.n >= HELD
+        return 2 * self.n >= self.held
 
     def take(self):
         if not self.parts:
@@ -113,69 +122,133 @@ class _Sums:
         return keys, counts
 
 
-class _Langs:
-    """A 64-bit fingerprint of each language, and its name."""
-
-    def __init__(self):
-        self.names: dict = {}
-
-    def __call__(self, names: list) -> np.ndarray:
-        codes = {x: U(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")) for x in set(names)}
-        self.names.update({int(c): x for x, c in codes.items()})
-        return np.array([codes[x] for x in names], U)
+def lang_code(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
-    def spelled(self, codes: np.ndarray) -> pa.Array:
-        return pa.array([self.names[c] for c in codes.tolist()], pa.string())
 
-
-def _pieces(batch: pa.RecordBatch, langs: _Langs, salt: int):
-    """Of some rows at a time: language and fingerprint of each word, where it stands, and whether the next one follows."""
+def _pieces(batch: pa.RecordBatch, salt: int):
+    """Of some rows at a time: each word's fingerprint (with its language's), where it stands, and whether the next one follows."""
     data, off = bytes_and_offsets(batch.column("text"))
-    codes = langs(batch.column("lang").to_pylist())
+    names = batch.column("lang").to_pylist()
+    codes = {x: U(lang_code(x)) for x in set(names)}
+    of = np.array([codes[x] for x in names], U)
     for a, b in slices(off, PIECE):
         part = data[off[a]:off[b]]
         h, start, end, row, follows = words_of(part, off[a:b + 1] - off[a], salt)
-        yield part, codes[a:b][row], h, start, end, follows
+        yield part, mix(h ^ of[a:b][row]) | U(1), start, end, row + a, follows, names
 
 
-_COUNTS = pa.schema([("lang", pa.string()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
-_COUNTS_SQL = "lang string, x long, y long, z long, word string, n long"
+_SENT = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
+_SENT_SQL = "bucket int, lang string, keys binary, counts binary, words binary"
 
 
-def _sent(langs: _Langs, sums: _Sums, words: dict | None = None) -> pa.RecordBatch:
-    keys, counts = sums.take()
-    columns = [signed(keys[i]) if i < len(keys) else np.zeros(len(counts), np.int64) for i in range(1, 4)]
-    spelled = [words[c] for c in keys[1].tolist()] if words is not None else [None] * len(counts)
-    return pa.RecordBatch.from_arrays([langs.spelled(keys[0]), *map(pa.array, columns), pa.array(spelled, pa.string()), pa.array(counts)],
-                                      schema=_COUNTS)
+def _sent(keys, counts: np.ndarray, buckets: int, lang: str | None = None, words: dict | None = None):
+    """Partial counts, packed: a row for each bucket of keys (by the mixed values, in whose order they are)."""
+    cuts = np.searchsorted(mixed(keys), [U((i << 64) // buckets) for i in range(1, buckets)]) if len(counts) else []
+    rows = []
+    for i, (s, e) in enumerate(zip([0, *cuts], [*cuts, len(counts)], strict=True)):
+        if e > s:
+            own = [k[s:e] for k in keys]
+            spelled = None if words is None else b"\n".join([words[x] for x in own[0].tolist()])
+            rows.append((i, lang, np.concatenate(own).tobytes(), counts[s:e].tobytes(), spelled))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
 
-def _words_and_pairs(salt: int):
-    """Partial counts of words (``y`` zero, spelled out) and of pairs that follow one another."""
+def _words(salt: int, buckets: int):
+    """Partial counts of each language's words, with the words."""
     def run(batches):
-        langs, words, one, two = _Langs(), {}, _Sums(2), _Sums(3)
+        sums: dict = {}
+        words: dict = {}
+
+        def send():
+            for lang, own in sums.items():
+                yield from _sent(*own.take(), buckets, lang, words)
         for batch in batches:
-            for data, lang, h, start, end, follows in _pieces(batch, langs, salt):
-                for i in one.add(lang, h).tolist():
-                    words.setdefault(int(h[i]), data[start[i]:end[i]].tobytes().decode("utf-8", "replace").translate(_LOWER))
-                i = np.flatnonzero(follows)
-                two.add(lang[i], h[i], h[i + 1])
-                if one.full():
-                    yield _sent(langs, one, words)
-                    words = {}
-                if two.full():
-                    yield _sent(langs, two)
-        yield _sent(langs, one, words)
-        yield _sent(langs, two)
+            for data, h, start, end, row, _, names in _pieces(batch, salt):
+                text = data.tobytes().lower()
+                edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), row[1:] != row[:-1])))
+                by_lang: dict = {}
+                for s, e in zip(edges.tolist(), np.append(edges[1:], len(row)).tolist(), strict=True):
+                    by_lang.setdefault(names[row[s]], []).append(np.arange(s, e))
+                for lang, places in by_lang.items():
+                    at = np.concatenate(places)
+                    at = at[sums.setdefault(lang, _Sums(1, HELD)).add([h[at]])]
+                    for x, s, e in zip(h[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True):
+                        words.setdefault(x, text[s:e])
+                if len(words) >= HELD_WORDS:
+                    yield from send()
+                    sums, words = {}, {}
+        yield from send()
     return run
 
 
+def _pairs(salt: int, buckets: int, bits: int, frequent):
+    """Partial counts of pairs of frequent words that follow one another."""
+    def run(batches):
+        flags = np.unpackbits(np.frombuffer(zlib.decompress(frequent.value[_FREQUENT]), np.uint8), bitorder="little")
+        sums = _Sums(2, HELD)
+        for batch in batches:
+            for _, h, _, _, _, follows, _ in _pieces(batch, salt):
+                often = flags[_slots(h, U(0), bits)] > 0
+                i = np.flatnonzero(follows[:-1] & often[:-1] & often[1:])
+                sums.add([h[i], h[i + 1]])
+                if sums.full():
+                    yield from _sent(*sums.take(), buckets)
+        yield from _sent(*sums.take(), buckets)
+    return run
+
+
+_COUNTED = pa.schema([("lang", pa.string()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("n", pa.int64()), ("word", pa.string())])
+_COUNTED_SQL = "lang string, x long, y long, z long, n long, word string"
+
+
+def _added(width: int, least: int):
+    """From packed rows sorted by bucket: keys and counts of ``least`` or more; of words also the words.
+
+    A bucket holds a part of all different keys, as many as there are shuffle partitions and more."""
+    def of(rows):
+        sums, words, wrong, limit = _Sums(width, HELD), {}, set(), HELD
+        for lang, keys, counts, spelled in rows:
+            keys = np.frombuffer(keys, U).reshape(width, -1)
+            sums.parts.append((list(keys), np.frombuffer(counts, np.int64)))
+            sums.n += keys.shape[1]
+            if sums.n >= limit:
+                sums.parts = [sums.take()]
+                sums.n = len(sums.parts[0][1])
+                limit = max(HELD, 2 * sums.n)
+            if spelled is not None:
+                for x, word in zip(keys[0].tolist(), spelled.split(b"\n"), strict=True):
+                    if words.setdefault(x, (lang, word)) != (lang, word):
+                        wrong.add(x)
+        keys, counts = sums.take()
+        some = counts >= least
+        keys, counts = [signed(k[some]) for k in keys], counts[some]
+        keys += [np.zeros(len(counts), np.int64)] * (3 - width)
+        names = [words.get(x, (None, None)) for x in keys[0].view(U).tolist()] if words else [(None, None)] * len(counts)
+        named = [None if w is None or x in wrong else w.decode("utf-8", "replace") for x, (_, w) in zip(keys[0].view(U).tolist(), names, strict=True)]
+        for i in range(0, len(counts), 1 << 16):
+            j = i + (1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in names[i:j]], pa.string()), *(pa.array(k[i:j]) for k in keys),
+                                              pa.array(counts[i:j]), pa.array(named[i:j], pa.string())], schema=_COUNTED)
+
+    def run(batches):
+        for _, rows in groupby((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _SENT.names), strict=True)), itemgetter(0)):
+            yield from of(r[1:] for r in rows)
+    return run
+
+
+def _counted(sent: DataFrame, width: int, least: int) -> DataFrame:
+    dealt = sent.repartition(partitions(sent), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_added(width, least), _COUNTED_SQL)
+
+
 #: What a pair may be in a frontier: frequent, a first pair whose bound reaches the bar, a last one, a pair at the bar itself.
 _FREQUENT, _FIRST, _LAST, _PAIR = 1, 2, 4, 8
 
 
-def _slots(lang: np.ndarray, x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(mix(lang * _M[0] + x) * _M[1] + y) % U(bits)).astype(np.int64)
+def _slots(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(x * _M[0] + y * _M[1]) % U(bits)).astype(np.int64)
 
 
 def _slot_rows(bits: int):
@@ -184,31 +257,30 @@ def _slot_rows(bits: int):
     def run(batches):
         for b in batches:
             x, y = (b.column(c).to_numpy().view(U) for c in ("x", "y"))
-            yield pa.RecordBatch.from_arrays([pa.array(_slots(_Langs()(b.column("lang").to_pylist()), x, y, bits) + 1), b.column("flags")], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(x, y, bits) + 1), b.column("flags")], schema=schema)
     return run
 
 
-def _triples(salt: int, bits: int, frontier):
+def _triples(salt: int, buckets: int, bits: int, frontier):
     """Partial counts of the frontier's triples."""
     def run(batches):
         flags = np.zeros(bits, np.uint8)
         for flag, bitmap in frontier.value.items():
             flags |= np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little") * np.uint8(flag)
-        langs, sums = _Langs(), _Sums(4)
+        sums = _Sums(3, HELD)
         for batch in batches:
-            for _, lang, h, _, _, follows in _pieces(batch, langs, salt):
+            for _, h, _, _, _, follows, _ in _pieces(batch, salt):
                 if len(h) < 3:
                     continue
                 of = np.zeros(len(h), np.uint8)
                 i = np.flatnonzero(follows)
-                of[i] = flags[_slots(lang[i], h[i], h[i + 1], bits)]
+                of[i] = flags[_slots(h[i], h[i + 1], bits)]
                 first, last = of[:-1], of[1:]
                 i = np.flatnonzero((first & last & _FREQUENT > 0) & ((first & _FIRST > 0) & (last & _LAST > 0) | ((first | last) & _PAIR > 0)))
-                if len(i):
-                    sums.add(lang[i], h[i], h[i + 1], h[i + 2])
-                    if sums.full():
-                        yield _sent(langs, sums)
-        yield _sent(langs, sums)
+                sums.add([h[i], h[i + 1], h[i + 2]])
+                if sums.full():
+                    yield from _sent(*sums.take(), buckets)
+        yield from _sent(*sums.take(), buckets)
     return run
 
 
@@ -218,20 +290,18 @@ def _ratio(top: str, bottom: str, name: str):
     return F.expr(f"(cast({SCALE} as decimal(7,0)) * {wide(top)}) div ({wide(bottom)})").alias(name)
 
 
-def _counted(text: DataFrame, least: int) -> tuple[int, DataFrame]:
-    """Counts of all words and of pairs found ``least`` times or more, with the fingerprints' salt."""
+def _word_counts(text: DataFrame, buckets: int) -> tuple[int, DataFrame]:
+    """``(lang, x, f, word)`` of every word of every language, and the salt of the fingerprints ``x``."""
     for salt in range(8):
-        counts = (text.mapInArrow(_words_and_pairs(salt), _COUNTS_SQL).groupBy("lang", "x", "y", "word").agg(F.sum("n").alias("n"))
-                  .where((F.col("y") == 0) | (F.col("n") >= least)))
-        counts = materialize(counts)
-        if counts.where("y = 0").groupBy("lang", "x").count().where("count > 1").isEmpty():
-            return salt, counts
+        words = materialize(_counted(text.mapInArrow(_words(salt, buckets), _SENT_SQL), 1, 1).select("lang", "x", F.col("n").alias("f"), "word"))
+        if words.where("word is null").isEmpty():
+            return salt, words
     raise RuntimeError("words with equal fingerprints under every salt")
 
 
 def _frontier(pairs: DataFrame, bits: int) -> dict:
-    """The frontier's bitmaps by flag; ``pairs`` has lang, x, y and flags."""
-    slots = pairs.select("lang", "x", "y", "flags").mapInArrow(_slot_rows(bits), "slot long, flags int")
+    """The frontier's bitmaps by flag; ``pairs`` has x, y and flags."""
+    slots = pairs.select("x", "y", "flags").mapInArrow(_slot_rows(bits), "slot long, flags int")
     rows = (slots.select(F.explode(F.array(*[F.lit(f) for f in (_FREQUENT, _FIRST, _LAST, _PAIR)])).alias("flag"), "slot", "flags")
             .where(F.col("flags").bitwiseAND(F.col("flag")) != 0)
             .groupBy("flag", F.expr("bitmap_bucket_number(slot)").alias("part"))
@@ -247,13 +317,16 @@ def _frontier(pairs: DataFrame, bits: int) -> dict:
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, width: int = WIDTH, grow: int = GROW, bits: int = BITS) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``top`` phrases of each language."""
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    salt, counts = _counted(text, least)
-    words = counts.where("y = 0").select("lang", "x", "word", F.col("n").alias("f"))
-    name = lambda as_, *keep: words.select("lang", F.col("x").alias(as_), *[F.col(c).alias(f"{c}_{as_}") for c in keep])
-    pairs = counts.where("y <> 0").select("lang", "x", "y", F.col("n").alias("a")).join(name("x", "f"), ["lang", "x"]).join(name("y", "f"), ["lang", "y"])
+    buckets, send = BUCKETS * partitions(text), text.sparkSession.sparkContext.broadcast
+    salt, words = _word_counts(text, buckets)
+    open_ = materialize(words.groupBy("lang").agg(F.sum("f").alias("n")))  # languages that are not settled
+    often = words.where(F.col("f") >= least)
+    name = lambda as_, *keep: often.select(F.col("x").alias(as_), *[F.col(c).alias(f"{c}_{as_}") for c in keep])
+    frequent = send(_frontier(often.select("x", F.lit(0).cast("long").alias("y"), F.lit(_FREQUENT).alias("flags")), bits))
+    pairs = _counted(text.mapInArrow(_pairs(salt, buckets, bits, frequent), _SENT_SQL), 2, least).select("x", "y", F.col("n").alias("a"))
+    pairs = pairs.join(often.select("x", "lang", F.col("f").alias("f_x")), "x").join(name("y", "f"), "y")
     pairs = materialize(pairs.select("lang", "x", "y", "a", "f_x", "f_y", _ratio("a a", "f_x f_y", "score"), _ratio("a", "f_x", "first"),
                                      _ratio("a", "f_y", "last")))
-    open_ = materialize(words.groupBy("lang").agg(F.sum("f").alias("n")))  # languages that are not settled
     best, found = width * top, []
     while True:
         place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
@@ -262,16 +335,15 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, width: int
         flags = sum((F.when(c, f).otherwise(0) for c, f in ((F.col("first") >= F.col("bar"), _FIRST), (F.col("last") >= F.col("bar"), _LAST),
                                                            (F.col("score") >= F.col("bar"), _PAIR))), F.lit(_FREQUENT))
         mine = materialize(pairs.join(bars, "lang").withColumn("flags", flags))
-        frontier = text.sparkSession.sparkContext.broadcast(_frontier(mine, bits))
-        triples = (text.mapInArrow(_triples(salt, bits, frontier), _COUNTS_SQL).groupBy("lang", "x", "y", "z").agg(F.sum("n").alias("a"))
-                   .where(F.col("a") >= least))
+        frontier = send(_frontier(mine, bits))
+        triples = _counted(text.mapInArrow(_triples(salt, buckets, bits, frontier), _SENT_SQL), 3, least).select("x", "y", "z", F.col("n").alias("a"))
         first = mine.select("lang", "x", "y", "f_x", F.col("a").alias("f_xy"), "bar", "n")
-        last = mine.select("lang", F.col("x").alias("y"), F.col("y").alias("z"), F.col("f_y").alias("f_z"), F.col("a").alias("f_yz"))
-        triples = materialize(triples.join(first, ["lang", "x", "y"]).join(last, ["lang", "y", "z"])
+        last = mine.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("f_y").alias("f_z"), F.col("a").alias("f_yz"))
+        triples = materialize(triples.join(first, ["x", "y"]).join(last, ["y", "z"])
                               .select("*", _ratio("a a", "f_x f_yz", "one"), _ratio("a a", "f_xy f_z", "two")))
-        inside = (triples.select("lang", "a", F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("z").alias("y")))).alias("p"))
-                  .groupBy("lang", "p.x", "p.y").agg(F.max("a").alias("longer")))
-        short = (mine.where("score >= bar").join(inside, ["lang", "x", "y"], "left").where("longer is null or 100 * longer < 50 * a")
+        inside = (triples.select("a", F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("z").alias("y")))).alias("p"))
+                  .groupBy("p.x", "p.y").agg(F.max("a").alias("longer")))
+        short = (mine.where("score >= bar").join(inside, ["x", "y"], "left").where("longer is null or 100 * longer < 50 * a")
                  .select("lang", "x", "y", F.lit(0).cast("long").alias("z"), "a", F.col("f_x").alias("l"), F.col("f_y").alias("r"), "n", "score", "bar"))
         low = F.col("one") <= F.col("two")
         long_ = triples.select("lang", "x", "y", "z", "a", F.when(low, F.col("f_x")).otherwise(F.col("f_xy")).alias("l"),
@@ -281,7 +353,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, width: int
         rank = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
         named = alive.join(settled, "lang").withColumn("rank", rank).where(F.col("rank") <= top)
         for c in ("x", "y", "z"):
-            named = named.join(name(c, "word"), ["lang", c], "left")
+            named = named.join(name(c, "word"), c, "left")
         named = named.withColumn("phrase", F.concat_ws(" ", "word_x", "word_y", "word_z"))
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
         found.append(materialize(named.withColumn("rank", rank).where(F.col("rank") <= top)

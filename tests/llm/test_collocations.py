@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from agewise.llm import collocations as co
@@ -50,21 +51,32 @@ def test_equals_all_phrases_counted(spark, top, least, width, grow, bits):
     assert got == expected(rows, top, least)
 
 
-def test_counts_are_sent_early_and_in_pieces(spark, monkeypatch):
+def test_counts_are_sent_early_and_in_pieces(monkeypatch):
     import pyarrow as pa
     rows = [(a or "und", b or "") for a, b in texts(8)]
-    want = Counter()
-    for batch in co._words_and_pairs(0)(iter([pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})])):
-        want.update({(r["lang"], r["x"], r["y"]): r["n"] for r in batch.to_pylist()})
+
+    def counted():
+        got = Counter()
+        source = iter([pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})])
+        sent = sorted((r for b in co._words(0, 5)(source) for r in b.to_pylist()), key=lambda r: r["bucket"])
+        for batch in co._added(1, 1)(iter([pa.RecordBatch.from_pylist(sent, schema=co._SENT)])):
+            got.update({(r["lang"], r["word"]): r["n"] for r in batch.to_pylist()})
+        return got, len(sent)
+    want, few = counted()
+    assert want["en", "x"] == 3000 and ("en", None) not in want
     monkeypatch.setattr(co, "HELD", 50)
+    monkeypatch.setattr(co, "HELD_WORDS", 40)
     monkeypatch.setattr(co, "PIECE", 100)
     monkeypatch.setattr("agewise.llm.hashing.PIECE", 64)
-    got = Counter()
-    batches = list(co._words_and_pairs(0)(iter([pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})])))
-    for batch in batches:
-        for r in batch.to_pylist():
-            got[r["lang"], r["x"], r["y"]] += r["n"]
-    assert got == want and len(batches) > 9
+    got, many = counted()
+    assert got == want and many > 2 * few
+
+
+def test_words_with_one_fingerprint_show():
+    import pyarrow as pa
+    key, n = np.array([7], np.uint64).tobytes(), np.array([3]).tobytes()
+    sent = pa.RecordBatch.from_pylist([{"bucket": 0, "lang": "en", "keys": key, "counts": n, "words": w} for w in (b"a", b"b")], schema=co._SENT)
+    assert [r["word"] for b in co._added(1, 1)(iter([sent])) for r in b.to_pylist()] == [None]
 
 
 def test_empty_table(no_documents):
