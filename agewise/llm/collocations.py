@@ -19,8 +19,9 @@ Method, best-first branch and bound:
    zero, where the frontier is everything) and step 2 is repeated for them alone.
 
 Scans merge equal keys, 64-bit word fingerprints that include the language, and send the partial counts
-packed, a row for each of ``BUCKETS`` buckets a shuffle partition; a task adds up the counts of one bucket
-after the other.  What is counted reaches the tasks as bitmaps of a fixed size (``BITS``); what these let
+packed, a row for each shuffle partition, where a task adds them up.  Bars come from counts by language and
+score (a million and one at most), and ranks from ranks within ``SALTS`` parts of each language, so a language
+may hold all rows.  What is counted reaches the tasks as bitmaps of a fixed size (``BITS``); what these let
 through in error is counted like the rest and does no harm.  Words go with their counts, so two words with
 one fingerprint show: the scan is then repeated with other fingerprints (two that only ever met in the same
 batch would not show, with a chance of 2**-63 a pair).  Products are decimals of up to 37 digits, divided
@@ -54,8 +55,8 @@ WIDTH, GROW = 2, 8
 BITS = 1 << 24
 #: Different keys (words: with their texts) that a task holds before it sends their counts.
 HELD, HELD_WORDS = 1 << 19, 1 << 17
-#: Buckets of keys for each shuffle partition.
-BUCKETS = 16
+#: Parts of each language that are ranked on their own first.
+SALTS = 64
 _HARD = np.zeros(256, bool)
 _HARD[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _BREAKS = _HARD.copy()
@@ -138,19 +139,21 @@ def _pieces(batch: pa.RecordBatch, salt: int):
         yield part, mix(h ^ of[a:b][row]) | U(1), start, end, row + a, follows, names
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
-_SENT_SQL = "bucket int, lang string, keys binary, counts binary, words binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("langs", pa.list_(pa.string())), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
+_SENT_SQL = "bucket int, langs array<string>, keys binary, counts binary, words binary"
 
 
-def _sent(keys, counts: np.ndarray, buckets: int, lang: str | None = None, words: dict | None = None):
-    """Partial counts, packed: a row for each bucket of keys (by the mixed values, in whose order they are)."""
+def _sent(keys, counts: np.ndarray, buckets: int, langs=None, words: dict | None = None):
+    """Partial counts, packed: a row for each bucket of keys (by the mixed values, in whose order they are).
+
+    ``words``: a key's place of its language in ``langs``, a blank and its word."""
     cuts = np.searchsorted(mixed(keys), [U((i << 64) // buckets) for i in range(1, buckets)]) if len(counts) else []
     rows = []
     for i, (s, e) in enumerate(zip([0, *cuts], [*cuts, len(counts)], strict=True)):
         if e > s:
             own = [k[s:e] for k in keys]
             spelled = None if words is None else b"\n".join([words[x] for x in own[0].tolist()])
-            rows.append((i, lang, np.concatenate(own).tobytes(), counts[s:e].tobytes(), spelled))
+            rows.append((i, langs, np.concatenate(own).tobytes(), counts[s:e].tobytes(), spelled))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
@@ -158,28 +161,17 @@ def _sent(keys, counts: np.ndarray, buckets: int, lang: str | None = None, words
 def _words(salt: int, buckets: int):
     """Partial counts of each language's words, with the words."""
     def run(batches):
-        sums: dict = {}
-        words: dict = {}
-
-        def send():
-            for lang, own in sums.items():
-                yield from _sent(*own.take(), buckets, lang, words)
+        sums, langs, words = _Sums(1, HELD), {}, {}
         for batch in batches:
             for data, h, start, end, row, _, names in _pieces(batch, salt):
-                text = data.tobytes().lower()
-                edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), row[1:] != row[:-1])))
-                by_lang: dict = {}
-                for s, e in zip(edges.tolist(), np.append(edges[1:], len(row)).tolist(), strict=True):
-                    by_lang.setdefault(names[row[s]], []).append(np.arange(s, e))
-                for lang, places in by_lang.items():
-                    at = np.concatenate(places)
-                    at = at[sums.setdefault(lang, _Sums(1, HELD)).add([h[at]])]
-                    for x, s, e in zip(h[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True):
-                        words.setdefault(x, text[s:e])
+                text, at = data.tobytes().lower(), sums.add([h])
+                for x, s, e, r in zip(h[at].tolist(), start[at].tolist(), end[at].tolist(), row[at].tolist(), strict=True):
+                    if x not in words:
+                        words[x] = b"%d %b" % (langs.setdefault(names[r], len(langs)), text[s:e])
                 if len(words) >= HELD_WORDS:
-                    yield from send()
-                    sums, words = {}, {}
-        yield from send()
+                    yield from _sent(*sums.take(), buckets, list(langs), words)
+                    langs, words = {}, {}
+        yield from _sent(*sums.take(), buckets, list(langs), words)
     return run
 
 
@@ -206,10 +198,10 @@ _COUNTED_SQL = "lang string, x long, y long, z long, n long, word string"
 def _added(width: int, least: int):
     """From packed rows sorted by bucket: keys and counts of ``least`` or more; of words also the words.
 
-    A bucket holds a part of all different keys, as many as there are shuffle partitions and more."""
+    A task holds the different keys of a bucket (24 to 32 bytes each); there is one for each shuffle partition."""
     def of(rows):
         sums, words, wrong, limit = _Sums(width, HELD), {}, set(), HELD
-        for lang, keys, counts, spelled in rows:
+        for langs, keys, counts, spelled in rows:
             keys = np.frombuffer(keys, U).reshape(width, -1)
             sums.parts.append((list(keys), np.frombuffer(counts, np.int64)))
             sums.n += keys.shape[1]
@@ -218,8 +210,9 @@ def _added(width: int, least: int):
                 sums.n = len(sums.parts[0][1])
                 limit = max(HELD, 2 * sums.n)
             if spelled is not None:
-                for x, word in zip(keys[0].tolist(), spelled.split(b"\n"), strict=True):
-                    if words.setdefault(x, (lang, word)) != (lang, word):
+                for x, named in zip(keys[0].tolist(), spelled.split(b"\n"), strict=True):
+                    i, word = named.split(b" ")
+                    if words.setdefault(x, (langs[int(i)], word)) != (langs[int(i)], word):
                         wrong.add(x)
         keys, counts = sums.take()
         some = counts >= least
@@ -317,7 +310,7 @@ def _frontier(pairs: DataFrame, bits: int) -> dict:
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, width: int = WIDTH, grow: int = GROW, bits: int = BITS) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``top`` phrases of each language."""
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets, send = BUCKETS * partitions(text), text.sparkSession.sparkContext.broadcast
+    buckets, send = partitions(text), text.sparkSession.sparkContext.broadcast
     salt, words = _word_counts(text, buckets)
     open_ = materialize(words.groupBy("lang").agg(F.sum("f").alias("n")))  # languages that are not settled
     often = words.where(F.col("f") >= least)
@@ -329,9 +322,9 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, width: int
                                      _ratio("a", "f_y", "last")))
     best, found = width * top, []
     while True:
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
-        bars = pairs.select("lang", "score").withColumn("place", place).where(F.col("place") <= best).where(F.col("place") == best)
-        bars = open_.join(bars.select("lang", F.col("score").alias("bar")), "lang", "left").fillna(0, ["bar"])
+        above = F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("score")))
+        bars = pairs.groupBy("lang", "score").count().withColumn("above", above).where(F.col("above") >= best)
+        bars = open_.join(bars.groupBy("lang").agg(F.max("score").alias("bar")), "lang", "left").fillna(0, ["bar"])
         flags = sum((F.when(c, f).otherwise(0) for c, f in ((F.col("first") >= F.col("bar"), _FIRST), (F.col("last") >= F.col("bar"), _LAST),
                                                            (F.col("score") >= F.col("bar"), _PAIR))), F.lit(_FREQUENT))
         mine = materialize(pairs.join(bars, "lang").withColumn("flags", flags))
@@ -350,12 +343,15 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, width: int
                                F.when(low, F.col("f_yz")).otherwise(F.col("f_z")).alias("r"), "n", F.least("one", "two").alias("score"), "bar")
         alive = short.unionByName(long_.where("score >= bar"))
         settled = materialize(bars.join(alive.groupBy("lang").count(), "lang", "left").where(f"bar = 0 or count >= {int(top)}").select("lang"))
-        rank = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("x", "y", "z"), F.lit(SALTS)))
+        rank = F.rank().over(part.orderBy(F.desc("score"), F.desc("a")))
         named = alive.join(settled, "lang").withColumn("rank", rank).where(F.col("rank") <= top)
         for c in ("x", "y", "z"):
             named = named.join(name(c, "word"), c, "left")
         named = named.withColumn("phrase", F.concat_ws(" ", "word_x", "word_y", "word_z"))
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
+        order = F.desc("score"), F.desc("a"), F.col("phrase")
+        named = named.withColumn("rank", F.row_number().over(part.orderBy(*order))).where(F.col("rank") <= top)
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
         found.append(materialize(named.withColumn("rank", rank).where(F.col("rank") <= top)
                                  .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")))
         open_ = materialize(open_.join(settled, "lang", "left_anti"))

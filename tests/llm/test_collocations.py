@@ -75,7 +75,7 @@ def test_counts_are_sent_early_and_in_pieces(monkeypatch):
 def test_words_with_one_fingerprint_show():
     import pyarrow as pa
     key, n = np.array([7], np.uint64).tobytes(), np.array([3]).tobytes()
-    sent = pa.RecordBatch.from_pylist([{"bucket": 0, "lang": "en", "keys": key, "counts": n, "words": w} for w in (b"a", b"b")], schema=co._SENT)
+    sent = pa.RecordBatch.from_pylist([{"bucket": 0, "langs": ["en"], "keys": key, "counts": n, "words": w} for w in (b"0 a", b"0 b")], schema=co._SENT)
     assert [r["word"] for b in co._added(1, 1)(iter([sent])) for r in b.to_pylist()] == [None]
 
 
