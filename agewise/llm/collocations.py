@@ -54,7 +54,7 @@ WIDTH, GROW = 2, 8
 #: Bits of each of the frontier's bitmaps (2 MB).
 BITS = 1 << 24
 #: Different keys (words: with their texts) that a task holds before it sends their counts.
-HELD, HELD_WORDS = 1 << 19, 1 << 17
+HELD, HELD_WORDS = 1 << 18, 1 << 16
 #: Parts of each language that are ranked on their own first.
 SALTS = 64
 _HARD = np.zeros(256, bool)
@@ -225,14 +225,20 @@ def _added(width: int, least: int):
             yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in names[i:j]], pa.string()), *(pa.array(k[i:j]) for k in keys),
                                               pa.array(counts[i:j]), pa.array(named[i:j], pa.string())], schema=_COUNTED)
 
+    def rows(batches):
+        for b in batches:
+            bucket, keys, counts, words = (b.column(c) for c in ("bucket", "keys", "counts", "words"))
+            for i in range(b.num_rows):
+                yield bucket[i].as_py(), (b.column("langs")[i].as_py(), keys[i].as_buffer(), counts[i].as_buffer(), words[i].as_py())
+
     def run(batches):
-        for _, rows in groupby((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _SENT.names), strict=True)), itemgetter(0)):
-            yield from of(r[1:] for r in rows)
+        for _, mine in groupby(rows(batches), itemgetter(0)):
+            yield from of(r for _, r in mine)
     return run
 
 
 def _counted(sent: DataFrame, width: int, least: int) -> DataFrame:
-    dealt = sent.repartition(partitions(sent), "bucket").sortWithinPartitions("bucket")
+    dealt = sent.repartitionById(partitions(sent), F.col("bucket")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(_added(width, least), _COUNTED_SQL)
 
 
