@@ -81,7 +81,7 @@ COMPARABLES = 5
 COMPARABLES_IN_SENTENCE = 3
 
 # --- what-if form --------------------------------------------------------------------------
-SCENARIO_SHARES = (1 / 3, 2 / 3, 1.0)   # of the 30->33 change at ages 31, 32, 33
+SCENARIO_SHARES = ((1, 3), (2, 3), (1, 1))   # times / by: of the 30->33 change at ages 31, 32, 33
 SCENARIO_CAREER_MEAN_FACTOR = 0.8       # career mean impact = 0.8 x baseline impact
 SCENARIO_POSITION = 3
 

@@ -1,50 +1,34 @@
 """Running totals along an order inside groups, without one task per group.
 
-A plain ``sum() over (partition by g order by x)`` moves every row of ``g`` to
-one task.  Here each group's order range is cut into buckets at approximate
-quantiles (a bounded sketch), bucket totals are summed (a small table), their
-offsets come from a window over that small table, and the running total is a
-window inside (group, bucket) plus the offset.  Equal order values always
-share a bucket, so RANGE semantics (ties included) are kept.
+A plain ``sum() over (partition by g order by x)`` moves every row of ``g`` to one task.  Here rows are dealt
+by ranges of (group, order value), so a group of any size is spread and equal order values share a range.
+Each range's sums make a small table (a row for each group in each partition), whose running sums are the
+offsets; a row's total is the running sum within its range plus the offset.  The plan is the same at every size.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def running_sums(df: DataFrame, group_cols: list[str], order_col: str, value_cols: list[str],
-                 descending: bool = True, rows_per_bucket: int = 1_000_000,
-                 accuracy: int = 10_000, prefix: str = "cum_") -> DataFrame:
+                 descending: bool = True, partitions: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<v>``: sum of ``v`` over rows of the group whose order value is
     at or before this row's (descending: greater or equal)."""
-    n_max = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-    buckets = max(1, math.ceil(n_max / rows_per_bucket))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    if buckets == 1:
-        w = (Window.partitionBy(*group_cols).orderBy(order)
-             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumns({f"{prefix}{v}": F.sum(v).over(w) for v in value_cols})
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*group_cols).agg(F.percentile_approx(order_col, probs, accuracy).alias("_cuts"))
-    x = F.col(order_col)
-    # bucket = position of x among the cut points, in the wanted direction
-    if descending:
-        bucket = F.size(F.filter("_cuts", lambda c: c > x))
-    else:
-        bucket = F.size(F.filter("_cuts", lambda c: c < x))
-    # one row per group: bounded by the number of groups
-    b = df.join(F.broadcast(cuts), group_cols).withColumn("_bk", bucket).drop("_cuts")
-    tot = b.groupBy(*group_cols, "_bk").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    wt = Window.partitionBy(*group_cols).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*group_cols, "_bk", *[F.coalesce(F.sum(f"_t_{v}").over(wt), F.lit(0)).alias(f"_o_{v}")
-                                            for v in value_cols])
-    w = (Window.partitionBy(*group_cols, "_bk").orderBy(order)
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    # offsets: groups x buckets rows (buckets = rows / rows_per_bucket)
-    out = b.join(F.broadcast(offs), [*group_cols, "_bk"])
-    return out.withColumns({f"{prefix}{v}": F.sum(v).over(w) + F.col(f"_o_{v}") for v in value_cols}).drop(
-        "_bk", *[f"_o_{v}" for v in value_cols])
+    # written once, since a second evaluation could draw the ranges elsewhere
+    dealt = materialize(df.repartitionByRange(n, *group_cols, order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*group_cols, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    offsets = sums.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_range").alias("_r"),
+                          *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
+    same = F.col("_range") == F.col("_r")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    within = Window.partitionBy(*group_cols, "_range").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.withColumns({f"_w_{v}": F.sum(v).over(within) for v in value_cols}).join(offsets, same)
+    return out.select(*df.columns, *[(F.col(f"_w_{v}") + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in value_cols])

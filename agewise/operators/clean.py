@@ -12,17 +12,36 @@ from ..spec import CohortPreset, PanelSpec
 ORDINAL = "_ordinal"
 
 
+#: Plan nodes that keep rows where they were read.
+_IN_PLACE = {"Project", "Filter", "LocalRelation", "LogicalRDD", "LogicalRelation", "Relation", "SubqueryAlias", "View", "Union"}
+
+
+def _moved(plan) -> str | None:
+    """The first node of a logical plan behind which rows no longer have their read order, if there is one."""
+    name = plan.nodeName().split(" ")[0]
+    if name not in _IN_PLACE:
+        return name
+    children = plan.children()
+    return next((m for m in (_moved(children.apply(i)) for i in range(children.size())) if m), None)
+
+
 def with_ordinal(df: DataFrame, name: str = ORDINAL) -> DataFrame:
-    """Ingest order as a column: increasing with partition and position, so for
-    a file scan it follows the file order ("first row" semantics)."""
-    return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
+    """Read order as a column, for rows that are still where they were read ("first row" semantics).
+
+    Files are stamped at the scan (``load_panel(..., ordinal=...)``).  Behind a shuffle, an aggregate or a join there is
+    no read order any more, and none is invented: that is an error."""
+    if name in df.columns:
+        return df
+    moved = _moved(df._jdf.queryExecution().optimizedPlan())
+    if moved:
+        raise ValueError(f"no read order behind {moved}: stamp {name!r} at the scan with load_panel(..., ordinal={name!r})")
+    return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def ensure_columns(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """An expected numeric column that is absent becomes an all-null column; an
-    absent ingest-order tie-break column is created from the current row order
-    (stamp it at the scan with ``load_panel(..., ordinal=...)`` when earlier
-    steps may have shuffled the rows)."""
+    absent ingest-order tie-break column is created where rows still have
+    their read order (:func:`with_ordinal`)."""
     missing = [c for c in spec.numeric if c not in df.columns]
     for c in missing:
         df = df.withColumn(c, F.lit(None).cast("double"))
@@ -178,9 +197,12 @@ def entity_search(df: DataFrame, col: str, text: str, limit: int = 5) -> DataFra
 
 
 def entity_list(table: DataFrame, entity: str, label: str, order: str | None = None) -> DataFrame:
-    """Distinct entities with their (first) label and their row count."""
+    """Distinct entities in name order with their (first) label, its name and their row count."""
+    from .labels import tier_label
+
     lab = F.min_by(F.col(label), F.col(order)) if order else F.min(F.col(label))
-    return table.groupBy(entity).agg(lab.alias(label), F.count(F.lit(1)).alias("n_rows"))
+    return (table.groupBy(entity).agg(lab.alias(label), F.count(F.lit(1)).alias("n_rows"))
+            .withColumn(f"{label}_label", tier_label(F.col(label))).orderBy(entity))
 
 
 def select_feature_columns(table: DataFrame, exclude) -> DataFrame:

@@ -31,3 +31,14 @@ def cohort_restrict(clean: DataFrame, eligible: DataFrame, preset: CohortPreset)
     broadcasts the eligible side only when its measured size allows)."""
     spec = preset.panel
     return clean.join(eligible.select(spec.entity).distinct(), on=spec.entity, how="left_semi")
+
+
+def first_rows(table: DataFrame, entity: str, order=()) -> DataFrame:
+    """One row per entity: the first by ``order``, then by all its columns.
+
+    An entity with two eligible periods is in the cohort twice (with equal features); explanations, rankings and
+    records are per entity and take its first row.  An aggregate with a map-side combine; a null entity is one."""
+    row = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    plain = [c for c in table.columns if c not in order and not table.schema[c].dataType.simpleString().startswith("map")]
+    key = F.struct(*[F.col(f"`{c}`") for c in (*order, *plain)])
+    return table.groupBy(entity).agg(F.min_by(row, key).alias("_first")).select("_first.*")

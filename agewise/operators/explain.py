@@ -14,6 +14,7 @@ from .. import fixed as FX
 from ..functions.columns import confidence_band, fixed, risk_band, signal_direction, signed_fixed
 from ..functions.text import render
 from ..spec import TIER_LABELS
+from .cohort import first_rows
 
 
 # Mathematically equal values (a feature and its rescaled copy) can differ in
@@ -63,8 +64,8 @@ def feature_reference_stats(table: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def contributions(rows: DataFrame, ref: DataFrame, imp: DataFrame, cols: list[str], entity: str) -> DataFrame:
-    """Importance x z-score x 100 for every non-missing feature of a row."""
-    longf = rows.select(entity, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+    """Importance x z-score x 100 for every non-missing feature of an entity's first row."""
+    longf = first_rows(rows.select(entity, *cols), entity).select(entity, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [entity], cols, "feature", "value").filter(F.col("value").isNotNull())
     j = longf.join(F.broadcast(ref), "feature").join(F.broadcast(imp.select("feature", "importance")),
                                                      "feature", "left")

@@ -180,8 +180,8 @@ def scenario_features(scenarios: DataFrame, preset: CohortPreset, changed_stats,
         if f.category == "baseline":
             exprs[f.name] = bcol[f.stat]
         elif f.category == "delta":
-            share = SCENARIO_SHARES[preset.delta_ages.index(f.age)]
-            exprs[f.name] = ccol[f.stat] * share if f.stat in changed_stats else F.lit(0.0)
+            times, by = SCENARIO_SHARES[preset.delta_ages.index(f.age)]
+            exprs[f.name] = ccol[f.stat] * times / by if f.stat in changed_stats else F.lit(0.0)
         elif f.category == "context":
             if f.name == "position_code":
                 exprs[f.name] = F.lit(SCENARIO_POSITION)
@@ -207,10 +207,11 @@ def scenario_features(scenarios: DataFrame, preset: CohortPreset, changed_stats,
 def request_features(requests: DataFrame, preset: CohortPreset, json_col: str = "request",
                      keep=("entity",)) -> DataFrame:
     """JSON request ``{"age_28": {stat: value}, ...}`` to the baseline and
-    delta features of the preset; a missing age or stat gives null."""
+    delta features of the preset; a missing age or stat gives null.  Requests that can't be used give no
+    row here; they are in the second table of ``readers.split_requests``."""
     from ..sources.readers import parse_requests
 
-    parsed = parse_requests(requests, json_col)
+    parsed = parse_requests(requests, json_col).filter(F.col("_reason").isNull())
     base = F.try_element_at(F.col("_req"), F.lit(f"age_{preset.baseline_age}"))
     cols = [F.col(k) for k in keep]
     for s in preset.panel.stats:

@@ -145,8 +145,8 @@ for _key, _text in (("entity_search", "customer#0000001"), ("entity_search_exact
         (lambda t: lambda spark, d: C.entity_search(clean_t3(spark, d), "name", t))(_text))
 
 query("entity_list", O.sql(
-    "SELECT name, min(adaptability_tier) AS adaptability_tier, count(*) AS n_rows "
-    "FROM t3_train GROUP BY name"))(
+    f"SELECT name, adaptability_tier, n_rows, {O.tier_label_sql('adaptability_tier')} AS adaptability_tier_label FROM ("
+    "SELECT name, min(adaptability_tier) AS adaptability_tier, count(*) AS n_rows FROM t3_train GROUP BY name) x"))(
     lambda spark, d: C.entity_list(train_t3(spark, d), "name", T3.label_col))
 
 query("select_feature_columns", O.sql(f"SELECT {O.feature_cols(T3_FEATURES)} FROM t3_train"))(
@@ -254,9 +254,9 @@ def _scenario_sql() -> str:
     parts = ["name AS scenario"]
     for s in S.stats:
         parts.append(f"age30_{s}")
-    for a, share in zip(T3.delta_ages, ("CAST(1 AS DOUBLE) / 3", "CAST(2 AS DOUBLE) / 3", "CAST(1 AS DOUBLE)")):
+    for a, (times, by) in zip(T3.delta_ages, ((1, 3), (2, 3), (1, 1))):
         for s in S.stats:
-            e = f"{ch[s]} * ({share})" if s in ch else "0.0"
+            e = f"CAST({ch[s]} AS DOUBLE) * {times} / {by}" if s in ch else "0.0"
             parts.append(f"{e} AS delta_{s}_{a}")
     parts += ["CAST(seasons_at_30 AS INT) AS seasons_at_30",
               "coalesce(career_high_usg, age30_usg) AS career_high_usg",
@@ -292,6 +292,29 @@ query("parse_requests", O.sql(
     "FROM requests, json_each(request) k1, json_each(k1.value) k2"))(
     lambda spark, d: R.request_values(fx.requests(spark, d)))
 
+
+def mixed_requests(spark, d) -> DataFrame:
+    """The requests, some of them broken, in a way that the entity's number tells."""
+    e, text = F.col("entity"), F.col("request")
+    broken = (F.when(e % 11 == 1, F.lit(None)).when(e % 11 == 2, F.expr("substr(request, 1, length(request) - 3)"))
+              .when(e % 11 == 3, F.lit("[1, 2]")).when(e % 11 == 4, F.replace(text, F.lit('"mp": '), F.lit('"mp": "x", "old": ')))
+              .when(e % 11 == 5, F.lit("{}")).when(e % 11 == 6, F.lit('{"age_28": 7}')).otherwise(text))
+    return fx.requests(spark, d).withColumn("request", broken)
+
+
+def _requests_checked(spark, d) -> DataFrame:
+    good, rejected = R.split_requests(mixed_requests(spark, d))
+    return good.select("entity", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("entity", "reason"))
+
+
+_REASONS = " ".join(f"WHEN entity % 11 IN ({codes}) THEN '{reason}'" for codes, reason in (
+    ("1", R.NO_REQUEST), ("2, 3, 6", R.MALFORMED), ("4", R.NOT_A_NUMBER), ("5", R.EMPTY)))
+query("requests_checked", O.sql(f"SELECT entity, CASE {_REASONS} END AS reason FROM requests"))(_requests_checked)
+query("parse_requests_mixed", O.sql(
+    "SELECT entity, k1.key AS age_key, k2.key AS stat, CAST(k2.value AS DOUBLE) AS value "
+    "FROM (SELECT * FROM requests WHERE entity % 11 NOT BETWEEN 1 AND 6) r, json_each(request) k1, json_each(k1.value) k2"))(
+    lambda spark, d: R.request_values(mixed_requests(spark, d)))
+
 # ------------------------------------------------------------ labels --
 query("outcome_tier", O.sql("SELECT name, adaptability_tier FROM t3_tier"))(
     lambda spark, d: L.outcome_labels(clean_t3(spark, d), T3))
@@ -307,3 +330,4 @@ query("tier_names", O.sql(
 from . import catalog_eval  # noqa: E402,F401
 from . import catalog_ml  # noqa: E402,F401
 from . import catalog_stream  # noqa: E402,F401
+from . import catalog_stump  # noqa: E402,F401

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from ..sources import fixtures as fx
 from ..spec import FIXTURE_BINARY as BN
-from ..streaming.requests import request_signals, request_stream, run_to_table
+from ..streaming.requests import request_signals, request_stream, run_to_table, run_with_rejects
 from . import oracle as O
-from .catalog import query
+from .catalog import ORACLE, mixed_requests, query
 from .catalog_ml import scratch
 
 SIGNAL_STATS = ("par", "ast", "usg")
@@ -40,3 +42,17 @@ def _sql() -> str:
 
 
 query("stream_request_features", _sql())(_stream_requests)
+
+
+def _stream_checked(spark, d):
+    """Good and rejected requests of a stream, each with the reason it has."""
+    base = scratch(spark, "requests-mixed")
+    mixed_requests(spark, d).repartition(3).write.json(os.path.join(base, "in"))
+    source = request_stream(spark, os.path.join(base, "in"), max_files_per_trigger=1)
+    run_with_rejects(source, os.path.join(base, "good"), os.path.join(base, "rejected"), os.path.join(base, "checkpoint"),
+                     lambda good: request_signals(good, BN, SIGNAL_STATS, keep=("entity",)))
+    good = spark.read.parquet(os.path.join(base, "good")).select("entity", F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(spark.read.parquet(os.path.join(base, "rejected")).select("entity", "reason"))
+
+
+query("stream_requests_checked", ORACLE["requests_checked"])(_stream_checked)

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import confidence_band, exact_round, nearest_even, risk_band, signal_direction
 from ..operators import explain as X
+from ..operators.cohort import first_rows
 from ..operators.knn import exact_knn, similarity
 from ..operators.labels import tier_label
 from ..operators.split import stratified_folds, stratified_split
 from .. import fixed as FX
 from ..spec import TIER_LABELS
 from . import evaluation as E
-from .training import (ForestConfig, config_dict, cv_scores, forest_pipeline, importances, model_path,
-                       random_search, save_model)
+from .training import ForestConfig, config_dict, cv_scores, importances, model_path, prepared_folds, random_search, save_model
 
 
 def prob_cols(k: int) -> list[str]:
@@ -48,11 +48,21 @@ def round3(c):
     return nearest_even(c, 3)
 
 
+def reject_reason(entity: str, probs: list[str]):
+    """Why a scored row can't be ranked: null where it can."""
+    bad = F.lit(False)
+    for p in probs:
+        bad = bad | F.col(p).isNull() | F.isnan(p)
+    return F.when(F.col(entity).isNull(), "no entity").when(bad, "no probabilities")
+
+
 def ranking_table(scored: DataFrame, entity: str, label: str, k: int) -> DataFrame:
-    """Every entity with prediction, rounded probabilities, confidence band
-    (from the unrounded ones), actual label and correctness, best first."""
+    """Every entity once (its first row) with prediction, rounded probabilities, confidence band
+    (from the unrounded ones), actual label and correctness, best first.  Rows that can't be ranked are in
+    :func:`ranking_rejects`."""
     probs = prob_cols(k)
-    out = scored.select(
+    kept = first_rows(scored.filter(reject_reason(entity, probs).isNull()), entity)
+    out = kept.select(
         entity, F.col("pred").alias("predicted_tier"), tier_label(F.col("pred")).alias("predicted_label"),
         *[round3(F.col(p)).alias(f"prob_{i}") for i, p in enumerate(probs)],
         confidence_band(*[F.col(p) for p in probs]).alias("confidence"),
@@ -61,6 +71,11 @@ def ranking_table(scored: DataFrame, entity: str, label: str, k: int) -> DataFra
     return out.orderBy(F.col(f"prob_{k - 1}").desc(), F.col(entity))
 
 
+def ranking_rejects(scored: DataFrame, entity: str, k: int) -> DataFrame:
+    """X9's second output: the scored rows that can't be ranked, with the reason."""
+    return scored.withColumn("reason", reject_reason(entity, prob_cols(k))).filter(F.col("reason").isNotNull())
+
+
 def hit_rate(ranking: DataFrame) -> DataFrame:
     """Correct / total."""
     return ranking.agg(F.avg(F.col("correct").cast("int")).alias("hit_rate"),
@@ -96,6 +111,7 @@ def prediction_records(scored: DataFrame, factors: DataFrame, comps: DataFrame,
     """X7 + X8: one nested record per entity - probabilities, confidence, top
     factors, comparables and the interpretation sentence."""
     probs = prob_cols(k)
+    scored = first_rows(scored, entity)
     f = factors.join(descr, [entity, "feature"])
     fa = f.groupBy(entity).agg(
         F.sort_array(F.collect_list(F.when(F.col("sign") == "positive", F.struct("rank", "description", "contribution")))).alias("pos"),
@@ -106,7 +122,7 @@ def prediction_records(scored: DataFrame, factors: DataFrame, comps: DataFrame,
     rounded = [round3(F.col(p)) for p in probs]
     pct = F.concat(F.rint(F.greatest(*rounded) * 100).cast("long").cast("string"), F.lit("%"))
     text = X.interpretation(tier_label(F.col("pred")), F.col(entity).cast("string"), pct,
-                            F.col("pos")[0]["description"], F.col("neg")[0]["description"],
+                            F.get("pos", F.lit(0))["description"], F.get("neg", F.lit(0))["description"],
                             F.transform(F.coalesce("comps", F.array()), lambda c: c["neighbor"].cast("string")),
                             F.transform(F.coalesce("comps", F.array()), lambda c: c["neighbor_label"]))
     return s.select(
@@ -143,17 +159,18 @@ def longevity_response(scored_p: DataFrame, entity: str, prob: str, signal_cols:
 
 
 def training_run(table: DataFrame, features: list[str], label: str, entity: str, k: int,
-                 cfg: ForestConfig, n_iter: int = 30, folds: int = 5, seed: int = 42,
-                 save: bool = True) -> dict:
+                 cfg: ForestConfig, n_iter: int = FX.SEARCH_DRAWS, folds: int = FX.FOLDS, seed: int = FX.SEED,
+                 save: bool = True, grid: dict | None = None, parallelism: int = 4) -> dict:
     """Split -> baseline CV -> random search -> evaluate on the test
     split -> importances -> store.  Returns the pieces, including a one-row
-    summary DataFrame."""
+    summary DataFrame.  Folds are prepared once, for the baseline and the search."""
     spark = table.sparkSession
-    split = stratified_split(table, label, entity, 0.2, seed).persist()
+    split = stratified_split(table, label, entity, FX.TEST_FRACTION, seed).persist()
     train = stratified_folds(split.filter(F.col("split") == "train"), label, entity, folds, seed).persist()
     test = split.filter(F.col("split") == "test")
-    base_cv = cv_scores(train, features, label, "fold", cfg, folds).collect()  # k + 2 rows
-    search, best_cfg, model = random_search(train, features, label, "fold", cfg, n_iter, seed, folds)
+    ready = prepared_folds(train, features, label, "fold", cfg, folds)
+    base_cv = cv_scores(train, features, label, "fold", cfg, folds, parallelism, ready).collect()  # k + 2 rows
+    search, best_cfg, model = random_search(train, features, label, "fold", cfg, n_iter, seed, folds, parallelism, grid, ready)
     scored = score(model, test, entity, k, keep=(label,))  # the search's best, refitted on all training rows
     per = E.per_class_metrics(scored, label, "pred", k).collect()  # k rows
     f1s = E.f1_averages(scored, label, "pred", k).first()
@@ -174,11 +191,11 @@ def training_run(table: DataFrame, features: list[str], label: str, entity: str,
     if save:
         path = model_path(spark, "forest")
         save_model(model, path, features, summary)
+    best = {name: None if v is None else str(v) for name, v in summary["best_params"].items()}
     row = spark.createDataFrame([(n_train, n_test, summary["cv_mean"], summary["cv_std"], summary["best_score"],
-                                  str(summary["best_params"]), acc, f1s["f1_weighted"], f1s["f1_macro"], path)],
+                                  best, acc, f1s["f1_weighted"], f1s["f1_macro"])],
                                 "n_train long, n_test long, cv_mean double, cv_std double, best_score double, "
-                                "best_params string, accuracy double, f1_weighted double, f1_macro double, "
-                                "model_path string")
+                                "best_params map<string,string>, accuracy double, f1_weighted double, f1_macro double")
     split.unpersist()
     train.unpersist()
     return {"summary": row, "model": model, "scored_test": scored, "importances": imp, "search": search,

@@ -1,11 +1,12 @@
 """Forest training, cross-validation, tuning and the training run.
 
-Preprocessing (median imputation, population scaling, balanced weights) sits
-inside the ML ``Pipeline``, so ``CrossValidator`` refits it on every training
-fold.  The forest is Spark ML's ``RandomForestClassifier`` (distributed tree
-induction); differences from the original library are parameters Spark does
-not have: no minimum-samples-to-split (dropped), depth capped at 30 where the
-original allows unlimited depth, and binned split candidates (``maxBins``).
+Preprocessing (median imputation, population scaling, balanced weights) is learnt on the training part
+of every fold.  Cross-validation and the search work on *prepared folds*: each fold is imputed, scaled
+and weighed once and checkpointed, and the draws fit forests alone, so the number of preprocessing jobs
+does not depend on the draws.  The forest is Spark ML's ``RandomForestClassifier`` (distributed tree
+induction); differences from the original library are parameters Spark does not have: no
+minimum-samples-to-split (dropped), depth capped at 30 where the original allows unlimited depth, and
+binned split candidates (``maxBins``).
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed as FX
 from ..operators.prep import BalancedWeights, MedianImputer, PopulationScaler
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
+#: Bytes of features that a task of a fit reads from a prepared fold.
+FOLD_TASK_BYTES = 16 << 20
 MAX_DEPTH_CAP = 30  # Spark's limit; stands in for "unlimited"
 
 
@@ -44,6 +46,7 @@ class ForestConfig:
     seed: int = FX.SEED
     scale: bool = True
     balanced: bool = True
+    bootstrap: bool = True
     max_bins: int = 32
     # histogram budget per task (Spark's default): every concurrent task may
     # hold this much, so raise it only where executors have the heap for it
@@ -60,8 +63,8 @@ def _depth(d):
     return MAX_DEPTH_CAP if d is None else min(int(d), MAX_DEPTH_CAP)
 
 
-def forest_pipeline(features: list[str], label: str, cfg: ForestConfig) -> Pipeline:
-    """M5: impute -> (scale) -> (balanced weights) -> assemble -> random forest."""
+def preprocessing(features: list[str], label: str, cfg: ForestConfig) -> list:
+    """Impute -> (scale) -> (balanced weights) -> assemble: all that is learnt before the forest."""
     imputed = [f"_imp_{i}" for i in range(len(features))]
     stages = [MedianImputer(inputCols=list(features), outputCols=imputed)]
     cols = imputed
@@ -69,17 +72,25 @@ def forest_pipeline(features: list[str], label: str, cfg: ForestConfig) -> Pipel
         scaled = [f"_std_{i}" for i in range(len(features))]
         stages.append(PopulationScaler(inputCols=imputed, outputCols=scaled))
         cols = scaled
+    if cfg.balanced:
+        stages.append(BalancedWeights(labelCol=label, weightCol="_weight"))
+    return [*stages, VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep")]
+
+
+def forest(label: str, cfg: ForestConfig) -> RandomForestClassifier:
+    """The forest alone, over assembled features (and weights)."""
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=cfg.n_trees,
                                 maxDepth=_depth(cfg.max_depth), minInstancesPerNode=cfg.min_leaf,
                                 featureSubsetStrategy=cfg.max_features, seed=cfg.seed, maxBins=cfg.max_bins,
-                                maxMemoryInMB=cfg.max_memory_mb,
+                                maxMemoryInMB=cfg.max_memory_mb, bootstrap=cfg.bootstrap,
                                 # node ids cached between levels: no re-descent of the trees per pass
                                 cacheNodeIds=True)
-    if cfg.balanced:
-        stages.append(BalancedWeights(labelCol=label, weightCol="_weight"))
-        rf.setWeightCol("_weight")
-    stages += [VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep"), rf]
-    return Pipeline(stages=stages)
+    return rf.setWeightCol("_weight") if cfg.balanced else rf
+
+
+def forest_pipeline(features: list[str], label: str, cfg: ForestConfig) -> Pipeline:
+    """M5: impute -> (scale) -> (balanced weights) -> assemble -> random forest."""
+    return Pipeline(stages=[*preprocessing(features, label, cfg), forest(label, cfg)])
 
 
 def forest_stage(model: PipelineModel):
@@ -91,28 +102,45 @@ def evaluator(label: str, metric: str = "f1") -> MulticlassClassificationEvaluat
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
 
 
-def cv_scores(df: DataFrame, features: list[str], label: str, fold_col: str, cfg: ForestConfig,
-              k: int = 5, parallelism: int = 4) -> DataFrame:
-    """M6: weighted F1 of every fold (fit on the other folds), with mean and
-    population std as extra rows ``fold = -1`` / ``-2``.  The k fits are
-    independent Spark jobs and run concurrently (``parallelism`` at a time)."""
+def prepared_folds(df: DataFrame, features: list[str], label: str, fold_col: str, cfg: ForestConfig, k: int = 5) -> list[tuple[DataFrame, DataFrame]]:
+    """Of every fold the other folds' rows and its own, as a forest reads them: preprocessing learnt on the
+    former, applied to both, checkpointed."""
+    keep = [F.col(label).cast("double").alias(label), "_features", *["_weight"] * cfg.balanced]
+    out = []
+    for f in range(k):
+        model = Pipeline(stages=preprocessing(features, label, cfg)).fit(df.filter(F.col(fold_col) != f))
+        ready = materialize(model.transform(df).select((F.col(fold_col) == f).alias("_held"), *keep))
+        tasks = -(-ready.count() * 8 * (len(features) + 2) // FOLD_TASK_BYTES)  # every fit passes over it many times
+        ready = ready.coalesce(max(1, tasks))
+        out.append((ready.filter(~F.col("_held")), ready.filter("_held")))
+    return out
+
+
+def _fold_scores(folds: list, label: str, configs: list[ForestConfig], parallelism: int) -> list[list[float]]:
+    """Weighted F1 of every configuration on every fold; the fits are independent jobs, ``parallelism`` at a time."""
     from concurrent.futures import ThreadPoolExecutor
 
-    spark = df.sparkSession
     ev = evaluator(label)
-    df = df.persist()  # k fits read it
 
-    def one(f: int) -> float:
-        fit = forest_pipeline(features, label, cfg).fit(df.filter(F.col(fold_col) != f))
-        return ev.evaluate(fit.transform(df.filter(F.col(fold_col) == f)))
+    def one(task) -> float:
+        cfg, (train, held) = task
+        return ev.evaluate(forest(label, cfg).fit(train).transform(held))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        scores = list(pool.map(one, range(k)))
-    df.unpersist()
+        scores = list(pool.map(one, [(cfg, fold) for cfg in configs for fold in folds]))
+    return [scores[i:i + len(folds)] for i in range(0, len(scores), len(folds))]
+
+
+def cv_scores(df: DataFrame, features: list[str], label: str, fold_col: str, cfg: ForestConfig,
+              k: int = 5, parallelism: int = 4, folds: list | None = None) -> DataFrame:
+    """M6: weighted F1 of every fold (fit on the other folds), with mean and population std as extra rows
+    ``fold = -1`` / ``-2``.  ``folds``: the prepared folds, where they are at hand."""
+    folds = folds or prepared_folds(df, features, label, fold_col, cfg, k)
+    scores = _fold_scores(folds, label, [cfg], parallelism)[0]
     mean = sum(scores) / k
     std = (sum((s - mean) ** 2 for s in scores) / k) ** 0.5
     rows = [(i, s) for i, s in enumerate(scores)] + [(-1, mean), (-2, std)]
-    return spark.createDataFrame(rows, "fold int, f1_weighted double")
+    return df.sparkSession.createDataFrame(rows, "fold int, f1_weighted double")
 
 
 def sample_grid(n_iter: int, seed: int = 42, grid: dict | None = None) -> list[dict]:
@@ -124,26 +152,21 @@ def sample_grid(n_iter: int, seed: int = 42, grid: dict | None = None) -> list[d
 
 
 def random_search(df: DataFrame, features: list[str], label: str, fold_col: str, base: ForestConfig,
-                  n_iter: int = 30, seed: int = 42, k: int = 5, parallelism: int = 4):
+                  n_iter: int = FX.SEARCH_DRAWS, seed: int = FX.SEED, k: int = FX.FOLDS, parallelism: int = 4,
+                  grid: dict | None = None, folds: list | None = None):
     """M7: cross-validated random search; returns (results DataFrame, best
     config, best PipelineModel refit on all rows)."""
-    spark = df.sparkSession
-    draws = sample_grid(n_iter, seed)
-    pipe = forest_pipeline(features, label, base)
-    rf = pipe.getStages()[-1]
-    maps = [{rf.numTrees: d["n_trees"], rf.maxDepth: _depth(d["max_depth"]),
-             rf.minInstancesPerNode: d["min_leaf"], rf.featureSubsetStrategy: d["max_features"]} for d in draws]
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator(label),
-                        foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=seed)
-    model = cv.fit(df)
-    metrics = list(model.avgMetrics)
+    draws = sample_grid(n_iter, seed, grid)
+    folds = folds or prepared_folds(df, features, label, fold_col, base, k)
+    configs = [replace(base, **d) for d in draws]
+    metrics = [sum(scores) / k for scores in _fold_scores(folds, label, configs, parallelism)]
     best_i = max(range(len(metrics)), key=lambda i: (metrics[i], -i))
     rows = [(i, d["n_trees"], d["max_depth"], d["min_leaf"], d["max_features"], float(m), i == best_i)
             for i, (d, m) in enumerate(zip(draws, metrics))]
-    res = spark.createDataFrame(rows, "draw int, n_trees int, max_depth int, min_leaf int, "
-                                      "max_features string, mean_f1 double, best boolean")
-    best = replace(base, **draws[best_i])
-    return res, best, model.bestModel
+    res = df.sparkSession.createDataFrame(rows, "draw int, n_trees int, max_depth int, min_leaf int, "
+                                                "max_features string, mean_f1 double, best boolean")
+    best = configs[best_i]
+    return res, best, forest_pipeline(features, label, best).fit(df)
 
 
 def importances(model: PipelineModel, features: list[str]) -> DataFrame:
@@ -154,24 +177,60 @@ def importances(model: PipelineModel, features: list[str]) -> DataFrame:
 
 
 def model_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
+    """A folder for the versions of a model, under the shared checkpoint directory."""
     return os.path.join(checkpoint_dir(spark), "models", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def save_model(model: PipelineModel, path: str, features: list[str], metadata: dict) -> None:
-    """Pipeline + metadata (feature order, run facts, ``saved_at``)."""
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's file system layer has them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def model_versions(path: str) -> list[str]:
+    """Versions that are complete, oldest first: those whose manifest has been written to the end."""
     spark = SparkSession.getActiveSession()
-    model.write().overwrite().save(os.path.join(path, "pipeline"))
-    meta = dict(metadata, feature_columns=list(features), saved_at=datetime.now(timezone.utc).isoformat())
-    spark.createDataFrame([(json.dumps(meta, default=str),)], "metadata string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(path, "metadata"))
+    done = [v for v in _children(spark, os.path.join(path, "manifests"))
+            if "_SUCCESS" in _children(spark, os.path.join(path, "manifests", v))]
+    return [v for v in done if v in _children(spark, os.path.join(path, "versions"))]
 
 
-def load_model(path: str) -> tuple[PipelineModel, dict]:
+def save_model(model: PipelineModel, path: str, features: list[str], metadata: dict, keep: int = 2) -> str:
+    """A new version of the model under ``path``; returns its name.
+
+    The pipeline is written first.  The manifest (feature order, run facts, ``saved_at``) comes last and makes the
+    version visible; a version that was interrupted has none and is never read.  Versions, complete or not, that
+    are older than the newest ``keep`` complete ones are removed."""
+    spark = SparkSession.getActiveSession()
+    now = datetime.now(timezone.utc)
+    version = f"{now.strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:6]}"
+    model.write().save(os.path.join(path, "versions", version))
+    meta = dict(metadata, feature_columns=list(features), saved_at=now.isoformat())
+    spark.createDataFrame([(json.dumps(meta, default=str),)], "metadata string").coalesce(1) \
+        .write.text(os.path.join(path, "manifests", version))
+    oldest = model_versions(path)[-keep:][0]
+    for part in ("manifests", "versions"):  # the manifest goes first, so a version without it is never half there
+        for v in _children(spark, os.path.join(path, part)):
+            if v < oldest:
+                fs, p = _hadoop(spark, os.path.join(path, part, v))
+                fs.delete(p, True)
+    return version
+
+
+def load_model(path: str, version: str | None = None) -> tuple[PipelineModel, dict]:
+    """The newest complete version (or the one asked for) with its manifest."""
     spark = SparkSession.getActiveSession()
-    model = PipelineModel.load(os.path.join(path, "pipeline"))
-    meta = json.loads(spark.read.text(os.path.join(path, "metadata")).first()[0])
-    return model, meta
+    there = model_versions(path)
+    if not there or version is not None and version not in there:
+        raise FileNotFoundError(f"no complete model version{'' if version is None else ' ' + version} under {path}")
+    version = version or there[-1]
+    meta = json.loads(spark.read.text(os.path.join(path, "manifests", version)).first()[0])
+    return PipelineModel.load(os.path.join(path, "versions", version)), meta
 
 
 def config_dict(cfg: ForestConfig) -> dict:

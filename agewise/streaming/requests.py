@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import signal_direction
 from ..operators.features import request_features
+from ..sources.readers import split_requests
 from ..spec import CohortPreset
 
 REQUEST_SCHEMA = "entity bigint, name string, request string"
@@ -38,8 +39,23 @@ def request_signals(requests: DataFrame, preset: CohortPreset, signal_stats, kee
     return feats.withColumns(cols)
 
 
-def score_stream(stream: DataFrame, model: PipelineModel | None = None) -> DataFrame:
-    return model.transform(stream) if model is not None else stream
+def score_stream(stream: DataFrame, model: PipelineModel) -> DataFrame:
+    """Feature rows of a stream with a fitted model's columns."""
+    return model.transform(stream)
+
+
+def run_with_rejects(requests: DataFrame, out_path: str, rejects_path: str, checkpoint: str, make, json_col: str = "request") -> None:
+    """Process everything available now: ``make`` of the usable requests into ``out_path``, the rejected ones with
+    their reason into ``rejects_path``.  A batch is read once; both tables carry its number (``batch``), and a batch
+    that is run again after a failure replaces its own part, so nothing comes twice."""
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        good, rejected = split_requests(kept, json_col)
+        for rows, path in ((make(good), out_path), (rejected, rejects_path)):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        kept.unpersist()
+
+    requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_to_table(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet") -> None:

@@ -11,16 +11,22 @@ from agewise.operators.knn import exact_knn
 from agewise.plans import evaluation as E
 
 
-def test_running_sums_bucketed_equals_window(spark):
-    rng = np.random.default_rng(5)
-    rows = [(int(g), float(s), int(p)) for g, s, p in zip(rng.integers(0, 3, 2000), rng.integers(0, 300, 2000),
-                                                           rng.integers(0, 2, 2000))]
-    df = spark.createDataFrame(rows, "g int, score double, pos int")
-    a = running_sums(df, ["g"], "score", ["pos"], rows_per_bucket=50)  # many buckets
-    w = Window.partitionBy("g").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    b = df.withColumn("ref", F.sum("pos").over(w))
-    j = a.join(b, ["g", "score", "pos"]).filter(F.col("cum_pos") != F.col("ref"))
-    assert j.count() == 0 and a.count() == 2000
+def test_running_sums_equal_a_window(spark):
+    """Several groups over many ranges, one of them hot, with a score that most of its rows have, and null keys."""
+    rng = np.random.default_rng(1)
+    rows = [(["a", "b", None][int(g)], float(s), int(p)) for g, s, p in zip(rng.choice(3, 600, p=[.8, .15, .05]), rng.random(600).round(2), rng.integers(0, 2, 600))]
+    rows += [("a", 0.5, 1)] * 300
+    df = spark.createDataFrame(rows, "g string, score double, pos int")
+    from pyspark.sql import Window
+    for down in (True, False):
+        order = F.col("score").desc() if down else F.col("score")
+        w = Window.partitionBy("g").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        want = sorted(map(tuple, df.withColumn("cum_pos", F.sum("pos").over(w)).collect()), key=str)
+        for n in (1, 7, 40):
+            got = running_sums(df, ["g"], "score", ["pos"], down, partitions=n)
+            assert sorted(map(tuple, got.collect()), key=str) == want and got.columns == ["g", "score", "pos", "cum_pos"]
+    empty = running_sums(df.where("1 = 0"), ["g"], "score", ["pos"])
+    assert empty.count() == 0
 
 
 def test_auc_matches_pair_counting(spark):
