@@ -14,6 +14,7 @@ from agewise.llm.hashing import word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
+STOP = re.compile(r"""[.!?,;:。！？…，；：।॥؟،؛۔](?:["')\]}”’」』）›»]{0,2})$|^["')\]}”’」』）›»]?[.!?,;:。！？…，；：।॥؟،؛۔]$""")
 NULL = -(1 << 63)
 
 
@@ -99,19 +100,26 @@ def test_sentence_spans(odd_documents, no_documents):
         for k, (_, end, w) in enumerate(words):
             now.append(k)
             after = words[k + 1][0] if k + 1 < len(words) else len(text)
-            if w[-1] in ".!?,;:" or "\n" in text[end:after] or k + 1 == len(words) or word_hash(w) % substring_dedup.PART == 0:
+            if STOP.search(w) or "\n" in text[end:after] or k + 1 == len(words) or word_hash(w) % substring_dedup.PART == 0:
                 parts.append(now)
                 now = []
-        gone = set()
+        gone, runs = set(), set()
         for a in range(len(parts)):
-            z = a + substring_dedup.SPAN
-            while z <= len(parts) and sum(map(len, parts[a:z])) < substring_dedup.MIN_WORDS:
-                z += 1
-            if z <= len(parts):
-                run = tuple(words[k][2].translate(LOWER) for p in parts[a:z] for k in p)
-                if run in seen:
-                    gone |= set(range(a, z))
-                seen.add(run)
+            n, z = 0, a
+            while z < len(parts) and (z - a < substring_dedup.SPAN or n < substring_dedup.MIN_WORDS):
+                n, z = n + len(parts[z]), z + 1
+            if z - a >= substring_dedup.SPAN and n >= substring_dedup.MIN_WORDS:
+                runs.add((a, z))
+            n, z = 0, a + 1
+            while z > 0 and (a + 1 - z < substring_dedup.SPAN or n < substring_dedup.MIN_WORDS):
+                n, z = n + len(parts[z - 1]), z - 1
+            if a + 1 - z >= substring_dedup.SPAN and n >= substring_dedup.MIN_WORDS:
+                runs.add((z, a + 1))
+        for a, z in sorted(runs) or [(0, len(parts))] * bool(parts):
+            run = tuple(words[k][2].translate(LOWER) for p in parts[a:z] for k in p)
+            if run in seen:
+                gone |= set(range(a, z))
+            seen.add(run)
         at = [0] + [words[p[0]][0] for p in parts[1:]] + [len(text)]
         want[key] = (len(parts), len(gone), "".join(text[at[j]:at[j + 1]] for j in range(len(parts)) if j not in gone) if parts else text)
     out = substring_dedup.remove_repeated_sentences(odd_documents).collect()
@@ -121,6 +129,19 @@ def test_sentence_spans(odd_documents, no_documents):
     assert substring_dedup.remove_repeated_sentences(no_documents).count() == 0
 
 
+def test_exact_copies_and_passages_leave_nothing(spark):
+    rng = __import__("random").Random(4)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(900))
+    passage = " ".join(" ".join(word() for _ in range(13)) + end for end in (".", ".”", "?", "。"))  # 52 words
+    texts = [passage, "short.", " ".join(word() for _ in range(24)), "说一句话。 再说一句话。", "one", " ".join(word() + "." for _ in range(400))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)]
+    rows.append((200, " ".join(word() for _ in range(30)) + ". " + passage + "\n" + " ".join(word() for _ in range(40)) + "."))
+    out = {r.id: r for r in substring_dedup.remove_repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert out[i].text == t and out[100 + i].text == "", (i, out[100 + i].text)
+    assert out[200].n_words_removed == 52 and not set(passage.split()[:51]) & set(out[200].text.split())
+
+
 def shingles(text, k=5):
     w = WORD.findall(text.translate(LOWER))
     return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
