@@ -14,7 +14,7 @@ if its n-grams speak for the trusted target rather than for the raw corpus:
 
 Buckets are counted map-side, so the counts shuffle at most ``BUCKETS`` rows a task; the table of
 weights has ``BUCKETS`` rows (a broadcast of fixed size); a document's n-grams are summed in the task
-that reads it.  Defined results: null or empty texts have no words and fail the base; a document
+that reads it.  Raw counts need no join; for the target's a bitmap of the trusted ids picks the texts to join.  Defined results: null or empty texts have no words and fail the base; a document
 labelled more than once is trusted if any label trusts it; null labels trust nothing; with no trusted
 document all scores follow the smoothing alone; repeated rows agree.
 """
@@ -26,17 +26,19 @@ from pyspark.sql import functions as F
 
 from agewise.llm.frames import id_column, original_id
 
-WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 THRESHOLD = -0.5
 _UNIT = 1_000_000
+#: Bits of the bitmap of trusted ids (512 KB).
+ID_BITS = 1 << 22
 
 
 def words_column(text: str = "text"):
-    return F.coalesce(F.expr(f"regexp_extract_all({text}, '{WORD}', 0)".replace("\\", "\\\\")), F.array().cast("array<string>"))
+    """The words: every white character becomes a space, at which the text is split (no pattern is searched)."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
 def base_rules(rows: DataFrame) -> DataFrame:
@@ -67,23 +69,47 @@ def hashes_column(words: str = "words"):
     return F.expr(f"transform({words}, w -> xxhash64(w))")
 
 
+def mark_bucket(word: str) -> str:
+    """The bucket of the mark of a word's last character."""
+    last = f"ascii(right({word}, 1))"
+    mark = f"if({last} between 97 and 122 or {last} >= 128 or {last} between 65 and 90, 0, {last})"
+    return f"pmod(xxhash64({mark}), {BUCKETS})"
+
+
 def ngrams(words: str = "words", hashes: str = "hashes"):
     """The n-grams of a text, as buckets: of each word its last character's mark and itself, and the pairs."""
-    last = "ascii(right(w, 1))"
-    mark = f"if({last} between 97 and 122 or {last} >= 128 or {last} between 65 and 90, 0, {last})"
     return F.expr(f"""if(size({words}) = 0, cast(array() as array<bigint>), concat(
-        transform({words}, w -> pmod(xxhash64({mark}), {BUCKETS})),
+        transform({words}, w -> {mark_bucket("w")}),
         transform({hashes}, h -> pmod(h, {BUCKETS})),
         zip_with(slice({hashes}, 1, size({words}) - 1), slice({hashes}, 2, size({words}) - 1),
             (g, h) -> pmod(if(g = h, 3L, xxhash64(g, h)), {BUCKETS}))))""")
 
 
+def trusted_documents(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is among ``trusted``.
+
+    A bitmap of the ids' hashes, of a fixed size, drops most other rows where they are read, so only few texts
+    are shuffled for the join that decides."""
+    slot = f"pmod(xxhash64(id), {ID_BITS}L)"
+    words = trusted.selectExpr(f"cast({slot} div 64 as int) as word", f"shiftleft(1L, cast({slot} % 64 as int)) as bit")
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = rows.sparkSession.range(ID_BITS // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    bitmap = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w")).select(
+        F.expr("transform(w, x -> x.bits)").alias("bitmap"))
+    bit = F.expr(f"shiftright(get(bitmap, cast({slot} div 64 as int)), cast({slot} % 64 as int)) & 1")
+    return rows.join(F.broadcast(bitmap)).where(bit == 1).drop("bitmap").join(trusted, "id", "left_semi")
+
+
+def _bucket_counts(rows: DataFrame, name: str) -> DataFrame:
+    grams = rows.select(words_column().alias("words")).withColumn("hashes", hashes_column()).select(F.explode(ngrams()).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count("*").alias(name))
+
+
 def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(bucket, weight)`` for every bucket: millionths of ``ln(target share / raw share)``."""
-    trusted = (labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id"))
-               .distinct().withColumn("trusted", F.lit(1)))
-    flagged = docs.select(id_column().alias("id"), "text").join(trusted, "id", "left")
-    counts = flagged.select("trusted", words_column().alias("words")).withColumn("hashes", hashes_column()).select("trusted", F.explode(ngrams()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+    rows = docs.select(id_column().alias("id"), "text")
+    counts = _bucket_counts(rows, "raw").join(_bucket_counts(trusted_documents(rows, trusted), "target"), "bucket", "left")
     every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
     every = every.select("bucket", (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), (F.coalesce("target", F.lit(0)) + 1).alias("target"))
     total = every.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
@@ -96,9 +122,12 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     table = weights(docs, labels).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("table"))
     table = table.select(F.expr("transform(table, x -> x.weight)").alias("weights"))
     rows = base_rules(docs.select(id_column().alias("id"), "text").withColumn("words", words_column()).withColumn("hashes", hashes_column()))
-    # one row of BUCKETS numbers beside every document
-    scored = rows.join(F.broadcast(table)).withColumn(
-        "total", F.aggregate(ngrams(), F.lit(0).cast("long"), lambda s, g: s + F.get("weights", g.cast("int"))))
+    # one row of BUCKETS numbers beside every document; the weights of the n-grams that begin with a word are added up at once
+    of = lambda bucket: f"get(weights, cast({bucket} as int))"
+    pair = of(f"pmod(if(hashes[i] = hashes[i + 1], 3L, xxhash64(hashes[i], hashes[i + 1])), {BUCKETS})")
+    each = f"""transform(words, (w, i) -> {of(mark_bucket("w"))} + {of(f"pmod(hashes[i], {BUCKETS})")}
+        + if(i + 1 < size(words), {pair}, 0L))"""
+    scored = rows.join(F.broadcast(table)).withColumn("total", F.expr(f"aggregate({each}, 0L, (s, x) -> s + x)"))
     grams = F.greatest(3 * F.col("n_words") - 1, F.lit(1))
     score = F.when(F.col("n_words") > 0, F.col("total") / grams / _UNIT).otherwise(0.0)
     return (scored.withColumn("score", score)
