@@ -18,11 +18,14 @@ Documents with equal sets are one node.  Two nodes link when 100 * intersection
    of every group of members joined so far that its bound allows: a spanning forest, at most one
    candidate fewer than members, however many copies a tile holds.
 4. *Verification* of candidates by intersecting the sorted arrays.
-5. Links found give components; where a candidate failed, the tiles are gone through once more for all
-   pairs whose bound allows a link, across components.  So no link between two components is missed.
+5. Links found give components.  Of tiles with several components the members whose bound allows a link
+   with another one are kept, their sets are brought to the tile, and all such pairs are intersected there;
+   only links that join components leave the task.  So no link between two components is missed.
 
-Where the links themselves are wanted (``links``), step 3 takes every pair whose bound allows a link
-instead and there is no second pass; documents with equal sets stay one node and count with their copies.
+Where links are to be counted (``links``), the nodes of each component meet in pairs of hashed blocks, each
+pair of nodes once, and a task counts the common elements of all pairs of two blocks by one matrix product
+over the elements that several of them have.  Only (node, links) sums leave it, so that of a group of near
+copies no pair is ever a row; documents with equal sets are one node and count with their copies.
 
 The result is exact but for collisions of 64-bit fingerprints.  Defined results: null or empty texts
 have the empty set and no links; rows that repeat a document agree; a null doc_id counts as the
@@ -334,7 +337,7 @@ class _Tile:
 
 
 def _each_tile(batches):
-    """(tile's node, n, bits, comp or None) from rows sorted by (tile, n, node); repeated rows once."""
+    """(tile's node, n, bits, comp or node, its rows) from rows sorted by (tile, n, node)."""
     rest = None
     for b in batches:
         b = pa.Table.from_batches([b])
@@ -354,7 +357,7 @@ def _tiles_of(t: pa.Table):
     raw = t.column("bits").to_pylist()
     starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
     for s, e in zip(starts, np.append(starts[1:], len(tile)), strict=True):
-        yield node[s:e], n[s:e], raw[s:e], comp[s:e]
+        yield node[s:e], n[s:e], raw[s:e], comp[s:e], t.slice(s, e - s)
 
 
 def _narrowed(percent: int):
@@ -364,7 +367,7 @@ def _narrowed(percent: int):
     def run(batches):
         out: list = []
         held = 0
-        for node, n, raw, _ in _each_tile(batches):
+        for node, n, raw, *_ in _each_tile(batches):
             t, some = _Tile(n, raw), np.zeros(len(node), bool)
             for i in range(1, len(node)):
                 j = t.partners(i, percent)
@@ -382,35 +385,133 @@ def _narrowed(percent: int):
     return run
 
 
-def _candidates(percent: int, across: bool, every: bool = False):
-    """Pairs (a, b), a < b, of tile members: a spanning forest of those whose bound allows a link, or
-    (``across``) all of those that are in different components, or (``every``) all of them."""
+def _candidates(percent: int):
+    """Pairs (a, b), a < b, of tile members: a spanning forest of those whose bound allows a link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         out: set = set()
-        for node, n, raw, comp in _each_tile(batches):
-            if across and (comp == comp[0]).all():
-                continue
+        for node, n, raw, *_ in _each_tile(batches):
             t, group = _Tile(n, raw), np.arange(len(node))
             for i in range(1, len(node)):
                 j = t.partners(i, percent)
-                if across:
-                    j = j[comp[j] != comp[i]]
-                elif len(j) and not every:
+                if len(j):
                     groups, first = np.unique(group[j], return_index=True)
                     j = j[first]  # the smallest member of each group, so that tiles agree on it
                     group[np.isin(group, groups)] = i
                     group[i] = i
                 out.update((min(node[i], x), max(node[i], x)) for x in node[j])
-                if len(out) > 20_000:
-                    yield _arrays(schema, zip(*out, strict=True))
-                    out = set()
+            if len(out) > 20_000:
+                yield _arrays(schema, zip(*out, strict=True))
+                out = set()
         if out:
             yield _arrays(schema, zip(*out, strict=True))
     return run
 
 
+def _bordering(percent: int):
+    """Of tiles of several components, the members whose bound allows a link with another component's member."""
+    schema = pa.schema([("tile", pa.int64()), ("node", pa.int64())])
+
+    def run(batches):
+        for node, n, raw, comp, rows in _each_tile(batches):
+            t, some = _Tile(n, raw), np.zeros(len(node), bool)
+            for i in range(1, len(node)):
+                j = t.partners(i, percent)
+                j = j[comp[j] != comp[i]]
+                some[j] = True
+                some[i] |= len(j) > 0
+            if some.any():
+                yield _arrays(schema, (np.full(int(some.sum()), rows.column("tile")[0].as_py()), node[some]))
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _joining(percent: int):
+    """Links (a, b) of tile members that join components: all pairs of two that the bound allows are intersected
+    until one of them links."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for node, n, raw, comp, rows in _each_tile(batches):
+            t, group, items, found = _Tile(n, raw), comp.copy(), rows.column("items"), []
+            for i in range(1, len(node)):
+                x = np.frombuffer(items[i].as_buffer(), U)
+                for j in t.partners(i, percent):
+                    if group[j] != group[i] and _linked(x, np.frombuffer(items[j].as_buffer(), U), percent):
+                        found.append((min(node[i], node[j]), max(node[i], node[j])))
+                        group[group == group[j]] = group[i]
+            if found:
+                yield _arrays(schema, zip(*found, strict=True))
+    return run
+
+
+#: Nodes of a component that a task compares with as many others, and elements that it looks at in one product.
+COUNT_BLOCK, COUNT_ELEMENTS = 1024, 4096
+
+
+def common_elements(sets: list) -> np.ndarray:
+    """The number of common elements of every two sets."""
+    at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    elements, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    number, at = (np.cumsum(several) - 1)[number[several[number]]], at[several[number]]
+    order = np.argsort(number, kind="stable")
+    number, at = number[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)  # exact below 2**24
+    for a in range(0, int(several.sum()), COUNT_ELEMENTS):
+        s, e = np.searchsorted(number, [a, a + COUNT_ELEMENTS])
+        has = np.zeros((len(sets), COUNT_ELEMENTS), np.float32)
+        has[at[s:e], number[s:e] - a] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
+def _link_sums(percent: int):
+    """(node, links) from rows sorted by component and pair of blocks: how many rows of the other block (in a
+    block's pair with itself: of the same) a node links with."""
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64())])
+
+    def sums(t: pa.Table):
+        node, block, copies = (t.column(c).to_numpy() for c in ("node", "block", "n_copies"))
+        sets = [np.frombuffer(x.as_buffer(), U) for x in t.column("items")]
+        n, both = np.array([len(x) for x in sets]), common_elements(sets)
+        link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        link &= (block[:, None] != block[None, :]) if block.min() != block.max() else ~np.eye(len(n), dtype=bool)
+        yield _arrays(schema, (node, link @ copies))
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            b = pa.Table.from_batches([b])
+            rest = b if rest is None else pa.concat_tables([rest, b])
+            place = np.stack([rest.column(c).to_numpy() for c in ("comp", "x", "y")])
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1 if rest.num_rows else []
+            for s, e in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+                yield from sums(rest.slice(s, e - s).combine_chunks())
+            rest = rest.slice(int(cuts[-1])) if len(cuts) else rest
+        if rest is not None and rest.num_rows:
+            yield from sums(rest.combine_chunks())
+    return run
+
+
+def link_counts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(node, others)``: the rows of other nodes that a node's rows link with; ``members``: (node, comp, n_copies)."""
+    sizes = members.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
+    placed = members.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("size") / COUNT_BLOCK).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("node", "comp", "n_copies", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    dealt = (placed.join(sets.select("node", "items"), "node").repartition(partitions(sets), "comp", "x", "y")
+             .sortWithinPartitions("comp", "x", "y", "node"))
+    # two blocks meet once; a pair of a block with itself has the rows of that block alone
+    return dealt.mapInArrow(_link_sums(percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("others"))
+
+
 def _verify(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_())])
 
@@ -460,24 +561,23 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = K, links:
     sets = cut(text.join(representatives(tiles), ["id", "tie"]).select("text")
                .mapInArrow(_sets(k), "node long, n long, bits binary, items binary").dropDuplicates(["node"]))
     members = tiles.join(sets.select("node", "n", "bits"), "node")
-    first = cut(_verified(by_tile(members).mapInArrow(_candidates(percent, False, links), "a long, b long").distinct(), sets, percent))
+    first = cut(_verified(by_tile(members).mapInArrow(_candidates(percent), "a long, b long").distinct(), sets, percent))
     linked = first.where("linked").select("a", "b")
-    if not links:
-        of = components(linked).withColumnRenamed("component", "comp")
-        placed = members.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        again = (by_tile(placed).mapInArrow(_candidates(percent, True), "a long, b long").distinct()
-                 .join(first.select("a", "b"), ["a", "b"], "left_anti"))
-        linked = linked.unionByName(_verified(again, sets, percent).where("linked").select("a", "b"))
+    of = components(linked).withColumnRenamed("component", "comp")
+    placed = members.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = placed.groupBy("tile").agg(F.min("comp").alias("l"), F.max("comp").alias("m")).where("l <> m").select("tile")
+    border = by_tile(placed.join(several, "tile", "left_semi")).mapInArrow(_bordering(percent), "tile long, node long")
+    border = border.join(placed, ["tile", "node"]).join(sets.select("node", "items"), "node")
+    linked = cut(linked.unionByName(by_tile(border).mapInArrow(_joining(percent), "a long, b long")).distinct())
     names = nodes.select("node", F.col("rep.id").alias("least"), "n_copies")
-    edges = (linked.join(names.select(F.col("node").alias("a"), F.col("least").alias("x"), F.col("n_copies").alias("n_x")), "a")
-             .join(names.select(F.col("node").alias("b"), F.col("least").alias("y"), F.col("n_copies").alias("n_y")), "b"))
+    edges = (linked.join(names.select(F.col("node").alias("a"), F.col("least").alias("x")), "a")
+             .join(names.select(F.col("node").alias("b"), F.col("least").alias("y")), "b"))
     of = components(edges.select("x", "y"), "x", "y")
     classes = names.join(of, names.least == of.node, "left").select(
         names.node, "n_copies", F.coalesce("component", "least").alias("component"))
     if links:
-        others = (edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("n_y").alias("n")),
-                                                 F.struct(F.col("b").alias("node"), F.col("n_x").alias("n")))).alias("end"))
-                  .groupBy("end.node").agg(F.sum("end.n").alias("others")))
+        joined = components(linked).withColumnRenamed("component", "comp")
+        others = link_counts(joined.join(names.select("node", "n_copies"), "node"), sets, percent)
         classes = classes.join(others, "node", "left").withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("others", F.lit(0)))
     return described.join(classes, "node", "left").select(
         "id", "tie", "n", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("component", "id").alias("component"),
