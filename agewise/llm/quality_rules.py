@@ -42,11 +42,11 @@ def words_column(text: str = "text"):
 
 
 def base_rules(rows: DataFrame) -> DataFrame:
-    """Adds the counts and ``base_failed`` to rows with ``text``, ``words`` and ``hashes``."""
+    """Adds the counts and ``base_failed`` to rows with ``text``, ``words``, ``hashes`` and ``pairs``."""
     lines = "filter(split(coalesce(text, ''), '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
-    # 5-word windows by the fingerprints of their words; only texts with equal ones look for their places
+    # 5-word windows by the fingerprints of their words and pairs; only texts with equal ones look for their places
     windows = f"""if(size(hashes) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {WINDOW}),
-        i -> xxhash64({', '.join(f'get(hashes, i + {j})' for j in range(WINDOW))})))"""
+        i -> xxhash64(pairs[i], pairs[i + 2], hashes[i + 4])))"""
     placed = """if(size(prints) = size(array_distinct(prints)), cast(array() as array<struct<h:bigint,i:int>>),
         array_sort(transform(prints, (h, i) -> struct(h as h, i as i))))"""
     repeated = """array_sort(transform(filter(sequence(0, size(windows) - 1), k ->
@@ -69,17 +69,27 @@ def hashes_column(words: str = "words"):
     return F.expr(f"transform({words}, w -> xxhash64(w))")
 
 
-def mark_bucket(word: str) -> str:
-    """The bucket of the mark of a word's last character."""
-    last = f"ascii(right({word}, 1))"
-    mark = f"if({last} between 97 and 122 or {last} >= 128 or {last} between 65 and 90, 0, {last})"
-    return f"pmod(xxhash64({mark}), {BUCKETS})"
+def pairs_column(hashes: str = "hashes"):
+    """The fingerprint of each two neighbouring words."""
+    return F.expr(f"zip_with(slice({hashes}, 1, greatest(size({hashes}) - 1, 0)), slice({hashes}, 2, greatest(size({hashes}) - 1, 0)), (g, h) -> xxhash64(g, h))")
 
 
-def ngrams(words: str = "words", hashes: str = "hashes"):
+def ends_column(words: str = "words"):
+    """The code of each word's last character, cut off at 128: letters are below, all else counts as one with them."""
+    return F.expr(f"transform({words}, w -> least(128, ascii(substring(w, -1, 1))))")
+
+
+def mark_buckets(spark) -> str:
+    """An array literal: the bucket of the mark of each code of :func:`ends_column`."""
+    letter = "c between 97 and 122 or c = 128 or c between 65 and 90"
+    row = spark.range(1).select(F.expr(f"transform(sequence(0, 128), c -> pmod(xxhash64(if({letter}, 0, c)), {BUCKETS}))")).first()  # 129 numbers
+    return "array(" + ", ".join(f"{int(x)}" for x in row[0]) + ")"
+
+
+def ngrams(marks: str, words: str = "words", hashes: str = "hashes", ends: str = "ends"):
     """The n-grams of a text, as buckets: of each word its last character's mark and itself, and the pairs."""
     return F.expr(f"""if(size({words}) = 0, cast(array() as array<bigint>), concat(
-        transform({words}, w -> {mark_bucket("w")}),
+        transform({ends}, c -> cast(get({marks}, c) as bigint)),
         transform({hashes}, h -> pmod(h, {BUCKETS})),
         zip_with(slice({hashes}, 1, size({words}) - 1), slice({hashes}, 2, size({words}) - 1),
             (g, h) -> pmod(if(g = h, 3L, xxhash64(g, h)), {BUCKETS}))))""")
@@ -95,13 +105,15 @@ def trusted_documents(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     every = rows.sparkSession.range(ID_BITS // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
     bitmap = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w")).select(
-        F.expr("transform(w, x -> x.bits)").alias("bitmap"))
-    bit = F.expr(f"shiftright(get(bitmap, cast({slot} div 64 as int)), cast({slot} % 64 as int)) & 1")
-    return rows.join(F.broadcast(bitmap)).where(bit == 1).drop("bitmap").join(trusted, "id", "left_semi")
+        F.expr("transform(w, x -> x.bits)"))
+    # a scalar, not a join, behind which the optimizer would move the filter
+    bits = F.call_function("shiftright", F.get(bitmap.scalar(), F.expr(f"cast({slot} div 64 as int)")), F.expr(f"cast({slot} % 64 as int)"))
+    return rows.where(bits.bitwiseAND(F.lit(1)) == 1).join(trusted, "id", "left_semi")
 
 
 def _bucket_counts(rows: DataFrame, name: str) -> DataFrame:
-    grams = rows.select(words_column().alias("words")).withColumn("hashes", hashes_column()).select(F.explode(ngrams()).alias("bucket"))
+    words = rows.select(words_column().alias("words")).withColumns({"hashes": hashes_column(), "ends": ends_column()})
+    grams = words.select(F.explode(ngrams(mark_buckets(rows.sparkSession))).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias(name))
 
 
@@ -121,18 +133,19 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """Counts, score and decisions for every row: ``id``, the base columns, ``score``, ``kept``."""
     table = weights(docs, labels).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("table"))
     table = table.select(F.expr("transform(table, x -> x.weight)").alias("weights"))
-    rows = base_rules(docs.select(id_column().alias("id"), "text").withColumn("words", words_column()).withColumn("hashes", hashes_column()))
+    rows = base_rules(docs.select(id_column().alias("id"), "text").withColumn("words", words_column())
+                      .withColumns({"hashes": hashes_column(), "ends": ends_column()}).withColumn("pairs", pairs_column()))
     # one row of BUCKETS numbers beside every document; the weights of the n-grams that begin with a word are added up at once
     of = lambda bucket: f"get(weights, cast({bucket} as int))"
-    pair = of(f"pmod(if(hashes[i] = hashes[i + 1], 3L, xxhash64(hashes[i], hashes[i + 1])), {BUCKETS})")
-    each = f"""transform(words, (w, i) -> {of(mark_bucket("w"))} + {of(f"pmod(hashes[i], {BUCKETS})")}
-        + if(i + 1 < size(words), {pair}, 0L))"""
+    pair = of(f"pmod(if(h = hashes[i + 1], 3L, pairs[i]), {BUCKETS})")
+    mark = of(f"get({mark_buckets(docs.sparkSession)}, ends[i])")
+    each = f"""transform(hashes, (h, i) -> {mark} + {of(f"pmod(h, {BUCKETS})")} + if(i + 1 < n_words, {pair}, 0L))"""
     scored = rows.join(F.broadcast(table)).withColumn("total", F.expr(f"aggregate({each}, 0L, (s, x) -> s + x)"))
     grams = F.greatest(3 * F.col("n_words") - 1, F.lit(1))
     score = F.when(F.col("n_words") > 0, F.col("total") / grams / _UNIT).otherwise(0.0)
     return (scored.withColumn("score", score)
             .withColumn("kept", ~F.col("base_failed") & (F.col("total") >= F.lit(round(threshold * _UNIT)) * grams))
-            .drop("text", "words", "hashes", "weights", "total"))
+            .drop("text", "words", "hashes", "ends", "pairs", "weights", "total"))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -99,8 +99,9 @@ def test_quality_rules_likelihood_ratio(spark):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     weight = {r.bucket: r.weight for r in quality_rules.weights(docs, labels).collect()}
     assert len(weight) == quality_rules.BUCKETS
-    grams = docs.select("doc_id", quality_rules.words_column().alias("words")).withColumn(
-        "hashes", quality_rules.hashes_column()).select("doc_id", quality_rules.ngrams().alias("g")).collect()
+    grams = docs.select("doc_id", quality_rules.words_column().alias("words")).withColumns(
+        {"hashes": quality_rules.hashes_column(), "ends": quality_rules.ends_column()}).select(
+        "doc_id", quality_rules.ngrams(quality_rules.mark_buckets(spark)).alias("g")).collect()
     want = {r.doc_id: sum(weight[g] for g in r.g) / max(1, len(r.g)) / 1e6 for r in grams}
     raw, target, trusted = Counter(), Counter(), {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
     for r in grams:
