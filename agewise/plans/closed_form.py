@@ -16,7 +16,9 @@ from .training import ForestConfig
 
 STUMP = ForestConfig(n_trees=1, max_depth=1, min_leaf=FX.FOREST["min_leaf"], max_features="all", scale=False, bootstrap=False)
 STUMP_BINARY = ForestConfig(n_trees=1, max_depth=1, min_leaf=FX.BINARY_FOREST["min_leaf"], max_features="all", scale=False, bootstrap=False)
-STUMP_GRID = {"n_trees": [1], "max_depth": [1], "min_leaf": [1, 3, 5, 8, 10, 12, 15, 20, 25, 30], "max_features": ["all"]}
+#: Leaves small enough for a split on the smallest table: without one the balanced class shares are all equal, and
+#: which class is predicted is left to rounding.
+STUMP_GRID = {"n_trees": [1], "max_depth": [1], "min_leaf": [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], "max_features": ["all"]}
 
 #: Integer features: name, source column, unit, least and largest value.
 TIER3_STEPS = (("c_weight", "age30_mp", 20, 0, 30), ("c_change", "delta_mp_31", 20, -15, 15), ("c_late", "delta_mp_33", 20, -15, 15),
