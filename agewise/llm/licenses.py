@@ -271,11 +271,11 @@ ends AS (
     SELECT a.path, a.line, wanted, min(z.line) FILTER (z.upto - a.upto + a.n >= wanted) AS reached, max(z.line) AS most
     FROM lines a JOIN lines z ON a.path = z.path AND a.block = z.block AND z.line BETWEEN a.line AND a.line + {lengths[-1] - 1}
       CROSS JOIN (SELECT unnest({lengths}) AS wanted) WHERE a.n > 0 AND z.n > 0 GROUP BY ALL)),
-some AS (
+bags AS (
   SELECT e.path, e.line, last, unnest(words) AS term FROM ends e JOIN lines l ON e.path = l.path AND l.line BETWEEN e.line AND last
   UNION ALL SELECT path, 0, 0, unnest(regexp_extract_all(lower(text), '{_TERM}')) FROM files WHERE regexp_matches(path, '{LICENCE_FILE}')),
-headers AS (SELECT DISTINCT path, line, last FROM some WHERE regexp_matches(term, '{'|'.join(STEMS)}')),
-terms AS (SELECT path, line, last, term, count(*) AS tf FROM some SEMI JOIN headers USING (path, line, last) GROUP BY ALL),
+headers AS (SELECT DISTINCT path, line, last FROM bags WHERE regexp_matches(term, '{'|'.join(STEMS)}')),
+terms AS (SELECT path, line, last, term, count(*) AS tf FROM bags SEMI JOIN headers USING (path, line, last) GROUP BY ALL),
 weighed AS (SELECT path, line, last, t.term, tf * coalesce(idf, {unseen!r}e0) AS w FROM terms t LEFT JOIN known USING (term)),
 norms AS (SELECT path, line, last, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
 found AS (

@@ -253,8 +253,27 @@ def test_licenses(spark):
         ("a/b/c/COPYING.txt", "GPL-3.0", "own", None), ("a/b/c/z.py", "GPL-3.0", "inherited", "a/b/c/COPYING.txt"),
         ("ab/q.py", None, "none", None), ("top.py", None, "none", None), (None, "MIT", "own", None), ("a/NOTLICENSE", "Apache-2.0", "inherited", "a/LICENSE")}
     assert licenses.scan(df.where("1 = 0")).count() == 0
-    rows, _, _ = licenses.template_table()
-    assert licenses.common_share(rows) < licenses.THRESHOLD
+
+
+def test_license_headers_over_lines(spark):
+    notice = ("/* This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU {}General Public License as published by\n"
+              " * the Free Software Foundation, either version {} of the License, or (at your option)\n * any later version.\n *\n"
+              " * This program is distributed in the hope that it will be useful. */\nint main() {{}}")
+    title = "                    GNU {}GENERAL PUBLIC LICENSE\n                       Version {}, {}\n\n Copyright (C) Free Software Foundation, Inc.\n Everyone is permitted to copy it\n"
+    whole = dict(licenses._WHOLE)
+    wrap = lambda text: "Copyright (c) 2020 A. Nybody\n\n" + re.sub(r"((?:\S+ ){9})", r"\1\n", text)
+    cases = {"a.py": ("# Licensed under the GNU General Public\n# License, version 3 or later.\nimport os", "GPL-3.0"),
+             "b.py": ("# Licensed under the GNU General Public\n# License, version 2 or later.\nimport os", "GPL-2.0"),
+             "c.c": (notice.format("", 3), "GPL-3.0"), "d.c": (notice.format("", 2), "GPL-2.0"), "e.c": (notice.format("Lesser ", "2.1"), "LGPL-2.1"),
+             "f.c": (notice.format("Affero ", 3), "AGPL-3.0"), "g/COPYING": (title.format("", 3, "29 June 2007"), "GPL-3.0"),
+             "h/COPYING": (title.format("", 2, "June 1991"), "GPL-2.0"), "i/COPYING": (title.format("LESSER ", 3, "29 June 2007"), "LGPL-3.0"),
+             "j/LICENSE": ("  Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/\n", "Apache-2.0"),
+             "k/x.c": ("# GNU General Public License\n", "GPL"), "k/y.c": ("see the GNU General Public License for more", None),
+             "l.txt": ("words before\nLicensed under CC\n\nBY-NC 4.0", None), "l2.txt": ("words before\nLicensed under CC\nBY-NC 4.0", "CC-BY-NC-4.0"),
+             "m.py": ("the public may use and copy this for any purpose, with a fee", None), "n.py": ("x " * 30_000 + "\nLicensed under CC BY 4.0.", "CC-BY-4.0"),
+             **{f"w{k}/LICENSE": (wrap(whole[k]), k) for k in whole}}
+    df = spark.createDataFrame([(p, t) for p, (t, _) in cases.items()], "path string, text string")
+    assert {r.path: r.license for r in licenses.scan(df).collect()} == {p: want for p, (_, want) in cases.items()}
 
 
 def test_license_scan_twin(spark):
