@@ -86,15 +86,6 @@ def mark_buckets(spark) -> str:
     return "array(" + ", ".join(f"{int(x)}" for x in row[0]) + ")"
 
 
-def ngrams(marks: str, words: str = "words", hashes: str = "hashes", ends: str = "ends"):
-    """The n-grams of a text, as buckets: of each word its last character's mark and itself, and the pairs."""
-    return F.expr(f"""if(size({words}) = 0, cast(array() as array<bigint>), concat(
-        transform({ends}, c -> cast(get({marks}, c) as bigint)),
-        transform({hashes}, h -> pmod(h, {BUCKETS})),
-        zip_with(slice({hashes}, 1, size({words}) - 1), slice({hashes}, 2, size({words}) - 1),
-            (g, h) -> pmod(if(g = h, 3L, xxhash64(g, h)), {BUCKETS}))))""")
-
-
 def trusted_documents(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows whose ``id`` is among ``trusted``.
 
@@ -112,9 +103,15 @@ def trusted_documents(rows: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def _bucket_counts(rows: DataFrame, name: str) -> DataFrame:
-    words = rows.select(words_column().alias("words")).withColumns({"hashes": hashes_column(), "ends": ends_column()})
-    grams = words.select(F.explode(ngrams(mark_buckets(rows.sparkSession))).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count("*").alias(name))
+    """``(bucket, name)``: how often each n-gram occurs, by a row for each word and its follower.
+
+    Of each word its last character's mark, itself, and the pair (null after the last word, as is its bucket)."""
+    marks = mark_buckets(rows.sparkSession)
+    words = rows.select(words_column().alias("words")).select(F.explode(F.expr("arrays_zip(words, slice(words, 2, size(words)))")).alias("p"))
+    hashes = words.selectExpr("xxhash64(p['words']) as h", "if(p['1'] is null, null, xxhash64(p['1'])) as g", "least(128, ascii(substring(p['words'], -1, 1))) as code")
+    grams = hashes.selectExpr(f"get({marks}, code) as mark", f"cast(pmod(h, {BUCKETS}) as int) as word",
+                              f"if(g is null, null, cast(pmod(if(g = h, 3L, xxhash64(h, g)), {BUCKETS}) as int)) as pair")
+    return grams.select(F.explode(F.array("mark", "word", "pair")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
 
 def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -99,9 +99,11 @@ def test_quality_rules_likelihood_ratio(spark):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     weight = {r.bucket: r.weight for r in quality_rules.weights(docs, labels).collect()}
     assert len(weight) == quality_rules.BUCKETS
+    n = quality_rules.BUCKETS  # the n-grams of a text in one row: marks of last characters, words, pairs
     grams = docs.select("doc_id", quality_rules.words_column().alias("words")).withColumns(
-        {"hashes": quality_rules.hashes_column(), "ends": quality_rules.ends_column()}).select(
-        "doc_id", quality_rules.ngrams(quality_rules.mark_buckets(spark)).alias("g")).collect()
+        {"hashes": quality_rules.hashes_column(), "ends": quality_rules.ends_column()}).selectExpr("doc_id", f"""if(size(words) = 0, array(), concat(
+        transform(ends, c -> get({quality_rules.mark_buckets(spark)}, c)), transform(hashes, h -> pmod(h, {n})),
+        zip_with(slice(hashes, 1, size(words) - 1), slice(hashes, 2, size(words) - 1), (g, h) -> pmod(if(g = h, 3L, xxhash64(g, h)), {n})))) as g""").collect()
     want = {r.doc_id: sum(weight[g] for g in r.g) / max(1, len(r.g)) / 1e6 for r in grams}
     raw, target, trusted = Counter(), Counter(), {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
     for r in grams:
