@@ -5,9 +5,15 @@ article text go first: by tag, by role, when hidden, or by a word of their class
 text of its own is a paragraph: one point, one for each comma, one for each 100 characters up to three.
 It passes its points to its parent, half to the grandparent, a third, a fourth to the next two; a
 container's points are discounted by its link density.  The best container is kept, with its siblings
-that score a fifth of it or are text, headings, lists or tables with few links; if it lies in an ``article`` (else a ``main``) element,
-that element is the article.  Link lists inside go.  Each block's white space becomes one space;
-blocks join in page order by one space; character references are decoded.
+that score a fifth of it or, whatever their score, are text, headings, paragraphs, lists or tables with few
+links, or boxes of such; if it lies in an ``article`` (else a ``main``) element, that element is the article.
+Link lists inside go, but for those that a heading or a line ending in a colon introduces (references); an
+introduction with a word of the list ("Related") goes with its links.  Each block's white space becomes one
+space; blocks join in page order by one space; character references are decoded.
+
+A word of the list marks boxes.  Paragraphs, headings and inline text marked by a word that is also a topic
+or a style (``<p class="social">``) go only if they are mostly links.  Of several articles on a page the one
+of the best container is the page's text, and a ``header`` element goes wherever it stands.
 
 Pages are worked on one by one in Arrow batches, with no shuffle.  Defined results: null or empty html,
 and pages without text outside the dropped parts, give an empty text; repeated rows agree.
@@ -44,14 +50,22 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: A class or id with one of these words (whole words, cut at anything but letters and at small-to-capital).
 UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist "
-    "consent cookie cookies disqus disclaimer footer footers gdpr header masthead menu menus modal nav navbar navigation newsletter "
+    "consent cookie cookies discussion discussions disqus disclaimer footer footers gdpr header masthead menu menus modal nav navbar navigation newsletter "
     "notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended recommendations related "
     "replies reply respond rss share sharing shares shoutbox sidebar sidebars signup skyscraper social sponsor sponsored subscribe "
     "subscription tags toc toolbar topbar trending widget widgets".split())
+#: Of these, words that also name a topic or a style: not enough to drop a paragraph, heading or inline text.
+_TOPICS = frozenset(
+    "banner banners discussion discussions disclaimer header masthead menu menus navigation notification overlay promotion recommended "
+    "related replies reply respond rss share sharing shares social sponsor subscription tags toc trending".split())
+_RUNNING = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 a abbr b cite code em font i mark q s small span strong sub sup time tt u".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption".split())
 _BOXES = frozenset("ul ol dl div section table details".split())
 #: Beside the best container these stay whatever their score, unless they are mostly links.
 _CONTENT = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table".split())
+#: A sibling of another kind that holds one of these is content, too.
+_HOLDS = frozenset("p pre blockquote ul ol dl table".split())
 _KEPT = frozenset("html body article main".split())
 #: Start tags that don't end an open head.
 _HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -60,29 +74,38 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "link", "points", "unwanted")
+    __slots__ = ("tag", "parent", "children", "link", "points", "unwanted", "doubtful")
 
-    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False):
-        self.tag, self.parent, self.children, self.points, self.unwanted = tag, parent, [], 0.0, unwanted
+    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.children, self.points = tag, parent, [], 0.0
+        self.unwanted, self.doubtful = unwanted, doubtful
         self.link = tag == "a" or parent is not None and parent.link
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _listed(text: str) -> frozenset:
+    """The words of the list in a class, an id or a heading."""
+    return UNLIKELY.intersection(_WORDS.findall(_HUMP.sub(" ", text).lower()))
+
+
+def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is unwanted, and whether it is doubtful: unwanted if mostly links."""
     if tag in DROPPED:
-        return True
-    if not attrs or attrs.isspace():
-        return False
+        return True, False
+    if not attrs or attrs.isspace() or tag in _KEPT:
+        return False, False
+    doubtful = False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if tag in _KEPT:
-            return False
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.strip().lower() in ROLES:
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and not UNLIKELY.isdisjoint(_WORDS.findall(_HUMP.sub(" ", value).lower())):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id"):
+            words = _listed(value)
+            if words and not (tag in _RUNNING and words <= _TOPICS):
+                return True, False
+            doubtful = doubtful or bool(words)
+    return False, doubtful
 
 
 def _end_of(now: Node, root: Node, tag: str) -> Node | None:
@@ -134,11 +157,12 @@ def tree(page: str) -> Node:
                 node = node.parent
         elif tag in ENDS and now.tag in ENDS[tag]:
             now = now.parent
-        if tag not in VOID and _unwanted(tag, attrs):
+        unwanted, doubtful = _marked(tag, attrs)
+        if tag not in VOID and unwanted:
             if not attrs.rstrip().endswith("/"):
                 now = Node(tag, now, True)
             continue
-        child = Node(tag, now)
+        child = Node(tag, now, doubtful=doubtful)
         now.children.append(child)
         if tag not in VOID:
             now = child
@@ -192,8 +216,32 @@ def blocks(node: Node, out: list[str] | None = None, own: list | None = None) ->
     return out
 
 
+def _last_text(node: Node) -> str:
+    """The last text under a node that is not white space."""
+    left: list = [node]
+    while left:
+        here = left.pop()
+        if not isinstance(here, str):
+            left += here.children
+        elif not here.isspace():
+            return here.rstrip()
+    return ""
+
+
+def _introduction(kept: list) -> Node | None:
+    """The block right before, if it is a heading or its text ends in a colon."""
+    before = next((c for c in reversed(kept) if not isinstance(c, str) or not c.isspace()), None)
+    if before is None or isinstance(before, str) or before.tag not in BLOCKS:
+        return None
+    text = _last_text(before)
+    return before if text and (before.tag in _HEADINGS or text.endswith((":", "："))) else None
+
+
 def _drop_link_lists(top: Node) -> None:
-    """Removes lists and boxes under a node that are mostly links (several of them)."""
+    """Removes lists and boxes under a node that are mostly links (several of them), and doubtful text that is.
+
+    Lists that a heading or a line ending in a colon introduces stay, unless the heading is of the word list,
+    which goes with them."""
     order, counts = [top], {}
     for node in order:  # parents before children
         order.extend(c for c in node.children if not isinstance(c, str))
@@ -207,8 +255,18 @@ def _drop_link_lists(top: Node) -> None:
             else:
                 n, k, m = counts[id(c)]
                 m += c.tag == "a"
-                if c.tag in _BOXES and m > 1 and k > 0.6 * n:
+                if c.doubtful and (m or node.link) and 2 * k > n:
                     continue
+                if c.tag in _BOXES and m > 1 and k > 0.6 * n:
+                    before = _introduction(kept)
+                    if before is None:
+                        continue
+                    if before.tag in _HEADINGS and _listed(" ".join(blocks(before))):
+                        n, k, m = counts[id(before)]
+                        chars, linked, links = chars - n, linked - k, links - m
+                        del kept[next(i for i in reversed(range(len(kept))) if kept[i] is before):]
+                        continue
+                    k = m = 0  # content: its links don't count against the boxes around it
                 chars, linked, links = chars + n, linked + k, links + m
             kept.append(c)
         node.children = kept
@@ -236,6 +294,19 @@ def _characters(node: Node) -> tuple[int, int]:
     return sum(len(text) for _, text, _ in own), sum(linked for _, _, linked in own)
 
 
+def _is_content(node: Node) -> bool:
+    """Text, or a block of running text, or a box that holds one."""
+    if not node.tag or node.tag in _CONTENT:
+        return True
+    left = [node]
+    while left:
+        here = left.pop()
+        if here.tag in _HOLDS:
+            return True
+        left += [c for c in here.children if not isinstance(c, str)]
+    return False
+
+
 def main_text(page: str | None) -> str:
     """The article's text."""
     if not page:
@@ -278,7 +349,7 @@ def main_text(page: str | None) -> str:
     for sibling in _with_runs(best.parent):
         t = total.get(id(sibling)) or _characters(sibling)
         if sibling is best or sibling.points >= max(10, 0.2 * best.points) or (
-                (sibling.tag in _CONTENT or not sibling.tag) and t[0] > 0 and t[1] < 0.25 * t[0]):
+                t[0] > 0 and t[1] < 0.25 * t[0] and _is_content(sibling)):
             _drop_link_lists(sibling)
             parts += blocks(sibling)
     return " ".join(parts)

@@ -234,6 +234,32 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.where("1 = 0")).count() == 0
 
 
+LONG = "<p>A first paragraph, with commas, and words, so that it scores, well, above the rest of the page, by far.</p>" * 3
+
+
+@pytest.mark.parametrize("html, kept, gone", [
+    # beside the best container: a short section, a closing box; a menu and an unmarked box of links go
+    (f"<body><div>{LONG}</div><section><h2>Also</h2><p>Brief.</p></section><div><p>The end.</p></div>"
+     "<div><a href=1>Home</a> <a href=2>Away</a></div></body>", ["Also Brief.", "The end."], ["Home", "Away"]),
+    # a list of references stays with its heading, also within a box; a menu of links without one goes
+    (f"<article>{LONG}<div><h2>References</h2><ol><li><a href=1>Smith 2001</a></li><li><a href=2>Doe 2002</a></li></ol></div>"
+     "<ul><li><a href=1>Prev</a></li><li><a href=2>Next</a></li></ul></article>", ["References Smith 2001 Doe 2002"], ["Prev", "Next"]),
+    (f"<article>{LONG}<p>See also the sources:</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><p>End.</p></article>",
+     ["sources: One Two End."], []),
+    (f"<article>{LONG}<h3>Related stories</h3><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><p>End.</p></article>",
+     ["by far. End."], ["Related", "One", "Two"]),
+    # paragraphs named after a topic stay, those that are links go; notices and adverts go whatever their tag
+    (f'<article>{LONG}<p class="social">A social matter.</p><p id="tags">Price tags, old.</p><p class="tags"><a href=1>t1</a> <a href=2>t2</a></p>'
+     '<p class="notice">Closed.</p><p class="advert">Buy.</p></article>', ["A social matter. Price tags, old."], ["t1", "t2", "Closed", "Buy"]),
+    # readers' comments of any length don't beat the article; its header goes; of two articles the better one is the text
+    (f'<article><header><h1>Title</h1></header>{LONG}</article><div id="discussion">{LONG * 9}Reader</div>', ["by far."], ["Title", "Reader"]),
+    (f"<article>{LONG}</article><article><p>Teaser.</p></article>", ["by far."], ["Teaser"]),
+])
+def test_html_extraction_keeps_article_text(html, kept, gone):
+    text = html_extract.main_text(html)
+    assert all(k in text for k in kept) and not any(g in text for g in gone), text
+
+
 def test_html_extraction_of_the_table(spark, small_dir):
     """The table's pages put their article between plain tags."""
     import html
