@@ -13,8 +13,8 @@ if its n-grams speak for the trusted target rather than for the raw corpus:
   and do not depend on the order; it is kept if the score is at least ``threshold``.
 
 Buckets are counted map-side, so the counts shuffle at most ``BUCKETS`` rows a task; the table of
-weights has ``BUCKETS`` rows (a broadcast of fixed size); a document's n-grams are summed in the task
-that reads it.  Raw counts need no join; for the target's a bitmap of the trusted ids picks the texts to join.  Defined results: null or empty texts have no words and fail the base; a document
+weights is one array of ``BUCKETS`` numbers (a scalar of fixed size); a document's n-grams are rows only
+inside the task that reads it, which adds them up, so one row a document is shuffled.  Raw counts need no join; for the target's a bitmap of the trusted ids picks the texts to join.  Defined results: null or empty texts have no words and fail the base; a document
 labelled more than once is trusted if any label trusts it; null labels trust nothing; with no trusted
 document all scores follow the smoothing alone; repeated rows agree.
 """
@@ -42,11 +42,11 @@ def words_column(text: str = "text"):
 
 
 def base_rules(rows: DataFrame) -> DataFrame:
-    """Adds the counts and ``base_failed`` to rows with ``text``, ``words``, ``hashes`` and ``pairs``."""
+    """Adds the counts and ``base_failed`` to rows with ``text``, ``words`` and ``hashes``."""
     lines = "filter(split(coalesce(text, ''), '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
-    # 5-word windows by the fingerprints of their words and pairs; only texts with equal ones look for their places
+    # 5-word windows by the fingerprints of their words; only texts with equal ones look for their places
     windows = f"""if(size(hashes) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {WINDOW}),
-        i -> xxhash64(pairs[i], pairs[i + 2], hashes[i + 4])))"""
+        i -> xxhash64(hashes[i], hashes[i + 1], hashes[i + 2], hashes[i + 3], hashes[i + 4])))"""
     placed = """if(size(prints) = size(array_distinct(prints)), cast(array() as array<struct<h:bigint,i:int>>),
         array_sort(transform(prints, (h, i) -> struct(h as h, i as i))))"""
     repeated = """array_sort(transform(filter(sequence(0, size(windows) - 1), k ->
@@ -65,22 +65,12 @@ def base_rules(rows: DataFrame) -> DataFrame:
 
 
 def hashes_column(words: str = "words"):
-    """The fingerprint of each word; windows and n-grams are made of these."""
+    """The fingerprint of each word; windows are made of these."""
     return F.expr(f"transform({words}, w -> xxhash64(w))")
 
 
-def pairs_column(hashes: str = "hashes"):
-    """The fingerprint of each two neighbouring words."""
-    return F.expr(f"zip_with(slice({hashes}, 1, greatest(size({hashes}) - 1, 0)), slice({hashes}, 2, greatest(size({hashes}) - 1, 0)), (g, h) -> xxhash64(g, h))")
-
-
-def ends_column(words: str = "words"):
-    """The code of each word's last character, cut off at 128: letters are below, all else counts as one with them."""
-    return F.expr(f"transform({words}, w -> least(128, ascii(substring(w, -1, 1))))")
-
-
 def mark_buckets(spark) -> str:
-    """An array literal: the bucket of the mark of each code of :func:`ends_column`."""
+    """An array literal: the bucket of the mark of each code of a word's last character (cut off at 128)."""
     letter = "c between 97 and 122 or c = 128 or c between 65 and 90"
     row = spark.range(1).select(F.expr(f"transform(sequence(0, 128), c -> pmod(xxhash64(if({letter}, 0, c)), {BUCKETS}))")).first()  # 129 numbers
     return "array(" + ", ".join(f"{int(x)}" for x in row[0]) + ")"
@@ -102,16 +92,22 @@ def trusted_documents(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     return rows.where(bits.bitwiseAND(F.lit(1)) == 1).join(trusted, "id", "left_semi")
 
 
-def _bucket_counts(rows: DataFrame, name: str) -> DataFrame:
-    """``(bucket, name)``: how often each n-gram occurs, by a row for each word and its follower.
+def grams(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each word and its follower, with the buckets of the n-grams that begin there: ``mark``, ``word``, ``pair``.
 
-    Of each word its last character's mark, itself, and the pair (null after the last word, as is its bucket)."""
+    The pair of the last word is null; a row without words stays, with nulls.  No lambda: all of it is compiled code."""
     marks = mark_buckets(rows.sparkSession)
-    words = rows.select(words_column().alias("words")).select(F.explode(F.expr("arrays_zip(words, slice(words, 2, size(words)))")).alias("p"))
-    hashes = words.selectExpr("xxhash64(p['words']) as h", "if(p['1'] is null, null, xxhash64(p['1'])) as g", "least(128, ascii(substring(p['words'], -1, 1))) as code")
-    grams = hashes.selectExpr(f"get({marks}, code) as mark", f"cast(pmod(h, {BUCKETS}) as int) as word",
-                              f"if(g is null, null, cast(pmod(if(g = h, 3L, xxhash64(h, g)), {BUCKETS}) as int)) as pair")
-    return grams.select(F.explode(F.array("mark", "word", "pair")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+    words = rows.select(*keep, F.explode_outer(F.expr("arrays_zip(words, slice(words, 2, size(words)))")).alias("p"))
+    hashes = words.selectExpr(*keep, "if(p is null, null, xxhash64(p['words'])) as h", "if(p['1'] is null, null, xxhash64(p['1'])) as g",
+                              "least(128, ascii(substring(p['words'], -1, 1))) as code")
+    return hashes.selectExpr(*keep, f"if(h is null, null, get({marks}, code)) as mark", f"cast(pmod(h, {BUCKETS}) as int) as word",
+                             f"if(g is null, null, cast(pmod(if(g = h, 3L, xxhash64(h, g)), {BUCKETS}) as int)) as pair")
+
+
+def _bucket_counts(rows: DataFrame, name: str) -> DataFrame:
+    """``(bucket, name)``: how often each n-gram occurs."""
+    each = grams(rows.select(words_column().alias("words"))).select(F.explode(F.array("mark", "word", "pair")).alias("bucket"))
+    return each.groupBy("bucket").agg(F.count("*").alias(name))
 
 
 def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -129,20 +125,18 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Counts, score and decisions for every row: ``id``, the base columns, ``score``, ``kept``."""
     table = weights(docs, labels).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("table"))
-    table = table.select(F.expr("transform(table, x -> x.weight)").alias("weights"))
-    rows = base_rules(docs.select(id_column().alias("id"), "text").withColumn("words", words_column())
-                      .withColumns({"hashes": hashes_column(), "ends": ends_column()}).withColumn("pairs", pairs_column()))
-    # one row of BUCKETS numbers beside every document; the weights of the n-grams that begin with a word are added up at once
-    of = lambda bucket: f"get(weights, cast({bucket} as int))"
-    pair = of(f"pmod(if(h = hashes[i + 1], 3L, pairs[i]), {BUCKETS})")
-    mark = of(f"get({mark_buckets(docs.sparkSession)}, ends[i])")
-    each = f"""transform(hashes, (h, i) -> {mark} + {of(f"pmod(h, {BUCKETS})")} + if(i + 1 < n_words, {pair}, 0L))"""
-    scored = rows.join(F.broadcast(table)).withColumn("total", F.expr(f"aggregate({each}, 0L, (s, x) -> s + x)"))
-    grams = F.greatest(3 * F.col("n_words") - 1, F.lit(1))
-    score = F.when(F.col("n_words") > 0, F.col("total") / grams / _UNIT).otherwise(0.0)
+    table = table.select(F.expr("transform(table, x -> x.weight)")).scalar()
+    rows = base_rules(docs.select(F.monotonically_increasing_id().alias("row"), id_column().alias("id"), "text")
+                      .withColumn("words", words_column()).withColumn("hashes", hashes_column()))
+    base = [c for c in rows.columns if c not in ("row", "text", "words", "hashes")]
+    # all n-grams of a row lie in one task, which adds them up before the shuffle, whatever numbers the rows have
+    weight = sum((F.coalesce(F.get(table, F.col(c)), F.lit(0)) for c in ("word", "pair")), F.coalesce(F.get(table, F.col("mark")), F.lit(0)))
+    scored = (grams(rows, "row", *base).groupBy("row").agg(*[F.first(c).alias(c) for c in base], F.sum(weight).alias("total")))
+    n_grams = F.greatest(3 * F.col("n_words") - 1, F.lit(1))
+    score = F.when(F.col("n_words") > 0, F.col("total") / n_grams / _UNIT).otherwise(0.0)
     return (scored.withColumn("score", score)
-            .withColumn("kept", ~F.col("base_failed") & (F.col("total") >= F.lit(round(threshold * _UNIT)) * grams))
-            .drop("text", "words", "hashes", "ends", "pairs", "weights", "total"))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("total") >= F.lit(round(threshold * _UNIT)) * n_grams))
+            .drop("row", "total"))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
