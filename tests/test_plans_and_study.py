@@ -59,6 +59,23 @@ def test_run_study_small(spark, small_dir):
     assert out2["comparables"].select("name").distinct().count() == 3
 
 
+def test_run_study_binary(spark, small_dir):
+    from agewise.plans.study import run_study
+    from agewise.plans.training import ForestConfig
+    from agewise.spec import FIXTURE_BINARY
+    raw = fx.panel(spark, small_dir, "panel_raw")
+    few = training_dataset(clean_panel(raw, FIXTURE_BINARY), FIXTURE_BINARY).select("name").limit(3)
+    out = run_study(raw, FIXTURE_BINARY, ForestConfig(n_trees=10, scale=False), explain=few)
+    n, n_test = out["table"].count(), out["scored_test"].count()
+    assert 0 < n_test < n and 0 <= out["test_accuracy"].first()[0] <= 1
+    scores = out["scores"].collect()
+    assert len(scores) == n and all(r.prediction == (r.probability >= 0.5) and 0 <= r.probability <= 1 for r in scores)
+    assert [r.row for r in out["test_report"].collect()] == ["0", "1", "accuracy", "macro avg", "weighted avg"]
+    assert abs(sum(r.importance for r in out["importances"].collect()) - 1.0) < 1e-9
+    comps = out["comparables"].collect()
+    assert len(comps) == 15 and {r.neighbor_outcome for r in comps} <= {0, 1}
+
+
 def test_scale_settings_size_partitions():
     from agewise.session import scale_settings
     small = scale_settings(10 << 20)
