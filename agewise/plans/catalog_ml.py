@@ -302,6 +302,12 @@ def _external(spark, d):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def hash_range(h, n: int):
+    """The range (0 to n - 1) of a hexadecimal hash: ranges rise with the hash and are of unlike, but comparable, length."""
+    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / (1 << 32)
+    return F.least(F.lit(n - 1), F.floor(F.lit(n) * u * (u + 1) / 2)).cast("int")
+
+
 def _first_in_files(fmt):
     """P7 by file order: the panel in several files of unlike size, in the order of a hash; read order breaks ties."""
     from dataclasses import replace
@@ -311,9 +317,10 @@ def _first_in_files(fmt):
     def run(spark, d):
         path = scratch(spark, f"panel-files-{fmt}")
         rows = fx.panel(spark, d, "panel_raw").withColumn("h", F.md5(F.concat_ws("|", "entity", "period", "seg")))
-        # nine ranges of the hash, each twice as long as the one before
-        part = F.greatest(F.lit(0), F.lit(8) + F.floor(F.log2((F.conv(F.substring("h", 1, 6), 16, 10).cast("double") + 1) / 16777216))).cast("int")
-        rows = rows.repartitionById(9, part).sortWithinPartitions("h").drop("h")
+        # as many ranges of the hash as the session has shuffle partitions: the first twice as long as the mean, the last
+        # two thirds of it
+        files = max(9, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.repartitionById(files, hash_range(F.col("h"), files)).sortWithinPartitions("h").drop("h")
         rows.write.options(**(CSV_WRITE if fmt == "csv" else {})).format(fmt).save(path)
         panel = R.load_panel(spark, path, fmt, RAW_SCHEMA if fmt == "csv" else None, ordinal="_ordinal")
         return dedupe_total_else_first(panel, spec).select("name", "period", "seg")

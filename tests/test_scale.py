@@ -61,3 +61,12 @@ def test_a_call_makes_the_cohort_once(spark, monkeypatch):
     assert len(made) == 1
     q(spark, "/root/testdata/sf0.001")  # nothing is kept between calls
     assert len(made) == 2
+
+
+def test_ranges_of_a_hash_have_bounded_shares(spark):
+    h = spark.range(40_000).select(F.md5(F.col("id").cast("string")).alias("h"))
+    rows = h.withColumn("part", catalog_ml.hash_range(F.col("h"), 50)).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).orderBy("part").collect()
+    assert [r.part for r in rows] == list(range(50))
+    assert all(a.hi < b.lo for a, b in zip(rows, rows[1:]))
+    assert max(r.n for r in rows) < 2.4 * 40_000 / 50 and max(r.n for r in rows) > 2 * min(r.n for r in rows)
